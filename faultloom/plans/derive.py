@@ -180,10 +180,14 @@ def listed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def benchmark_queries(spark: SparkSession, sf_dir: str, words: int = 3) -> DataFrame:
-    """Search texts: the first words of every benchmark passage."""
-    head = F.array_join(F.slice(F.split("text", " "), 1, words), " ")
-    return load(spark, sf_dir, "benchmark").select(head.alias("query_text")).distinct()
+def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search texts: every distinct sentence of the benchmark passages."""
+    sentences = F.explode(F.split("text", r"\.")).alias("query_text")
+    return (
+        load(spark, sf_dir, "benchmark").select(sentences)
+        .select(F.btrim("query_text", F.lit(" \n")).alias("query_text"))
+        .filter(F.col("query_text") != "").distinct()
+    )
 
 
 def fault_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
