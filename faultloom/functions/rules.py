@@ -170,18 +170,34 @@ def time_and_tools(category: Column | str) -> Column:
 
 # --- chunk rules ------------------------------------------------------------
 
-def _keyword(text: Column | str, rules, default: str) -> Column:
-    upper = F.upper(col(text))
-    return first_match([(upper.contains(word), name) for word, name in rules], default)
+def chunk_keyword(upper: Column | str) -> Column:
+    """The first rule word in an upper-cased text, NULL if none. Type and section follow from it:
+    both rule lists test the same words in the same order."""
+    upper = col(upper)
+    return first_match(
+        [(upper.contains(word), word) for word, _ in fixed.CHUNK_TYPES], F.lit(None).cast("string")
+    )
+
+
+def _by_keyword(keyword: Column | str, rules, default: str) -> Column:
+    return first_match([(col(keyword) == word, name) for word, name in rules], default)
+
+
+def type_of_keyword(keyword: Column | str) -> Column:
+    return _by_keyword(keyword, fixed.CHUNK_TYPES, fixed.CHUNK_TYPE_DEFAULT)
+
+
+def section_of_keyword(keyword: Column | str) -> Column:
+    """Has no rule for REPAIR, unlike the type."""
+    return _by_keyword(keyword, fixed.SECTION_NAMES, fixed.SECTION_DEFAULT)
 
 
 def chunk_type(text: Column | str) -> Column:
-    return _keyword(text, fixed.CHUNK_TYPES, fixed.CHUNK_TYPE_DEFAULT)
+    return type_of_keyword(chunk_keyword(F.upper(col(text))))
 
 
 def section_name(text: Column | str) -> Column:
-    """Has no rule for REPAIR, unlike chunk_type."""
-    return _keyword(text, fixed.SECTION_NAMES, fixed.SECTION_DEFAULT)
+    return section_of_keyword(chunk_keyword(F.upper(col(text))))
 
 
 def is_meaningful(text: Column | str, min_len: int) -> Column:

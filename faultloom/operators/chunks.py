@@ -34,11 +34,15 @@ def chunk_text(
     return (
         documents.select(*id_cols, F.posexplode(pieces).alias("_pos", "chunk_text"))
         .filter(rules.is_meaningful(piece, min_len))
-        .select(*id_cols, (F.col("_pos") + 1).alias("chunk_sequence"), "chunk_text")
+        .select(
+            *id_cols, (F.col("_pos") + 1).alias("chunk_sequence"), "chunk_text",
+            F.upper(piece).alias("_upper"),
+        )
+        .withColumn("_keyword", rules.chunk_keyword("_upper"))
         .select(
             *id_cols, "chunk_sequence", "chunk_text",
-            rules.chunk_type(piece).alias("chunk_type"),
-            rules.section_name(piece).alias("section_name"),
+            rules.type_of_keyword("_keyword").alias("chunk_type"),
+            rules.section_of_keyword("_keyword").alias("section_name"),
             start.alias("char_start_position"),
             (start + F.length(piece) - 1).alias("char_end_position"),
         )

@@ -15,34 +15,48 @@ from .textmatch import containing
 SECTIONS = tuple(name for name, _ in fixed.STEP_SECTIONS)
 
 
-def _section_of(line: Column) -> Column:
-    """Section a line opens, NULL if it opens none. A step with a keyword counts as an opener."""
-    upper = F.upper(line)
+def _section_of(upper: Column) -> Column:
+    """Section an upper-cased line opens, NULL if none. A step with a keyword opens one, too."""
     has = lambda words: reduce(lambda a, b: a | b, [upper.contains(w) for w in words])
     return first_match(
         [(has(words), name) for name, words in fixed.STEP_SECTIONS], F.lit(None).cast("string")
     )
 
 
-def section_fill(lines: Column) -> Column:
-    """Array of (section, first line position, its lines): the current section carried down.
+def section_fill(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """document_id, carried columns and `blocks`: an array of (section, first, lines).
 
-    Works inside the row: the lines between two openers are one slice, so the whole document costs
-    one pass and no window, however long it is. Lines before the first opener belong to none.
-    """
-    tagged = F.transform(lines, lambda l, i: F.struct(i.alias("at"), _section_of(l).alias("section")))
-    openers = F.filter(tagged, lambda t: t["section"].isNotNull())
-
-    def block(opener: Column, k: Column) -> Column:
-        following = F.try_element_at(openers, k + 2)["at"]
-        stop = F.coalesce(following, F.size(lines))
-        return F.struct(
-            opener["section"].alias("section"),
-            (opener["at"] + 1).alias("first"),
-            F.slice(lines, opener["at"] + 2, stop - opener["at"] - 1).alias("lines"),
-        )
+    The current section is carried down to the next opener. This works inside the row: the lines
+    between two openers are one slice, so a document costs one pass, whatever its length, and needs
+    no window. Lines before the first opener belong to no section.
 
-    return F.transform(openers, block)
+    Each step is a column of its own: an array named twice in one lambda would be built anew for
+    every element. For the same reason, unfold the result with outer generators: for an inner one
+    the optimizer adds a size test and copies the whole expression into it.
+    """
+    lines = F.transform(F.split("content", "\n"), text.strip)
+    opened = F.filter(
+        F.transform(
+            F.transform("_lines", F.upper),
+            lambda u, i: F.struct(i.alias("at"), _section_of(u).alias("section")),
+        ),
+        lambda t: t["section"].isNotNull(),
+    )
+    stops = F.concat(
+        F.transform(F.slice("_openers", 2, F.size("_openers")), lambda o: o["at"]),
+        F.array(F.size("_lines")),
+    )
+    block = lambda o, stop: F.struct(
+        o["section"].alias("section"),
+        (o["at"] + 1).alias("first"),
+        F.slice("_lines", o["at"] + 2, stop - o["at"] - 1).alias("lines"),
+    )
+    return (
+        documents.select("document_id", *carry, lines.alias("_lines"))
+        .withColumn("_openers", opened)
+        .withColumn("_stops", F.slice(stops, 1, F.size("_openers")))
+        .select("document_id", *carry, F.zip_with("_openers", "_stops", block).alias("blocks"))
+    )
 
 
 def repair_steps(documents: DataFrame) -> DataFrame:
@@ -50,11 +64,11 @@ def repair_steps(documents: DataFrame) -> DataFrame:
 
     A line that starts with 1. to 5. or a dash is a step of the current section.
     """
-    lines = F.transform(F.split("content", "\n"), text.strip)
     return (
-        documents.select("document_id", lines.alias("lines"))
-        .select("document_id", F.inline(section_fill(F.col("lines"))))
-        .select("document_id", "section", "first", F.posexplode("lines").alias("offset", "step"))
+        section_fill(documents).select("document_id", F.inline_outer("blocks"))
+        .select(
+            "document_id", "section", "first", F.posexplode_outer("lines").alias("offset", "step")
+        )
         .filter(text.any_prefix(F.col("step"), fixed.STEP_MARKS))
         .select("document_id", "section", (F.col("first") + F.col("offset")).alias("position"), "step")
     )
@@ -62,16 +76,14 @@ def repair_steps(documents: DataFrame) -> DataFrame:
 
 def step_lists(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Steps per document as one array column per section, built inside the row."""
-    lines = F.transform(F.split("content", "\n"), text.strip)
-    filled = documents.select(
-        "document_id", *carry, section_fill(lines).alias("blocks")
-    )
     def steps(name: str) -> Column:
         mine = F.filter("blocks", lambda b: b["section"] == name)
         every = F.flatten(F.transform(mine, lambda b: b["lines"]))
         return F.filter(every, lambda l: text.any_prefix(l, fixed.STEP_MARKS)).alias(f"{name}_steps")
 
-    return filled.select("document_id", *carry, *[steps(s) for s in SECTIONS])
+    return section_fill(documents, carry).select(
+        "document_id", *carry, *[steps(s) for s in SECTIONS]
+    )
 
 
 # --- which document fits a fault --------------------------------------------

@@ -116,9 +116,9 @@ def search_many(index: DataFrame, queries: DataFrame, k: int = 10, literal: bool
     """search_chunks without filters, for a whole table of queries (column query_text).
 
     Every kind of hit has one fixed score and ties go by (document, sequence), so of each kind the
-    first k chunks per pattern, section or title are all that can reach a top k. The four short
-    lists are merged per query, the best score of a chunk counts, and text is fetched for the
-    winners only.
+    first k chunks per pattern, section or title are all that can reach a top k. Texts and labels
+    are looked up together; a pattern with k text hits needs no label hits, which score less. The
+    best score of a chunk counts, and text is fetched for the winners only.
     """
     upper = lambda c: F.upper(F.col(c))
     ids = list(ORDER)
@@ -129,23 +129,15 @@ def search_many(index: DataFrame, queries: DataFrame, k: int = 10, literal: bool
     )
     asked = settle(texts.select("query_text", F.inline(roles)), "queries")
 
-    bodies = index.select(*ids, upper("chunk_text").alias("body"))
-    in_text = containing(
-        bodies, ids, "body", asked, "pattern", like=not literal, first=k
-    ).withColumn("kind", F.lit("text"))
-
-    named = lambda kind, c: F.struct(F.lit(kind).alias("kind"), upper(c).alias("value"))
+    named = lambda kind, c: F.struct(F.lit(kind).alias("kind"), upper(c).alias("body"))
     labels = F.array(named("section", "section_name"), named("title", "document_title"))
-    labelled = index.select(*ids, F.inline(labels)).filter(F.col("value").isNotNull())
-    values = labelled.select("kind", "value").distinct()
-    in_label = containing(
-        values.withColumn("body", F.col("value")), ["kind", "value"], "body",
-        asked.filter(F.col("role") == "full"), "pattern", like=not literal,
+    labelled = index.select(*ids, F.inline(labels)).filter(F.col("body").isNotNull())
+    firsts = settle(first_per(labelled, ["kind", "body"], ids, k), "labels")
+    bodies = index.select(*ids, F.lit("text").alias("kind"), upper("chunk_text").alias("body"))
+    hits = containing(
+        bodies.unionByName(firsts), [*ids, "kind"], "body", asked, "pattern",
+        like=not literal, first=k, per=("kind",), counts=F.col("kind") == "text",
     )
-    firsts = first_per(labelled, ["kind", "value"], ids, k)
-    in_labelled = settle(in_label, "labels").join(firsts, ["kind", "value"])
-
-    hits = in_text.unionByName(in_labelled.select("pattern", *ids, "kind"))
     role, kind = F.col("role"), F.col("kind")
     score = rules.first_match(
         [

@@ -1,8 +1,9 @@
 """Which patterns occur in which texts, for many patterns at once and without a nested loop.
 
-A run of characters without a blank can only occur inside one blank-separated token of a text. So
-patterns are looked up in the vocabulary of distinct tokens, and texts meet patterns by an equality
-join on tokens. Only patterns with blanks or wildcards are tested again on the text itself.
+A run of characters without a blank can only occur inside one blank-separated token of a text, and
+a word with a blank on either side only as a whole token. So texts meet patterns by an equality
+join on tokens: directly for patterns of three words or more, else through the vocabulary of
+distinct tokens. Patterns with blanks or wildcards are then tested on the text itself.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from ..sources.tables import settle
 
 # lengths of the character runs a vocabulary token is filed under
 GRAM_SIZES = (1, 2, 3, 5)
+# characters from which a whole word is looked up without the vocabulary
+SELECTIVE = 6
 # no token can equal this one: tokens hold no blanks. Every text is also filed under it, for the
 # patterns that offer nothing to look up
 ANY_TOKEN = " "
@@ -25,25 +28,53 @@ def like_test(body: Column, pattern: Column) -> Column:
     return F.call_function("like", body, F.concat(F.lit("%"), escaped, F.lit("%")))
 
 
-def _anchor(pattern: Column, like: bool) -> Column:
-    """Longest run of the pattern without blanks (and wildcards); '' if there is none."""
-    runs = F.split(pattern, "[ %_]" if like else " ")
-    sized = F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))
-    return F.array_max(sized)["run"]
+def _longest(words: Column) -> Column:
+    sized = F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("word")))
+    return F.array_max(sized)["word"]
 
 
-def _key_gram(anchor: Column) -> Column:
-    """The middle of the anchor, as long as the largest gram size that fits."""
-    n = F.length(anchor)
+def _with_anchor(patterns: DataFrame, like: bool) -> DataFrame:
+    """Adds what a pattern is looked up by.
+
+    whole:  a word between two blanks of the pattern, if it is long enough to be selective. It must
+            be a token of the text as it stands.
+    part:   else the longest run without blanks (and wildcards), which some token must contain;
+            '' if there is none.
+    """
+    pattern, words = F.col("pattern"), F.col("_words")
+    plain = lambda w: (F.length(w) >= SELECTIVE) & (~w.rlike("[%_]") if like else F.lit(True))
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), plain)
+    return (
+        patterns.withColumn("_words", F.split(pattern, " "))
+        .withColumn("whole", _longest(inner))
+        .withColumn("part", F.when(
+            F.col("whole").isNull(), _longest(F.split(pattern, "[ %_]") if like else words)
+        ))
+        .select(
+            "pattern", "whole", "part",
+            (F.col("whole").isNotNull() | (F.col("part") != pattern)).alias("open"),
+            F.when(F.col("part") != "", _gram_size(F.length("part"))).alias("gram_size"),
+        )
+    )
+
+
+def _gram_size(n: Column) -> Column:
+    """The largest gram size that fits into n characters."""
     size = F.lit(GRAM_SIZES[0])
     for g in GRAM_SIZES[1:]:
         size = F.when(n >= g, g).otherwise(size)
-    return F.substr(anchor, F.floor((n - size) / 2).cast("int") + 1, size)
+    return size
+
 
+def _key_gram() -> Column:
+    """The middle of the part: beginnings and endings are shared by more words."""
+    part, size = F.col("part"), F.col("gram_size")
+    return F.substr(part, F.floor((F.length(part) - size) / 2).cast("int") + 1, size)
 
-def _grams(token: Column) -> Column:
+
+def _grams(token: Column, sizes: list[int]) -> Column:
     """All distinct grams of a token; a lookahead per position keeps it linear in its length."""
-    each = [F.regexp_extract_all(token, F.lit(f"(?s)(?=(.{{{g}}}))"), F.lit(1)) for g in GRAM_SIZES]
+    each = [F.regexp_extract_all(token, F.lit(f"(?s)(?=(.{{{g}}}))"), F.lit(1)) for g in sizes]
     return F.array_distinct(F.flatten(F.array(*each)))
 
 
@@ -55,51 +86,90 @@ def containing(
     pattern_col: str,
     like: bool = False,
     first: int | None = None,
+    per: tuple[str, ...] = (),
+    counts: Column | None = None,
 ) -> DataFrame:
     """Distinct (id_cols, pattern) where the text contains the pattern, case-sensitively.
 
     like=True reads % and _ as wildcards. id_cols must identify a text. NULL texts and NULL
-    patterns match nothing; an empty pattern matches every text. first=k keeps the k lowest ids of
-    each pattern, cut down inside each task before anything is shuffled.
+    patterns match nothing; an empty pattern matches every text.
 
-    Reads the texts once for the vocabulary and once for the lookup; a third time only if some
-    pattern needs the second test. The lookup table and the rows to test are settled, so Spark
-    broadcasts them exactly when they measured small and joins by shuffle otherwise.
+    first=k keeps the k lowest ids of each pattern (and of each value of the id columns in `per`).
+    Patterns that reach k within the lowest ids are finished there: what comes later cannot displace
+    those. Only the rarer patterns are then looked up in all texts. `counts` says which ids count
+    towards the k; for the others a finished pattern may lack later ids.
     """
-    body = F.col(text_col)
-    known = (
-        patterns.select(F.col(pattern_col).alias("pattern"))
-        .filter(F.col("pattern").isNotNull()).distinct()
-        .withColumn("anchor", _anchor(F.col("pattern"), like))
+    distinct = patterns.select(F.col(pattern_col).alias("pattern")).distinct()
+    known = settle(_with_anchor(distinct.filter(F.col("pattern").isNotNull()), like), "patterns")
+    if first is None:
+        return _lookup(texts, id_cols, text_col, known, like).withColumnRenamed(
+            "pattern", pattern_col
+        )
+    keep = lambda df: first_per(df, ["pattern", *per], id_cols, first)
+    lowest = texts.filter(F.col(id_cols[0]) <= F.lit(_low_id(texts, id_cols[0])))
+    early = settle(_lookup(lowest, id_cols, text_col, known, like, keep), "early")
+    counted = early if counts is None else early.filter(counts)
+    ended = counted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= first)
+    rest = settle(known.join(ended, "pattern", "left_anti"), "rest")
+    late = _lookup(texts, id_cols, text_col, rest, like, keep)
+    done = early.join(rest.select("pattern"), "pattern", "left_anti")
+    return done.select(*id_cols, "pattern").unionByName(late).withColumnRenamed(
+        "pattern", pattern_col
     )
+
+
+def _low_id(texts: DataFrame, id_col: str, groups: int = 64):
+    """An id with at least `groups` ids, and typically a few hundred, at or below it: the largest
+    of the minima of `groups` hash groups. Tasks exchange one row per group."""
+    group = F.pmod(F.xxhash64(id_col), F.lit(groups)).alias("g")
+    minima = texts.groupBy(group).agg(F.min(id_col).alias("low"))
+    return minima.agg(F.max("low").alias("low")).first()["low"]
+
+
+def _lookup(
+    texts: DataFrame, id_cols: list[str], text_col: str, known: DataFrame, like: bool, cut=None
+) -> DataFrame:
+    """`containing` for settled rows of _with_anchor; `cut` drops rows before the last shuffle.
+
+    Reads the texts once for the lookup, before that once for the vocabulary if some pattern goes
+    by a part of a token, and after that once more if some pattern needs the test on the text. The
+    lookup table and the rows to test are settled, so Spark broadcasts them exactly when they
+    measured small and joins by shuffle otherwise.
+    """
+    needs = known.agg(
+        F.sort_array(F.collect_set("gram_size")).alias("sizes"),
+        F.coalesce(F.bool_or(F.col("part") == ""), F.lit(False)).alias("anywhere"),
+        F.coalesce(F.bool_or("open"), F.lit(False)).alias("open"),
+    ).first()
+    body = F.col(text_col)
     tokens = F.array_distinct(F.split(body, " "))
     present = texts.filter(body.isNotNull())
-    vocabulary = present.select(F.explode(tokens).alias("token")).distinct()
-    filed = vocabulary.select("token", F.explode(_grams(F.col("token"))).alias("gram"))
-    looked_up = filed.join(
-        known.filter(F.col("anchor") != "").withColumn("gram", _key_gram(F.col("anchor"))), "gram"
-    ).filter(F.contains("token", "anchor"))
-    anywhere = known.filter(F.col("anchor") == "").withColumn("token", F.lit(ANY_TOKEN))
-    hits = settle(
-        looked_up.unionByName(anywhere, allowMissingColumns=True).select(
-            "token", "pattern", (F.col("pattern") != F.col("anchor")).alias("open")
-        ),
-        "lookup",
+    entry = lambda df, token: df.select(token.alias("token"), "pattern", "open")
+    hits = entry(known.filter(F.col("whole").isNotNull()), F.col("whole")).unionByName(
+        entry(known.filter(F.col("part") == ""), F.lit(ANY_TOKEN))
     )
+    if needs["sizes"]:
+        vocabulary = present.select(F.explode(tokens).alias("token")).distinct()
+        filed = vocabulary.select(
+            "token", F.explode(_grams(F.col("token"), needs["sizes"])).alias("gram")
+        )
+        parts = known.filter(F.col("gram_size").isNotNull()).withColumn("gram", _key_gram())
+        held = filed.join(parts, "gram").filter(F.contains("token", "part"))
+        hits = settle(hits.unionByName(entry(held, F.col("token"))), "lookup")
+    if needs["anywhere"]:
+        tokens = F.array_append(tokens, F.lit(ANY_TOKEN))
     found = (
-        present.select(*id_cols, F.explode(F.array_append(tokens, F.lit(ANY_TOKEN))).alias("token"))
+        present.select(*id_cols, F.explode(tokens).alias("token"))
         .join(hits, "token").select(*id_cols, "pattern", "open")
     )
-    keep = lambda df: (first_per(df, "pattern", id_cols, first) if first else df).distinct()
+    keep = lambda df: (cut(df) if cut else df).distinct()
     closed = keep(found.filter(~F.col("open")).drop("open"))
-    if hits.filter("open").isEmpty():
-        out = closed
-    else:
-        to_test = settle(found.filter("open").drop("open").distinct(), "candidates")
-        test = like_test(body, F.col("pattern")) if like else body.contains(F.col("pattern"))
-        proven = texts.select(*id_cols, text_col).join(to_test, id_cols).filter(test)
-        out = closed.unionByName(keep(proven.select(*id_cols, "pattern")))
-    return out.withColumnRenamed("pattern", pattern_col)
+    if not needs["open"]:
+        return closed
+    to_test = settle(found.filter("open").drop("open").distinct(), "candidates")
+    test = like_test(body, F.col("pattern")) if like else body.contains(F.col("pattern"))
+    proven = texts.select(*id_cols, text_col).join(to_test, id_cols).filter(test)
+    return closed.unionByName(keep(proven.select(*id_cols, "pattern")))
 
 
 def first_per(df: DataFrame, key: str | list[str], order: list, k: int) -> DataFrame:

@@ -6,6 +6,7 @@ six places, so that results can be compared value for value with the SQL of plan
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ from ..functions import rules, text
 from ..operators import chunks as ch
 from ..operators import faults as fl
 from ..operators import merge, metrics, procedures, quality, search, vectors
+from ..session import tune
+from ..sources.tables import settle
 from . import derive
 from .derive import AS_OF
 
@@ -24,8 +27,13 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    """Register a query; it runs with the library's session settings."""
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(tune(spark), sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -57,6 +65,15 @@ def index(spark, sf, **options):
     return search.search_index(derive.sop_chunks(spark, sf), derive.sop_metadata(spark, sf), **options)
 
 
+def stored_index(spark, sf):
+    """The index as a written table, for searches that read it more than once."""
+    return settle(index(spark, sf), "index")
+
+
+def stored_procedures(spark, sf):
+    return settle(derive.sop_procedures(spark, sf), "procedures")
+
+
 # --- fault projections and rules ----------------------------------------------
 
 @query
@@ -412,7 +429,7 @@ def search_chunks_wildcard(spark, sf):
 
 @query
 def search_many(spark, sf):
-    return search.search_many(index(spark, sf), derive.benchmark_queries(spark, sf))
+    return search.search_many(stored_index(spark, sf), derive.benchmark_queries(spark, sf))
 
 
 @query
@@ -442,7 +459,7 @@ def fault_context(spark, sf):
 
 @query
 def ask_questions(spark, sf):
-    df = search.ask_questions(index(spark, sf), derive.fault_questions(spark, sf))
+    df = search.ask_questions(stored_index(spark, sf), derive.fault_questions(spark, sf))
     return df.withColumn(
         "source_chunks", F.array_join(F.transform("source_chunks", lambda x: x["chunk_id"]), "|")
     )
@@ -450,7 +467,7 @@ def ask_questions(spark, sf):
 
 @query
 def chat_answers(spark, sf):
-    return search.chat_answers(index(spark, sf), derive.benchmark_queries(spark, sf))
+    return search.chat_answers(stored_index(spark, sf), derive.benchmark_queries(spark, sf))
 
 
 @query
@@ -463,7 +480,7 @@ def vector_topk(spark, sf):
 
 @query
 def best_sop(spark, sf):
-    return flat(procedures.best_sop(derive.faults(spark, sf), derive.sop_procedures(spark, sf)))
+    return flat(procedures.best_sop(derive.faults(spark, sf), stored_procedures(spark, sf)))
 
 
 @query
@@ -473,7 +490,7 @@ def repair_steps(spark, sf):
 
 @query
 def repair_procedures(spark, sf):
-    df = procedures.repair_procedures(derive.faults(spark, sf), derive.sop_procedures(spark, sf))
+    df = procedures.repair_procedures(derive.faults(spark, sf), stored_procedures(spark, sf))
     return flat(df.withColumn("full_content", F.md5("full_content")))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.rules import first_match, strings
+from ..functions.rules import strings
 from ..operators.chunks import chunk_table
 
 AS_OF = "2024-01-31 00:00:00"
@@ -24,58 +24,55 @@ def _pick(values, at: Column) -> Column:
     return F.get(strings(values), at.cast("int"))
 
 
-def _nth(number: Column, every: int, of: int) -> Column:
-    """Position 0..of-1 that advances once per `every` numbers."""
-    return F.floor(number / every) % of
+def _sql_list(values) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
 def faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One fault per event."""
-    e = F.col("event_id")
-    tier = e % 10
-    minor, major = tier < 6, tier < 9
-    by_tier = lambda a, b, c: first_match([(minor, a), (major, b)], c)
+    """One fault per event: 6 of 10 are Minor, 3 Major, 1 a Cable Fault.
+
+    Every 97th has no customer count (nor revenue) and every 101st no category.
+    """
     names = list(fixed.CATEGORIES)
     spec = [fixed.CATEGORIES[n] for n in names]
-    field = lambda key: by_tier(*[s[key] for s in spec])
-    choice = lambda key, every: by_tier(*[_pick(s[key], _nth(e, every, 5)) for s in spec])
-
-    seconds = by_tier(
-        1800 + e * 15485863 % 12601, 7200 + e * 15485863 % 36001, 28800 + e * 15485863 % 144001
+    tier = lambda a, b, c: f"(case when tier < 6 then {a} when tier < 9 then {b} else {c} end)"
+    fixed_text = lambda key: tier(*[f"'{s[key]}'" for s in spec])
+    choice = lambda key, every: (
+        "get(" + tier(*[_sql_list(s[key]) for s in spec]) + f", cast(e div {every} % 5 as int))"
+    )
+    at = lambda values, every: f"get({values}, cast(u div {every} % {{n}} as int))"
+    kit = "if(u % 2 = 0, " + ", ".join(_sql_list(fixed.EQUIPMENT[n]) for n in ("COAX", "FIBER")) + ")"
+    seconds = tier("1800 + e * 15485863 % 12601", "7200 + e * 15485863 % 36001",
+                   "28800 + e * 15485863 % 144001")
+    customers = tier("1 + e * 7919 % 50", "50 + e * 7919 % 451", "500 + e * 7919 % 4501")
+    calls = tier("e * 104729 % 6", "5 + e * 104729 % 46", "50 + e * 104729 % 451")
+    percent = tier("10 + e * 49979687 % 91", "40 + e * 49979687 % 41", "70 + e * 49979687 % 31")
+    events = load(spark, sf_dir, "events").selectExpr(
+        "event_id as e", "user_id as u", "ts", "event_type", "event_id % 10 as tier"
     )
-    resolved_at = F.timestamp_add("SECOND", seconds.cast("int"), F.col("ts")).cast("timestamp_ntz")
-    still_open = (F.col("event_type") == "error") | (resolved_at > F.lit(AS_OF).cast("timestamp_ntz"))
-    customers = F.when(
-        e % 97 != 0, by_tier(1 + e * 7919 % 50, 50 + e * 7919 % 451, 500 + e * 7919 % 4501)
+    drawn = events.selectExpr(
+        "*", f"{seconds} as seconds", f"if(e % 97 <> 0, {customers}, null) as customers"
+    ).selectExpr("*", "cast(timestampadd(SECOND, cast(seconds as int), ts) as timestamp_ntz) as done")
+    return drawn.selectExpr(
+        "'F' || lpad(cast(e as string), 9, '0') as fault_id",
+        "ts as fault_timestamp",
+        f"{choice('codes', 10)} as fault_code",
+        f"{choice('descriptions', 50)} as fault_description",
+        f"if(e % 101 <> 0, {tier(*[repr(n) for n in names])}, null) as fault_category",
+        "if(u % 2 = 0, 'COAX', 'FIBER') as network_type",
+        f"{at(kit, 2).format(n=4)} as equipment_type",
+        f"{at(_sql_list(fixed.LOCATIONS), 8).format(n=10)} as location",
+        f"{fixed_text('severity')} as severity",
+        f"{fixed_text('customer_impact')} as customer_impact",
+        "cast(customers as int) as customers_affected",
+        f"cast({calls} as int) as service_calls_generated",
+        f"if(event_type = 'error' or done > timestamp_ntz '{AS_OF}', null, done) as resolution_timestamp",
+        "cast(seconds as double) / 3600 as resolution_time_hours",
+        f"e * 32452843 % 100 < {tier('42', '35', '20')} as first_time_fix",
+        "if(tier < 9, 'General', 'Specialist') as technician_type_required",
+        "cast(customers as double) * (10 + e % 91) as estimated_revenue_impact",
+        f"cast({percent} as double) / 100 as priority_score",
     )
-    coax = F.col("user_id") % 2 == 0
-    place = F.floor(F.col("user_id") / 2)
-    percent = by_tier(10 + e * 49979687 % 91, 40 + e * 49979687 % 41, 70 + e * 49979687 % 31)
-    columns = {
-        "fault_id": F.concat(F.lit("F"), F.lpad(e.cast("string"), 9, "0")),
-        "fault_timestamp": F.col("ts"),
-        "fault_code": choice("codes", 10),
-        "fault_description": choice("descriptions", 50),
-        "fault_category": F.when(e % 101 != 0, by_tier(*names)),
-        "network_type": F.when(coax, "COAX").otherwise("FIBER"),
-        "equipment_type": F.when(coax, _pick(fixed.EQUIPMENT["COAX"], place % 4))
-        .otherwise(_pick(fixed.EQUIPMENT["FIBER"], place % 4)),
-        "location": _pick(fixed.LOCATIONS, _nth(F.col("user_id"), 8, 10)),
-        "severity": field("severity"),
-        "customer_impact": field("customer_impact"),
-        "customers_affected": customers.cast("int"),
-        "service_calls_generated": by_tier(
-            e * 104729 % 6, 5 + e * 104729 % 46, 50 + e * 104729 % 451
-        ).cast("int"),
-        "resolution_timestamp": F.when(~still_open, resolved_at),
-        "resolution_time_hours": seconds.cast("double") / 3600,
-        "first_time_fix": (e * 32452843 % 100) < by_tier(42, 35, 20),
-        "technician_type_required": F.when(major, "General").otherwise("Specialist"),
-        "estimated_revenue_impact": customers.cast("double") * (10 + e % 91),
-        "priority_score": percent.cast("double") / 100,
-    }
-    events = load(spark, sf_dir, "events")
-    return events.select(*[c.alias(name) for name, c in columns.items()])
 
 
 def _document_id(number: Column) -> Column:
@@ -173,7 +170,7 @@ def listed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file listing made from the pages: path, url, size and checksum."""
     p = F.col("page_id")
     return load(spark, sf_dir, "pages").select(
-        F.concat(_document_id(p * 3), F.lit(".pdf")).alias("file_path"),
+        F.concat(_document_id(p * 7), F.lit(".pdf")).alias("file_path"),
         F.col("url").alias("file_url"),
         F.length("html").cast("long").alias("file_size"),
         F.md5("html").alias("md5"),

@@ -764,7 +764,7 @@ CTE["labelled"] = ((), """
  from labels""")
 
 SQL["upsert_files"] = with_("sops", f"""
-, listing as (select 'SOP-' || lpad(cast(page_id * 3 as varchar), 6, '0') || '.pdf' as file_path,
+, listing as (select 'SOP-' || lpad(cast(page_id * 7 as varchar), 6, '0') || '.pdf' as file_path,
   url as file_url, cast(length(html) as bigint) as file_size, md5(html) as md5 from pages)
 select l.file_path, l.file_url, {NOW} as last_modified, coalesce(s.file_status, 'ACTIVE') as file_status,
  l.file_size, l.md5, {NOW} as updated_timestamp
