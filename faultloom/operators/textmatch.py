@@ -17,6 +17,8 @@ from ..sources.tables import settle
 GRAM_SIZES = (1, 2, 3, 5)
 # characters from which a whole word is looked up without the vocabulary
 SELECTIVE = 6
+# texts from which the pass over the lowest ids pays for itself
+WORTH_AN_EARLY_END = 50_000
 # no token can equal this one: tokens hold no blanks. Every text is also filed under it, for the
 # patterns that offer nothing to look up
 ANY_TOKEN = " "
@@ -106,7 +108,11 @@ def containing(
             "pattern", pattern_col
         )
     keep = lambda df: first_per(df, ["pattern", *per], id_cols, first)
-    lowest = texts.filter(F.col(id_cols[0]) <= F.lit(_low_id(texts, id_cols[0])))
+    low, total = _low_id(texts, id_cols[0])
+    if total < WORTH_AN_EARLY_END:
+        late = _lookup(texts, id_cols, text_col, known, like, keep)
+        return late.withColumnRenamed("pattern", pattern_col)
+    lowest = texts.filter(F.col(id_cols[0]) <= F.lit(low))
     early = settle(_lookup(lowest, id_cols, text_col, known, like, keep), "early")
     counted = early if counts is None else early.filter(counts)
     ended = counted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= first)
@@ -118,12 +124,14 @@ def containing(
     )
 
 
-def _low_id(texts: DataFrame, id_col: str, groups: int = 64):
-    """An id with at least `groups` ids, and typically a few hundred, at or below it: the largest
-    of the minima of `groups` hash groups. Tasks exchange one row per group."""
+def _low_id(texts: DataFrame, id_col: str, groups: int = 64) -> tuple:
+    """(id, number of texts). At least `groups` ids, and typically a few hundred, are at or below
+    the id: it is the largest of the minima of `groups` hash groups. Tasks exchange one row per
+    group."""
     group = F.pmod(F.xxhash64(id_col), F.lit(groups)).alias("g")
-    minima = texts.groupBy(group).agg(F.min(id_col).alias("low"))
-    return minima.agg(F.max("low").alias("low")).first()["low"]
+    minima = texts.groupBy(group).agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("n"))
+    row = minima.agg(F.max("low").alias("low"), F.sum("n").alias("n")).first()
+    return row["low"], row["n"] or 0
 
 
 def _lookup(
