@@ -17,9 +17,11 @@ from ..functions import rules, text
 from ..operators import chunks as ch
 from ..operators import faults as fl
 from ..operators import merge, metrics, procedures, quality, search, vectors
-from ..session import tune
+from ..session import tune, work_dir
+from ..sources import files, generate
 from ..sources.tables import settle
-from . import derive
+from ..streaming import chunk_refresh, ingest
+from . import batch, derive
 from .derive import AS_OF
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -537,3 +539,76 @@ def dq_report(spark, sf):
         ),
         derive.sop_files(spark, sf), derive.sop_chunks(spark, sf),
     )
+
+
+# --- sources, batch jobs and streams ------------------------------------------------
+
+def _faults_as_csv(spark, sf):
+    """The derived faults as CSV files, with a null token in place of an unknown resolution."""
+    path = work_dir(spark, "faults-csv")
+    times = ("fault_timestamp", "resolution_timestamp")
+    shown = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("null"))
+    files.export_csv(derive.faults(spark, sf).withColumns({c: shown(c) for c in times}), path)
+    return path
+
+
+@query
+def csv_load(spark, sf):
+    good, _ = files.read_faults_csv(spark, _faults_as_csv(spark, sf))
+    return flat(good)
+
+
+@query
+def batch_load(spark, sf):
+    """CSV to fault table and derived tables; the load summary."""
+    made = batch.load_faults(spark, _faults_as_csv(spark, sf), work_dir(spark, "load"), AS_OF)
+    return made["summary"]
+
+
+@query
+def corpus_build(spark, sf):
+    """Documents to files, metadata, chunks and index; rows per table and per chunk type."""
+    made = batch.build_corpus(
+        spark, derive.sop_documents(spark, sf), derive.sop_metadata(spark, sf),
+        derive.sop_files(spark, sf), work_dir(spark, "corpus"),
+    )
+    types = made["chunk_stats"].select(
+        F.concat(F.lit("Chunks "), "chunk_type").alias("table_name"),
+        F.col("chunk_count").alias("record_count"),
+    )
+    indexed = metrics.load_summary({"Index": made["index"]})
+    return made["summary"].unionByName(types).unionByName(indexed)
+
+
+@query
+def streamed_faults(spark, sf):
+    """Faults that arrive as CSV files, through the ingest stream."""
+    root = work_dir(spark, "ingest")
+    ingest.stream_faults(
+        spark, _faults_as_csv(spark, sf), f"{root}/good", f"{root}/bad", f"{root}/checkpoint"
+    ).awaitTermination()
+    return flat(ingest.ingested(spark, f"{root}/good"))
+
+
+@query
+def streamed_chunks(spark, sf):
+    """Documents that arrive in two versions, through the refresh stream. The first version of a
+    document holds its title only; the current chunks come from the second."""
+    root = work_dir(spark, "refresh")
+    documents = derive.sop_documents(spark, sf).select("document_id", "file_path", "title", "content")
+    for stamp, text_col in (("2024-01-30", "title"), (AS_OF, "content")):
+        documents.select(
+            "document_id", "file_path", F.col(text_col).alias("content"),
+            F.lit(stamp).cast("timestamp_ntz").alias("updated_timestamp"),
+        ).write.mode("append").parquet(f"{root}/documents")
+        chunk_refresh.stream_chunks(
+            spark, f"{root}/documents", f"{root}/log", f"{root}/checkpoint", interval=None
+        ).awaitTermination()
+    return chunk_refresh.current_chunks(spark, f"{root}/log").drop("page_number", "is_meaningful")
+
+
+@query
+def generated_faults(spark, sf):
+    """One synthetic fault per event key: the mix that comes out. Drawn values, so rows only."""
+    ids = derive.load(spark, sf, "events").select(F.col("event_id").alias("id"))
+    return flat(metrics.fault_profile(generate.generate_faults(ids, 42, AS_OF)))

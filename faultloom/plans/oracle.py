@@ -807,3 +807,27 @@ SQL["dq_report"] = with_("faults sops chunks labelled", "\nunion all\n".join([
        where file_path not in (select file_path from sops)""",
     "select 'chunk longer than 200', 'sop_chunks', count(*) from chunks where length(chunk_text) > 200",
 ]))
+
+# fault rows after a trip through CSV or a stream
+for _name in ("csv_load", "streamed_faults"):
+    SQL[_name] = with_("faults", f"""
+select {FAULT_COLUMNS.replace("resolution_time_hours", "round(resolution_time_hours, 6) as resolution_time_hours")
+ .replace("estimated_revenue_impact", "round(estimated_revenue_impact, 6) as estimated_revenue_impact")
+ .replace("priority_score", "round(priority_score, 6) as priority_score")} from faults""")
+
+SQL["batch_load"] = with_("enhanced", """
+select 'Network Faults' as table_name, count(*) as record_count from faults
+union all select 'Training Data', count(*) from faults where fault_category is not null
+union all select 'Technician Metrics', count(*) from (
+ select distinct technician_type_required, location, fault_category from enhanced where is_resolved)
+union all select 'Equipment Reliability', count(*) from (
+ select distinct equipment_type, location, network_type from enhanced)""")
+
+SQL["corpus_build"] = with_("idx", """
+select 'PDF Files' as table_name, count(*) as record_count from documents
+union all select 'Document Metadata', count(*) from documents
+union all select 'Document Chunks (200 chars)', count(*) from chunks
+union all select 'Chunks ' || chunk_type, count(*) from chunks group by chunk_type
+union all select 'Index', count(*) from idx""")
+
+SQL["streamed_chunks"] = with_("chunks", "select * from chunks")

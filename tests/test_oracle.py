@@ -13,11 +13,12 @@ def con():
     return duck(SF)
 
 
-def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+def test_every_query_has_sql_but_the_drawn_one():
+    assert set(entry.queries()) - set(entry.oracle_sql()) == {"generated_faults"}
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_same_as_sql(spark, con, name):
     problems = differences(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name])
     assert [p for p in problems if p != "no rows"] == []
