@@ -49,14 +49,16 @@ def chunk_text(
     )
 
 
-def chunk_table(documents: DataFrame, **options) -> DataFrame:
-    """chunk_text as rows of the chunk table: with ids and the meaningful flag."""
+def chunk_table(documents: DataFrame, carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """chunk_text as rows of the chunk table: with ids and the meaningful flag. Columns to carry
+    along must be among id_cols."""
     return chunk_text(documents, **options).select(
         text.chunk_id("document_id", "chunk_sequence").alias("chunk_id"),
         "document_id", "file_path", "chunk_sequence", "chunk_text", "chunk_type", "section_name",
         F.lit(None).cast("int").alias("page_number"),
         "char_start_position", "char_end_position",
         F.lit(True).alias("is_meaningful"),
+        *carry,
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, rules, text
 from ..sources.tables import settle
+from .chunks import chunk_table
 from .textmatch import containing, first_per
 
 INDEX_COLUMNS = (
@@ -33,16 +34,37 @@ def search_index(
 ) -> DataFrame:
     """Meaningful chunks of active documents with title, category, equipment and codes.
 
-    min_len=None keeps short chunks (the similar-fault search does).
+    min_len=None keeps short chunks (the similar-fault search does). Where the texts are at hand,
+    index_documents gives the same rows without moving chunks.
     """
     c = chunks.filter("is_meaningful")
     if min_len is not None:
         c = c.filter(rules.is_meaningful("chunk_text", min_len))
-    m = metadata.filter("is_active").select(
+    return c.join(_attributes(metadata), "document_id").select(*INDEX_COLUMNS)
+
+
+def _attributes(metadata: DataFrame) -> DataFrame:
+    return metadata.filter("is_active").select(
         "document_id", F.col("title").alias("document_title"), "category", "equipment_types",
         "fault_codes",
     )
-    return c.join(m, "document_id").select(*INDEX_COLUMNS)
+
+
+def index_documents(
+    documents: DataFrame, metadata: DataFrame, min_len: int | None = fixed.SEARCH_MIN_LENGTH
+) -> DataFrame:
+    """search_index straight from the texts: documents meet their metadata before they are cut.
+
+    Both sides hold one row per document, so no key is hot, however many chunks a document has.
+    """
+    carried = ("document_title", "category", "equipment_types", "fault_codes")
+    joined = documents.select("document_id", "file_path", "content").join(
+        _attributes(metadata), "document_id"
+    )
+    chunks = chunk_table(joined, id_cols=("document_id", "file_path", *carried), carry=carried)
+    if min_len is not None:
+        chunks = chunks.filter(rules.is_meaningful("chunk_text", min_len))
+    return chunks.select(*INDEX_COLUMNS)
 
 
 def _covers(array: str, value: str) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import work_dir
+
 # queries held by a task at a time; 16384 x 64 doubles are 8 MB
 QUERIES_PER_PASS = 16384
 
@@ -62,7 +62,8 @@ def vector_topk(
     """The k most similar corpus vectors (cosine) of every query: query_id, rank, vec_id, similarity.
 
     Exact. Queries go to the tasks in passes of bounded size, split by a hash of their id; the
-    corpus stays where it is and each task returns k rows per query.
+    corpus stays where it is and each task returns k rows per query. Passes after the first add
+    their finished rows to one table.
     """
     shape = lambda df, name: df.select(
         F.col(id_col).cast("long").alias(name), F.col(vector_col).alias("vector")
@@ -70,10 +71,15 @@ def vector_topk(
     asked, stored = shape(queries, "query_id"), shape(corpus, "vec_id")
     passes = max(1, -(-asked.count() // per_pass))
     part = F.pmod(F.xxhash64("query_id"), F.lit(passes))
-    found = [
-        _pass(asked.filter(part == i).toPandas(), stored, k, skip_same) for i in range(passes)
-    ]
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return (
-        reduce(DataFrame.unionByName, found).withColumn("rank", rank).filter(F.col("rank") <= k)
-    )
+
+    def run(i: int) -> DataFrame:
+        held = asked.filter(part == i).toPandas()
+        return _pass(held, stored, k, skip_same).withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    if passes == 1:
+        return run(0)
+    path = work_dir(queries.sparkSession, "vectors")
+    for i in range(passes):
+        run(i).write.mode("append").parquet(path)
+    return queries.sparkSession.read.parquet(path)

@@ -61,7 +61,7 @@ def build_corpus(
     files = _store(files, f"{root}/files")
     metadata = _store(metadata, f"{root}/metadata")
     chunks = _store(ch.chunk_table(documents), f"{root}/chunks")
-    index = _store(search.search_index(chunks, metadata), f"{root}/index")
+    index = _store(search.index_documents(documents, metadata), f"{root}/index")
     searchable = ch.searchable_chunks(chunks, metadata, files)
     return {
         "files": files, "metadata": metadata, "chunks": chunks, "index": index,

@@ -69,7 +69,8 @@ def index(spark, sf, **options):
 
 def stored_index(spark, sf):
     """The index as a written table, for searches that read it more than once."""
-    return settle(index(spark, sf), "index")
+    made = search.index_documents(derive.sop_documents(spark, sf), derive.sop_metadata(spark, sf))
+    return settle(made, "index")
 
 
 def stored_procedures(spark, sf):

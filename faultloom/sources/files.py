@@ -70,7 +70,7 @@ def list_sop_files(
 ) -> DataFrame:
     """Files below a folder: path relative to it, url, size, time, and checksum on request.
 
-    Without checksum the contents are not read.
+    Without checksum the contents are not read. Spark's file sources skip empty files.
     """
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", glob)

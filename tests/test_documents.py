@@ -336,3 +336,13 @@ def test_answers_for_questions(spark, sf_dir):
     got = {r.query_text: r.answer for r in se.chat_answers(catalog.index(spark, sf_dir), q).collect()}
     assert "**Confidence:** 90.0%" in got["safety requirements"]
     assert got["zzzqqq"] == fixed.ANSWER_NONE
+
+
+def test_index_from_texts_or_from_chunks(spark, sf_dir):
+    from faultloom.plans import derive
+
+    meta = derive.sop_metadata(spark, sf_dir)
+    for min_len in (None, 20):
+        a = se.search_index(derive.sop_chunks(spark, sf_dir), meta, min_len)
+        b = se.index_documents(derive.sop_documents(spark, sf_dir), meta, min_len)
+        assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
