@@ -26,19 +26,24 @@ def chunk_text(
     sequences may have gaps. Pass min_len=-1 to keep every piece. An empty or NULL text has none.
 
     One regular-expression pass yields all pieces: cutting piece n with a substring would rescan
-    the text from its start for every piece.
+    the text from its start for every piece. The rule word is found before the pieces are unfolded:
+    a caller's filter on the type then reads a column, where it would otherwise be pushed down as
+    copies of the search for that word.
     """
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    upper = F.transform(pieces, lambda p: F.struct(p.alias("piece"), F.upper(p).alias("upper")))
+    marked = F.transform(upper, lambda p: F.struct(
+        p["piece"].alias("piece"), rules.chunk_keyword(p["upper"]).alias("keyword")
+    ))
     number, piece = F.col("chunk_sequence"), F.col("chunk_text")
     start = (number - 1) * size + 1
     return (
-        documents.select(*id_cols, F.posexplode(pieces).alias("_pos", "chunk_text"))
-        .filter(rules.is_meaningful(piece, min_len))
+        documents.select(*id_cols, F.posexplode(marked).alias("_pos", "_cut"))
+        .filter(rules.is_meaningful("_cut.piece", min_len))
         .select(
-            *id_cols, (F.col("_pos") + 1).alias("chunk_sequence"), "chunk_text",
-            F.upper(piece).alias("_upper"),
+            *id_cols, (F.col("_pos") + 1).alias("chunk_sequence"),
+            F.col("_cut.piece").alias("chunk_text"), F.col("_cut.keyword").alias("_keyword"),
         )
-        .withColumn("_keyword", rules.chunk_keyword("_upper"))
         .select(
             *id_cols, "chunk_sequence", "chunk_text",
             rules.type_of_keyword("_keyword").alias("chunk_type"),
@@ -105,9 +110,9 @@ def chunk_metrics(chunks: DataFrame) -> DataFrame:
 
 
 def word_count(c: Column | str) -> Column:
-    """Runs of non-blank characters; 0 for blank text."""
-    bare = text.strip(c)
-    return F.when(F.length(bare) > 0, F.size(F.split(bare, r"\s+"))).otherwise(0)
+    """Runs of characters other than white space."""
+    blanks = F.translate(rules.col(c), fixed.WHITESPACE, " " * len(fixed.WHITESPACE))
+    return F.size(F.array_remove(F.split(blanks, " "), ""))
 
 
 def document_stats(documents: DataFrame, chars_per_page: int = 2000) -> DataFrame:

@@ -25,9 +25,11 @@ ANY_TOKEN = " "
 
 
 def like_test(body: Column, pattern: Column) -> Column:
-    """body LIKE %pattern%, where only % and _ are special."""
+    """body LIKE %pattern%, where only % and _ are special. A pattern without them takes the plain
+    substring test: LIKE compiles an expression for every row."""
     escaped = F.replace(pattern, F.lit("\\"), F.lit("\\\\"))
-    return F.call_function("like", body, F.concat(F.lit("%"), escaped, F.lit("%")))
+    wild = F.call_function("like", body, F.concat(F.lit("%"), escaped, F.lit("%")))
+    return F.when(pattern.contains("%") | pattern.contains("_"), wild).otherwise(body.contains(pattern))
 
 
 def _longest(words: Column) -> Column:
@@ -141,8 +143,8 @@ def _lookup(
 
     Reads the texts once for the lookup, before that once for the vocabulary if some pattern goes
     by a part of a token, and after that once more if some pattern needs the test on the text. The
-    lookup table and the rows to test are settled, so Spark broadcasts them exactly when they
-    measured small and joins by shuffle otherwise.
+    lookup table and what was found are settled, so Spark broadcasts them exactly when they measured
+    small and joins by shuffle otherwise.
     """
     needs = known.agg(
         F.sort_array(F.collect_set("gram_size")).alias("sizes"),
@@ -171,13 +173,14 @@ def _lookup(
         .join(hits, "token").select(*id_cols, "pattern", "open")
     )
     keep = lambda df: (cut(df) if cut else df).distinct()
-    closed = keep(found.filter(~F.col("open")).drop("open"))
     if not needs["open"]:
-        return closed
-    to_test = settle(found.filter("open").drop("open").distinct(), "candidates")
+        return keep(found.drop("open"))
+    found = settle(found.distinct(), "found")
     test = like_test(body, F.col("pattern")) if like else body.contains(F.col("pattern"))
+    to_test = found.filter("open").drop("open")
     proven = texts.select(*id_cols, text_col).join(to_test, id_cols).filter(test)
-    return closed.unionByName(keep(proven.select(*id_cols, "pattern")))
+    sure = found.filter(~F.col("open")).drop("open")
+    return keep(sure.unionByName(proven.select(*id_cols, "pattern")))
 
 
 def first_per(df: DataFrame, key: str | list[str], order: list, k: int) -> DataFrame:
