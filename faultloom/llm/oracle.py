@@ -29,3 +29,33 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as big
        coalesce(n_hit, 0) > 0 as contaminated
 from d left join hw using (doc_id) left join hi using (doc_id)
 """
+
+SQL["op5_minhash_near_dedup"] = rf"""
+with recursive d as (
+  select doc_id, coalesce(regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+'), []) as w from documents
+), s as (
+  select distinct doc_id, case when len(w) = 1 then w[1] else array_to_string(list_slice(w, i, i + 1), ' ') end as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w), 2))) as i from d where len(w) > 0) z
+), n as (select doc_id, count(*) as n from s group by 1),
+-- texts with equal sets link through the smallest of them
+c as (select doc_id, n, min(doc_id) over (partition by gs) as rep
+      from (select doc_id, count(*) as n, md5(string_agg(g, chr(10) order by g)) as gs from s group by 1) z),
+r as (select s.doc_id, g, n from s join c using (doc_id) where rep = c.doc_id),
+-- a pair over the threshold shares a shingle among the rarest fifth (and one) of its smaller set
+f as (select g, count(*) as k from r group by 1),
+p as (select doc_id, g, n from (
+        select doc_id, g, n, row_number() over (partition by doc_id order by k, g) as rn from r join f using (g)) z
+      where rn <= n - cast(ceil(n * 0.8) as bigint) + 1),
+cand as (select distinct a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb from p a join p b using (g)
+         where a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+link as (select a, b from (
+           select a, b, na, nb, count(*) as k from cand join r x on x.doc_id = a join r y on y.doc_id = b and y.g = x.g
+           group by 1, 2, 3, 4) z where 100 * k >= 80 * (na + nb - k)),
+e as (select a, b from link union select b, a from link),
+walk as (select doc_id as v, doc_id as u from c where rep = doc_id
+         union select walk.v, e.b from walk join e on walk.u = e.a),
+root as (select v, min(u) as root from walk group by 1)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, coalesce(root, d.doc_id) as component_id,
+       coalesce(root, d.doc_id) = d.doc_id as kept
+from d left join n using (doc_id) left join c using (doc_id) left join root on root.v = c.rep
+"""
