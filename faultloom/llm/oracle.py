@@ -59,3 +59,27 @@ select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, coalesce(root,
        coalesce(root, d.doc_id) = d.doc_id as kept
 from d left join n using (doc_id) left join c using (doc_id) left join root on root.v = c.rep
 """
+
+SQL["op7_suffix_array_dedup"] = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+w as (select doc_id, i, md5(substr(x, 2 * i + 1, 200)) as m
+      from (select doc_id, x, unnest(range(0, cast(len(x) // 2 as bigint) - 99)) as i from d where len(x) >= 200) z),
+later as (select doc_id, i from (select doc_id, i, row_number() over (partition by m order by doc_id, i) as rn from w) z
+          where rn > 1),
+gap as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 100 then 0 else 1 end as opens
+        from later),
+run as (select doc_id, i, sum(opens) over (partition by doc_id order by i) as r from gap),
+span as (select doc_id, min(i) as a, max(i) + 100 as b from run group by doc_id, r),
+-- what is kept lies between the spans
+cut as (select doc_id, count(*) as n_spans, sum(b - a) as n_removed,
+               list(a order by a) as starts, list(b order by a) as ends from span group by doc_id),
+j as (select d.doc_id, x, n_spans, n_removed,
+             list_concat([cast(0 as bigint)], coalesce(ends, [])) as f,
+             list_concat(coalesce(starts, []), [cast(len(x) // 2 as bigint)]) as t
+      from d left join cut using (doc_id))
+select doc_id, cast(len(x) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+       cast(coalesce(n_spans, 0) as bigint) as n_spans,
+       sha256(unhex(array_to_string(list_transform(range(1, len(f) + 1),
+              lambda k : substr(x, 2 * f[k] + 1, 2 * (t[k] - f[k]))), ''))) as kept_sha256
+from j
+"""
