@@ -90,10 +90,9 @@ def _deal(children: DataFrame, parent: list[str]) -> DataFrame:
 def leaf_budgets(leaves: DataFrame, targets: Targets) -> DataFrame:
     """domain, lang, source, tokens, budget from the tokens of every leaf. One row per leaf throughout."""
     capacity = (F.col("tokens") * targets.max_epochs).alias("capacity")
-    root = leaves.agg((F.coalesce(F.sum("tokens"), F.lit(0)) * targets.budget_percent).alias("p"))
+    total = leaves.agg(F.sum("tokens")).first()[0] or 0
     given = (targets.domain, targets.lang, targets.source)
-    # one row, so this is a bounded broadcast
-    dealt = leaves.select(*LEVELS, "tokens", capacity).crossJoin(F.broadcast(root.select(F.expr("p div 100").alias("budget"))))
+    dealt = leaves.select(*LEVELS, "tokens", capacity, F.lit(total * targets.budget_percent // 100).cast("long").alias("budget"))
     for depth, name in enumerate(LEVELS):
         path, parent = list(LEVELS[: depth + 1]), list(LEVELS[:depth])
         nodes = dealt.groupBy(*path).agg(F.sum("capacity").alias("capacity"), F.first("budget").alias("parent_budget"))
@@ -135,27 +134,27 @@ def mix(
     slices = placed.groupBy(*path, "_slice").agg(F.sum("_tokens").alias("_in"), F.first("_rest").alias("_rest"))
     slices = slices.withColumn("_before", F.sum("_in").over(upto) - F.col("_in")).where("_before < _rest")
     # the slice in which the budget ends, and what is left of the budget there
-    last = settle(slices.groupBy(*path).agg(F.max("_slice").alias("_last"), F.max(F.struct("_slice", (F.col("_rest") - F.col("_before")).alias("left")))["left"].alias("_left")), "slices")
-    placed = rows.join(plan.join(last, path, "left"), path)
-    placed = placed.withColumn("_order", order).withColumn("_slice", F.left("_order", F.lit(SLICE_DIGITS)))
-    inside = placed.where("_slice = _last").select(F.col(id_col).alias("_id"), *path, "_order", "_tokens", "_left")
+    last = slices.groupBy(*path).agg(F.max(F.struct("_slice", (F.col("_rest") - F.col("_before")).alias("left"))).alias("m"))
+    last = settle(last.select(*path, F.col("m._slice").alias("_last"), F.col("m.left").alias("_left")), "slices")
+    begun = placed.join(last, path)
     running = Window.partitionBy(*path).orderBy("_order", "_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("_take", F.least("_tokens", F.col("_left") - (F.sum("_tokens").over(running) - F.col("_tokens"))))
-    # equal ids of one leaf and slice are told apart by their number
-    same = Window.partitionBy(*path, "_order", "_tokens").orderBy("_take")
-    ranked = ranked.withColumn("_n", F.row_number().over(same))
-    ended = placed.where("_slice = _last").withColumn("_n", F.row_number().over(same.orderBy("_order")))
-    ended = ended.join(ranked.select(*path, "_order", "_tokens", "_n", "_take"), [*path, "_order", "_tokens", "_n"])
-    part = (
-        placed.where("_slice < _last").withColumn("_take", F.col("_tokens"))
-        .unionByName(ended.drop("_n"))
-        .where("_take > 0 or (_tokens = 0 and _take = 0)")
-        .withColumn("epoch", F.col("_full"))
-    )
-    whole = rows.join(plan.where("_full > 0"), path).withColumn("_take", F.col("_tokens")).withColumn(
-        "epoch", F.explode(F.sequence(F.lit(0), F.col("_full") - 1)))
-    out = [*rest, F.col("_domain").alias("domain"), "epoch", F.col("_tokens").alias("tokens"), F.col("_take").alias("take_tokens")]
-    return whole.select(*out).unionByName(part.select(*out))
+    ended = (
+        begun.where("_slice = _last")
+        .withColumn("_room", F.col("_left") - (F.sum("_tokens").over(running) - F.col("_tokens")))
+        .where("_room > 0")
+        .withColumn("_take", F.least("_tokens", "_room"))
+    )
+    whole = rows.join(plan.where("_full > 0"), path).withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_full") - 1)))
+
+    def out(df: DataFrame, epoch: str, take: str) -> DataFrame:
+        return df.select(*rest, F.col("_domain").alias("domain"), F.col(epoch).alias("epoch"),
+                         F.col("_tokens").alias("tokens"), F.col(take).alias("take_tokens"))
+
+    return (
+        out(whole, "_epoch", "_tokens")
+        .unionByName(out(begun.where("_slice < _last"), "_full", "_tokens"))
+        .unionByName(out(ended, "_full", "_take"))
+    )
 
 
 def report(docs: DataFrame) -> DataFrame:

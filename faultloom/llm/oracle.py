@@ -83,3 +83,47 @@ select doc_id, cast(len(x) // 2 as bigint) as n_bytes, cast(coalesce(n_removed,
               lambda k : substr(x, 2 * f[k] + 1, 2 * (t[k] - f[k]))), ''))) as kept_sha256
 from j
 """
+
+
+def _dealt(depth: int, weight: str) -> str:
+    """One level of the budget tree: b{depth} has the budget of every node with depth + 1 names."""
+    path = ["domain", "lang", "source"][: depth + 1]
+    keys, parent = ", ".join(path), ", ".join(path[:-1]) or "1"
+    above = (
+        "(select (sum(tokens) * 100) // 100 from leaf)" if depth == 0
+        else f"(select budget from b{depth - 1} p where {' and '.join(f'p.{c} = z.{c}' for c in path[:-1])})"
+    )
+    return f"""
+n{depth} as (select *, {above} as pb from (
+  select {keys}, sum(tokens) * 2 as c, cast({weight} as bigint) as w from leaf group by {keys}) z),
+s{depth} as (select *, sum(c) over (partition by {parent} order by c / w, c rows unbounded preceding) as cu,
+  sum(w) over (partition by {parent} order by c / w, c rows unbounded preceding) as wu,
+  sum(w) over (partition by {parent}) as wa from n{depth}),
+f{depth} as (select *, cu * w + c * (wa - wu) <= pb * w as filled from s{depth}),
+b{depth} as (select {keys}, case when filled then c else w * (pb - cf) // wo end as budget from (
+  select *, sum(case when filled then c else 0 end) over (partition by {parent}) as cf,
+    nullif(sum(case when filled then 0 else w end) over (partition by {parent}), 0) as wo from f{depth}) z)"""
+
+
+SQL["op10_mixing"] = f"""
+with d as (
+  select doc_id, coalesce(nullif(lang, ''), 'unknown') as lang, coalesce(nullif(source, ''), 'unknown') as source,
+         coalesce(case when right(source, 1) between '0' and '3' then 'web' when right(source, 1) between '4' and '6' then 'reference'
+              when right(source, 1) between '7' and '9' then 'forum' end, 'unknown') as domain,
+         cast(coalesce(len(regexp_extract_all(text, '[^ \t\r\n]+')), 0) as bigint) as tokens from documents),
+leaf as (select domain, lang, source, sum(tokens) as tokens from d group by all),
+{_dealt(0, "case domain when 'web' then 5 when 'reference' then 3 when 'forum' then 2 else 1 end")},
+{_dealt(1, "case lang when 'en' then 4 when 'de' then 2 when 'fr' then 2 when 'es' then 1 else 1 end")},
+{_dealt(2, "1")},
+plan as (select domain, lang, source, case when tokens > 0 then budget // tokens else 0 end as f,
+                case when tokens > 0 then budget % tokens else 0 end as rest
+         from leaf join b2 using (domain, lang, source)),
+o as (select d.*, f, rest, sum(tokens) over (partition by domain, lang, source
+        order by md5(concat_ws(':', '42', cast(f as varchar), cast(doc_id as varchar))), tokens rows unbounded preceding) - tokens as before
+      from d join plan using (domain, lang, source))
+select doc_id, domain, lang, source, cast(f as integer) as epoch, tokens,
+       cast(least(tokens, rest - before) as bigint) as take_tokens from o where before < rest
+union all
+select doc_id, domain, lang, source, cast(e as integer), tokens, tokens
+from (select *, unnest(range(0, cast(f as bigint))) as e from o) z
+"""
