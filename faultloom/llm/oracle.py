@@ -127,3 +127,20 @@ union all
 select doc_id, domain, lang, source, cast(e as integer), tokens, tokens
 from (select *, unnest(range(0, cast(f as bigint))) as e from o) z
 """
+
+SQL["op8_chat_formatting"] = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), a as (
+  select conv_id, turn, role, text, 24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|'))
+         + len(regexp_extract_all(role, '<\\*\|')) + 5 * (length(role) - length(replace(role, chr(10), ''))) as n from t
+)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       cast(sum(n) as bigint) as formatted_chars
+from a group by conv_id
+"""
