@@ -9,10 +9,11 @@ once in 45,000; every pair that shares a table is decided exactly:
 
 1. Texts with equal sets are one class, represented by its smallest id (combined before shuffles).
 2. In each table entry every class is compared with the entry's smallest, never all with all.
-3. Entries that still hold several components go on: up to HEADS_PER_ROUND of the classes outside
-   the largest component are compared with those of other components, until every pair of an entry
-   is compared or within one component. Entries shrink with every link, so large groups of near
-   copies need comparisons in proportion to their size.
+3. Entries that still hold several components go on in rounds: some of the classes outside the
+   largest component are compared with those of other components and leave the entry, until every
+   pair of an entry is compared or within one component. A round takes FIRST_HEADS classes of an
+   entry, each later one GROWTH times as many: entries shrink with every link, so large groups of
+   near copies need comparisons in proportion to their size, and what never links ends soon.
 
 Defined cases: null, empty or wordless texts have no shingles, n_shingles 0, and are linked with
 nothing. Texts with fewer words than a shingle have their whole word sequence as their one shingle.
@@ -50,7 +51,7 @@ class Tables:
     tuple_size: int = 3
 
 
-HEADS_PER_ROUND = 8
+FIRST_HEADS, GROWTH = 8, 8
 #: candidate ids up to this many (8 bytes each) are broadcast to pick their texts, more are joined by shuffle
 BROADCAST_IDS = 1_000_000
 
@@ -166,8 +167,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how
     first = settle(full.groupBy("digest").agg(F.min("_id").alias("_id")), "first")
     chosen = full.join(first, ["digest", "_id"], "left_semi").select("_id", "n", "tuples").dropDuplicates(["_id"])
     sizes = settle(chosen, "classes")
-    heads = _entries(sizes, how).groupBy("key").agg(F.min("_id").alias("head"), F.count("*").alias("k")).where("k > 1")
-    entries = settle(_entries(sizes, how).join(heads.select("key", "head"), "key"), "entries")
+    shared = _entries(sizes, how).groupBy("key").agg(F.min("_id").alias("head"), F.count("*").alias("k")).where("k > 1")
+    entries = settle(_entries(sizes, how).join(shared.select("key", "head"), "key"), "entries")
     ids = settle(entries.select("_id").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     texts = settle(source.join(F.broadcast(ids) if few else ids, "_id", "left_semi").dropDuplicates(["_id"]), "texts")
@@ -178,8 +179,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how
     links = compared.where("linked").select("a", "b")
     labels = components(links)
     open_ = entries.where("head <> _id").select("key", "_id")
+    heads = FIRST_HEADS
     while True:
-        pairs, open_ = _next_round(open_, labels)
+        pairs, open_ = _next_round(open_, labels, heads)
+        heads *= GROWTH
         new = settle(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if not new.isEmpty():
             compared_now = _compare(new, sizes, texts, how)
@@ -199,11 +202,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how
     )
 
 
-def _next_round(open_: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _next_round(open_: DataFrame, labels: DataFrame, heads: int) -> tuple[DataFrame, DataFrame]:
     """Pairs to compare now, and the entries left after that.
 
-    Of every entry with several components, some classes outside its largest component are compared
-    with all its classes of other components and then leave the entry.
+    Of every entry with several components, so many classes outside its largest component are
+    compared with all its classes of other components and then leave the entry.
     """
     named = open_.join(labels.select(F.col("node").alias("_id"), "label"), "_id", "left").select(
         "key", "_id", F.coalesce("label", "_id").alias("label")
@@ -218,7 +221,7 @@ def _next_round(open_: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFra
     named = settle(named.join(mixed, "key"), "open")
     turn = Window.partitionBy("key").orderBy("label", "_id")
     now = settle(
-        named.where("label <> main").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= HEADS_PER_ROUND), "now"
+        named.where("label <> main").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= heads), "now"
     )
     mine = now.select("key", F.col("_id").alias("x"), F.col("label").alias("lx"))
     pairs = (
