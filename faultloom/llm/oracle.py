@@ -144,3 +144,19 @@ select conv_id, count(*) as n_turns,
        cast(sum(n) as bigint) as formatted_chars
 from a group by conv_id
 """
+
+SQL["op1_warc_revisits"] = """
+with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+h as (select page_id, octet_length(body) as n,
+             array_to_string(list_transform(range(0, 32), lambda i :
+               substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(list_sum(list_transform(range(1, 6), lambda k :
+                 cast(substr(bits, 5 * i + k, 1) as integer) << cast(5 - k as integer))) as bigint), 1)), '') as digest
+      from (select page_id, body, array_to_string(list_transform(range(1, 41), lambda i :
+              lpad(bin(strpos('0123456789abcdef', substr(x, i, 1)) - 1), 4, '0')), '') as bits
+            from (select page_id, body, sha1(body) as x from p) y) z),
+f as (select digest, min(page_id) as first from h group by 1)
+select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from h join f using (digest)
+"""

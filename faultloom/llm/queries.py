@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, neardup, repeats, toxicity
+from . import chat, decontaminate, mixing, neardup, repeats, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(_table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -39,5 +43,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_toxicity, op5_minhash_near_dedup, op7_suffix_array_dedup, op8_chat_formatting, op9_benchmark_decontamination, op10_mixing)
+    for f in (op1_warc_revisits, op2_toxicity, op5_minhash_near_dedup, op7_suffix_array_dedup, op8_chat_formatting, op9_benchmark_decontamination, op10_mixing)
 }
