@@ -29,7 +29,8 @@ def transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     step = _PACKED
     longest = int(left.max()) + 1
     while True:
-        order = np.argsort(key, kind="stable")
+        # only what is still equal at the end has to keep the order of the pieces
+        order = np.argsort(key, kind="stable" if step >= longest else "quicksort")
         new = np.empty(n, dtype=bool)
         new[0] = True
         np.not_equal(key[order[1:]], key[order[:-1]], out=new[1:])
@@ -71,8 +72,10 @@ def repeated(data: np.ndarray, bounds: np.ndarray, length: int, shards: int = SH
         base += len(order)
     text_at, symbol_before, last_to_first = map(np.concatenate, (text_at, symbol_before, last_to_first))
 
-    rows = np.arange(base)
-    interval = np.zeros(base, dtype=np.int64)
+    # a repeated string ends at least its length behind the start of its piece
+    piece = np.searchsorted(starts, text_at, side="right") - 1
+    rows = np.flatnonzero(text_at - starts[piece] >= length)
+    interval = np.zeros(len(rows), dtype=np.int64)
     for _ in range(length):
         symbol = symbol_before[rows]
         inner = symbol > 0

@@ -38,7 +38,7 @@ from .steps import keyed, settle, small_batches
 LENGTH = 100
 ANCHOR = 32
 #: bytes merged at once in a task, more only if one anchor has more
-MERGE_BYTES = 1 << 20
+MERGE_BYTES = 1 << 17
 #: an anchor is frequent from this many segments on, and from total * (LENGTH + ANCHOR) / 2 ** 20 on
 FREQUENT = 2000
 #: the bit table has 2 ** BUCKET_BITS rows of 2 ** 15 bits, 16 MB
@@ -53,8 +53,8 @@ def anchor_hashes(block: Block) -> np.ndarray:
     return range_hashes(block.data, start, start + ANCHOR)
 
 
-def segments(block: Block, demoted: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """text, first window (byte in the text), number of windows, anchor hash and content hash."""
+def segments(block: Block, demoted: np.ndarray | None, contents: bool = True) -> tuple[np.ndarray, ...]:
+    """text, first window (byte in the text), number of windows, anchor hash and content hash, if wanted."""
     hashes = anchor_hashes(block)
     n = len(block.data) - LENGTH + 1
     if n <= 0:
@@ -80,7 +80,7 @@ def segments(block: Block, demoted: np.ndarray | None) -> tuple[np.ndarray, ...]
     count = np.diff(np.append(first, n))
     good = inside[first]
     first, count = first[good], count[good]
-    content = range_hashes(block.data, first, first + count + LENGTH - 1, _OTHER_BASE)
+    content = range_hashes(block.data, first, first + count + LENGTH - 1, _OTHER_BASE) if contents else first[:0]
     return text[first], first - block.bounds[text[first]], count, hashes[place[first]], content
 
 
@@ -113,7 +113,7 @@ def _anchor_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1), lower=False):
-                yield _rows([segments(block, shared.value)[3].view(np.int64)], ["h"])
+                yield _rows([segments(block, shared.value, False)[3].view(np.int64)], ["h"])
 
     return run
 
@@ -143,7 +143,7 @@ def _frequent_strings(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1), lower=False):
-                text, first, count, h, _ = segments(block, None)
+                text, first, count, h, _ = segments(block, None, False)
                 at = np.searchsorted(shared.value, h)
                 at[at == len(shared.value)] = 0
                 hit = shared.value[at] == h
