@@ -160,3 +160,37 @@ select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest,
        case when page_id <> first then first end as refers_to
 from h join f using (digest)
 """
+
+
+def _license_sql() -> str:
+    from . import licenses as li
+
+    known = li.known_sentences()
+    table = "map {" + ", ".join(f"'{k}': '<{v}>'" for k, v in known.items()) + "}"
+    steps, state = [], "seq"
+    for i, (name, pattern) in enumerate(li.ordered_rules()):
+        last = f"q{i}"
+        steps.append(
+            f"{last} as (select *, replace({state}, '{pattern}', '|') as r{i}, "
+            f"list_resize([]::varchar[], (length({state}) - length(replace({state}, '{pattern}', '|'))) // {len(pattern) - 1}, '{name}') as m{i} "
+            f"from {'q' if i == 0 else f'q{i - 1}'})"
+        )
+        state = f"r{i}"
+    every = "flatten([" + ", ".join(f"m{i}" for i in range(len(steps))) + "])"
+    return f"""
+with s as (
+  select doc_id, list_filter(list_transform(
+           regexp_split_to_array({_LOWERED}, '\\n+|[.;:!?]+[ \\t]+'),
+           lambda x : trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'), ' ')), lambda x : x <> '') as s
+  from (select doc_id, coalesce(text, '') as text from documents) z),
+q as (
+  select doc_id, len(s) as n, replace(regexp_replace(array_to_string(list_transform(s, lambda x : coalesce({table}[x], '?')), ''),
+         '\\?{{4,}}', '|', 'g'), '?', '') as seq from s),
+{", ".join(steps)}
+select doc_id, cast(n as bigint) as n_sentences, cast(length(seq) - length(replace(seq, '<', '')) as bigint) as n_known,
+       array_to_string(list_sort(list_distinct({every})), ',') as licenses, cast(len({every}) as bigint) as n_matches
+from q{len(steps) - 1}
+"""
+
+
+SQL["op6_license_scan"] = _license_sql()

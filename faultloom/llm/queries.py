@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, mixing, neardup, repeats, toxicity, warc
+from . import chat, decontaminate, fingerprints, langid, licenses, mixing, neardup, repeats, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(_table(spark, sf_dir, "documents"))
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.report(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(_table(spark, sf_dir, "documents"))
 
@@ -47,5 +55,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc_revisits, op2_toxicity, op4_document_fingerprints, op5_minhash_near_dedup, op7_suffix_array_dedup, op8_chat_formatting, op9_benchmark_decontamination, op10_mixing)
+    for f in (
+        op1_warc_revisits, op2_toxicity, op3_language_id, op4_document_fingerprints, op5_minhash_near_dedup,
+        op6_license_scan, op7_suffix_array_dedup, op8_chat_formatting, op9_benchmark_decontamination, op10_mixing,
+    )
 }
