@@ -8,12 +8,15 @@ sets. At a similarity of exactly 0.8 the two collections miss a pair once in 2,8
 once in 45,000; every pair that shares a table is decided exactly:
 
 1. Texts with equal sets are one class, represented by its smallest id (combined before shuffles).
-2. In each table entry every class is compared with the entry's smallest, never all with all.
-3. Entries that still hold several components go on in rounds: some of the classes outside the
-   largest component are compared with those of other components and leave the entry, until every
-   pair of an entry is compared or within one component. A round takes FIRST_HEADS classes of an
-   entry, each later one GROWTH times as many: entries shrink with every link, so large groups of
-   near copies need comparisons in proportion to their size, and what never links ends soon.
+2. In each table entry every class is compared with the entry's smallest, its head, never all with
+   all. The comparison also says how many shingles a class shares with the head, and which it has
+   besides.
+3. Two classes x, y of one head that are not in one component yet can share no more than what the
+   smaller of their shares with the head has, and what both have besides it. So they are compared
+   only if they have a shingle besides the head's in common (an equality join on shingles), or if
+   their sizes alone leave room (an equality join on sizes). All other pairs are proven unlinked.
+   Within a group of near copies almost every class is one edit away from the head, so this takes
+   comparisons in proportion to the group.
 
 Defined cases: null, empty or wordless texts have no shingles, n_shingles 0, and are linked with
 nothing. Texts with fewer words than a shingle have their whole word sequence as their one shingle.
@@ -31,7 +34,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .bytewords import Block, blocks, byte_table, mix, sequence_hashes
 from .graph import components
@@ -51,7 +53,6 @@ class Tables:
     tuple_size: int = 3
 
 
-FIRST_HEADS, GROWTH = 8, 8
 #: candidate ids up to this many (8 bytes each) are broadcast to pick their texts, more are joined by shuffle
 BROADCAST_IDS = 1_000_000
 
@@ -118,32 +119,36 @@ def _verifier(how: Tables):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sets_b = [s for block in blocks(batch.column(3)) for s in shingle_sets(block, how.words)]
-            good = []
+            a, b, more = (batch.column(i).to_pylist() for i in range(3))
+            sets_b = [s for block in blocks(batch.column(4)) for s in shingle_sets(block, how.words)]
+            rows = []
             for i, s in enumerate(sets_b):
                 if left is None or a[i] != last:
-                    last, left = a[i], one(batch.column(2)[i].as_py())
+                    last, left = a[i], one(batch.column(3)[i].as_py())
                 at = np.searchsorted(left, s)
                 at[at == len(left)] = 0
-                both = int((left[at] == s).sum()) if len(left) else 0
-                good.append(100 * both >= how.percent * (len(left) + len(s) - both))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(good, pa.bool_())], ["a", "b", "linked"])
+                shared = left[at] == s if len(left) else np.zeros(len(s), dtype=bool)
+                both = int(shared.sum())
+                linked = 100 * both >= how.percent * (len(left) + len(s) - both)
+                rows.append((a[i], b[i], linked, both, len(s), s[~shared].view(np.int64) if more[i] else None))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            columns = list(zip(*rows)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "b", "linked", "shared", "n", "besides"]
+            )
 
     return verify
 
 
-def _compare(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, how: Tables) -> DataFrame:
-    """a, b, linked for pairs (a, b); pairs whose sizes rule a link out are dropped first."""
-    na = sizes.select(F.col("_id").alias("a"), F.col("n").alias("na"))
-    nb = sizes.select(F.col("_id").alias("b"), F.col("n").alias("nb"))
-    likely = (
-        pairs.join(na, "a").join(nb, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * how.percent).select("a", "b")
-    )
-    full = likely.join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("tb")), "b").join(
+def _compare(pairs: DataFrame, texts: DataFrame, how: Tables) -> DataFrame:
+    """a, b, linked, shared, n (of b), besides (shingles b has and a has not, where more is true)."""
+    full = pairs.join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("tb")), "b").join(
         texts.select(F.col("_id").alias("a"), F.col("_text").alias("ta")), "a"
     )
-    return settle(full.select("a", "b", "ta", "tb").mapInArrow(_verifier(how), "a long, b long, linked boolean"), "compared")
+    made = full.select("a", "b", "more", "ta", "tb").mapInArrow(
+        _verifier(how), "a long, b long, linked boolean, shared long, n long, besides array<long>"
+    )
+    return settle(made, "compared")
 
 
 def _entries(signed: DataFrame, how: Tables) -> DataFrame:
@@ -172,25 +177,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how
     ids = settle(entries.select("_id").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     texts = settle(source.join(F.broadcast(ids) if few else ids, "_id", "left_semi").dropDuplicates(["_id"]), "texts")
-    sizes = sizes.select("_id", "n")
-
     pairs = entries.where("head <> _id").select(F.col("head").alias("a"), F.col("_id").alias("b")).distinct()
-    compared = _compare(pairs, sizes, texts, how)
+    several = pairs.groupBy("a").agg((F.count("*") > 1).alias("more"))
+    compared = _compare(pairs.join(several, "a"), texts, how)
     links = compared.where("linked").select("a", "b")
     labels = components(links)
-    open_ = entries.where("head <> _id").select("key", "_id")
-    heads = FIRST_HEADS
-    while True:
-        pairs, open_ = _next_round(open_, labels, heads)
-        heads *= GROWTH
-        new = settle(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if not new.isEmpty():
-            compared_now = _compare(new, sizes, texts, how)
-            compared = compared.unionByName(compared_now)
-            links = links.unionByName(compared_now.where("linked").select("a", "b"))
-            labels = components(links)
-        if open_.isEmpty():
-            break
+    open_ = settle(_open_pairs(compared, labels, how), "pairs").join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    left, right = sizes.select(F.col("_id").alias("a"), F.col("n").alias("na")), sizes.select(F.col("_id").alias("b"), F.col("n").alias("nb"))
+    fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * how.percent
+    open_ = settle(open_.join(left, "a").join(right, "b").where(fit).select("a", "b", F.lit(False).alias("more")), "pairs")
+    if not open_.isEmpty():
+        links = links.unionByName(_compare(open_, texts, how).where("linked").select("a", "b"))
+        labels = components(links)
     return (
         signed.join(first.select("digest", F.col("_id").alias("node")), "digest", "left")
         .join(labels, "node", "left")
@@ -202,36 +200,37 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how
     )
 
 
-def _next_round(open_: DataFrame, labels: DataFrame, heads: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to compare now, and the entries left after that.
-
-    Of every entry with several components, so many classes outside its largest component are
-    compared with all its classes of other components and then leave the entry.
-    """
-    named = open_.join(labels.select(F.col("node").alias("_id"), "label"), "_id", "left").select(
-        "key", "_id", F.coalesce("label", "_id").alias("label")
+def _open_pairs(compared: DataFrame, labels: DataFrame, how: Tables) -> DataFrame:
+    """Pairs (a, b) of different components under one head that may be linked for all that is known."""
+    named = (
+        compared.where(F.col("besides").isNotNull())
+        .join(labels.select(F.col("node").alias("b"), "label"), "b", "left")
+        .withColumn("label", F.coalesce("label", "b"))
     )
-    sums = named.groupBy("key", "label").agg(F.count("*").alias("k"))
     mixed = (
-        sums.groupBy("key")
-        .agg(F.max(F.struct("k", F.negative("label").alias("label"))).alias("most"), F.count("*").alias("labels"))
-        .where("labels > 1")
-        .select("key", F.negative("most.label").alias("main"))
-    )
-    named = settle(named.join(mixed, "key"), "open")
-    turn = Window.partitionBy("key").orderBy("label", "_id")
-    now = settle(
-        named.where("label <> main").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= heads), "now"
-    )
-    mine = now.select("key", F.col("_id").alias("x"), F.col("label").alias("lx"))
-    pairs = (
-        named.join(mine, "key")
-        .where("label <> lx")
-        .select(F.least("x", "_id").alias("a"), F.greatest("x", "_id").alias("b"))
-        .distinct()
+        named.groupBy("a", "label").agg(F.count("*").alias("k"))
+        .groupBy("a").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels"))
+        .where("labels > 1").select("a", "main")
+    )
+    members = settle(named.join(mixed, "a"), "members")
+    pair = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    # of two components one is not the largest
+    mine = members.where("label <> main").select("a", F.col("b").alias("x"), F.col("label").alias("lx"), F.explode("besides").alias("s"))
+    yours = members.select("a", F.col("b").alias("y"), F.col("label").alias("ly"), F.explode("besides").alias("s"))
+    alike = mine.join(yours, ["a", "s"]).where("lx <> ly").select(*pair).distinct()
+    # nothing in common besides the head: |x| + |y| <= shared * (100 + percent) / percent for both; a
+    # class that is linked to the head is in its component, so one of the two is not
+    p = how.percent
+    room = F.floor(F.col("shared") * (100 + p) / p).cast("long") - F.col("n")
+    least = F.ceil(F.col("n") * p / 100).cast("long")
+    tight = (
+        members.withColumns({"room": room, "least": least})
+        .where(~F.col("linked") & (F.col("room") >= F.col("least")))
+        .select("a", F.col("b").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.explode(F.sequence("least", "room")).alias("size"))
     )
-    left = settle(named.join(now.select("key", "_id"), ["key", "_id"], "left_anti").select("key", "_id"), "open")
-    return pairs, left
+    others = members.select("a", F.col("b").alias("y"), F.col("label").alias("ly"), F.col("n").alias("size"), room.alias("room_y"))
+    sized = tight.join(others, ["a", "size"]).where("lx <> ly and room_y >= nx").select(*pair).distinct()
+    return alike.unionByName(sized).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Tables = Tables()) -> DataFrame:
