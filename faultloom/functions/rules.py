@@ -214,8 +214,8 @@ def hash_bucket(key: Column | str, buckets: int = 10) -> Column:
 
 def uniform(seed: int, *key: Column | str) -> Column:
     """Repeatable draw in [0, 1) per key: the same row gets the same value on any executor."""
-    draw = F.xxhash64(F.lit(seed), *[col(k) for k in key])
-    return F.pmod(draw, F.lit(1 << 40)) / F.lit(float(1 << 40))
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in key]))
+    return F.conv(F.substring(draw, 1, 10), 16, 10).cast("long") / F.lit(float(1 << 40))
 
 
 def uniform_int(seed: int, lo: int, hi: int, *key: Column | str) -> Column:

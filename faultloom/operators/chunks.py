@@ -67,13 +67,16 @@ def chunk_table(documents: DataFrame, carry: tuple[str, ...] = (), **options) ->
     )
 
 
-def searchable_chunks(chunks: DataFrame, metadata: DataFrame, files: DataFrame) -> DataFrame:
-    """Meaningful chunks of active documents with active files (17 columns).
+SEARCHABLE = (
+    "chunk_id", "document_id", "document_title", "category", "equipment_types", "fault_codes",
+    "chunk_sequence", "chunk_text", "chunk_type", "section_name", "page_number",
+    "char_start_position", "char_end_position", "document_version", "last_reviewed",
+    "file_url", "file_last_modified",
+)
 
-    Both joins are on unique keys of the right side. No side is hinted: Spark broadcasts what it
-    measures as small, and otherwise splits the partition of a document that holds too many chunks.
-    """
-    c = chunks.filter("is_meaningful")
+
+def _described(metadata: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Active documents and active files, with what a searchable chunk says of both."""
     m = metadata.filter("is_active").select(
         "document_id", F.col("title").alias("document_title"), "category", "equipment_types",
         "fault_codes", "document_version", "last_reviewed",
@@ -81,12 +84,27 @@ def searchable_chunks(chunks: DataFrame, metadata: DataFrame, files: DataFrame)
     f = files.filter(F.col("file_status") == "ACTIVE").select(
         "file_path", "file_url", F.col("last_modified").alias("file_last_modified")
     )
-    return c.join(m, "document_id").join(f, "file_path").select(
-        "chunk_id", "document_id", "document_title", "category", "equipment_types", "fault_codes",
-        "chunk_sequence", "chunk_text", "chunk_type", "section_name", "page_number",
-        "char_start_position", "char_end_position", "document_version", "last_reviewed",
-        "file_url", "file_last_modified",
-    )
+    return m, f
+
+
+def searchable_chunks(chunks: DataFrame, metadata: DataFrame, files: DataFrame) -> DataFrame:
+    """Meaningful chunks of active documents with active files (17 columns), from a chunk table.
+
+    Where the texts are at hand, searchable_documents gives the same rows without moving chunks.
+    """
+    m, f = _described(metadata, files)
+    kept = chunks.filter("is_meaningful")
+    return kept.join(m, "document_id").join(f, "file_path").select(*SEARCHABLE)
+
+
+def searchable_documents(documents: DataFrame, metadata: DataFrame, files: DataFrame) -> DataFrame:
+    """searchable_chunks straight from the texts: a document meets its metadata and file before it
+    is cut, one row each, so no chunk is shuffled and no key is hot."""
+    m, f = _described(metadata, files)
+    joined = documents.select("document_id", "file_path", "content").join(m, "document_id").join(f, "file_path")
+    carried = tuple(c for c in joined.columns if c not in ("document_id", "file_path", "content"))
+    cut = chunk_table(joined, id_cols=("document_id", "file_path", *carried), carry=carried)
+    return cut.filter("is_meaningful").select(*SEARCHABLE)
 
 
 def chunk_preview(chunks: DataFrame, n: int = 10) -> DataFrame:

@@ -1,7 +1,7 @@
 """Upserts and inserts against tables without row-level updates.
 
 Each returns the new state of the target as a DataFrame; write it to a new path and switch readers
-to it (see sources.tables.publish). Nothing here overwrites what it reads.
+to it. Nothing here overwrites what it reads.
 """
 
 from __future__ import annotations

@@ -91,23 +91,12 @@ def step_lists(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 def _equipment_matches(names: DataFrame, wanted: DataFrame) -> DataFrame:
     """(name, equipment) where the fault's equipment occurs in a document's name, case-blind.
 
-    Both sides are short distinct labels. Unfolding a name into all its substrings turns
-    "contains" into an equality.
+    Both sides are distinct labels; they meet through the token lookup.
     """
-    lower = F.lower("name")
-    size = F.length(lower)
-    cuts = F.flatten(F.transform(
-        F.sequence(F.lit(1), size),
-        lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substr(lower, i, n)),
-    ))
-    parts = names.filter(F.length("name") > 0).select(
-        "name", F.explode(F.array_distinct(cuts)).alias("_part")
-    )
-    hits = parts.join(wanted.withColumn("_part", F.lower("equipment_type")), "_part")
-    blank = names.select("name", F.explode(F.array(F.lit(""))).alias("_part")).join(
-        wanted.filter(F.col("equipment_type") == "").withColumn("_part", F.lit("")), "_part"
-    )
-    return hits.unionByName(blank).select("name", "equipment_type").distinct()
+    lower = lambda c: F.lower(F.col(c)).alias("_lower")
+    wanted = wanted.select("equipment_type", lower("equipment_type"))
+    hits = containing(names.select("name", lower("name")), ["name"], "_lower", wanted, "_lower")
+    return hits.join(wanted, "_lower").select("name", "equipment_type").distinct()
 
 
 def best_sop(faults: DataFrame, sops: DataFrame) -> DataFrame:
@@ -137,10 +126,13 @@ def best_sop(faults: DataFrame, sops: DataFrame) -> DataFrame:
         .join(codes, "fault_code", "left_semi")
         .withColumn("tenths", F.lit(fixed.MATCH_CODE))
     )
-    mentioned = containing(
-        sops.select("document_id", signature, described.alias("body")),
-        ["document_id", "sig"], "body", codes, "fault_code",
-    ).withColumn("tenths", F.lit(fixed.MATCH_CONTENT))
+    mentioned = (
+        containing(
+            sops.select("document_id", described.alias("body")), ["document_id"], "body", codes, "fault_code"
+        )
+        .join(sops.select("document_id", signature), "document_id")
+        .select("document_id", "sig", "fault_code", F.lit(fixed.MATCH_CONTENT).alias("tenths"))
+    )
     known = (
         listed.unionByName(mentioned).groupBy("document_id", "sig", "fault_code")
         .agg(F.sum("tenths").alias("tenths"))

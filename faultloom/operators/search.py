@@ -139,8 +139,8 @@ def search_many(index: DataFrame, queries: DataFrame, k: int = 10, literal: bool
 
     Every kind of hit has one fixed score and ties go by (document, sequence), so of each kind the
     first k chunks per pattern, section or title are all that can reach a top k. Texts and labels
-    are looked up together; a pattern with k text hits needs no label hits, which score less. The
-    best score of a chunk counts, and text is fetched for the winners only.
+    are looked up together, the best score of a chunk counts, and text is fetched for the winners
+    only.
     """
     upper = lambda c: F.upper(F.col(c))
     ids = list(ORDER)
@@ -158,7 +158,7 @@ def search_many(index: DataFrame, queries: DataFrame, k: int = 10, literal: bool
     bodies = index.select(*ids, F.lit("text").alias("kind"), upper("chunk_text").alias("body"))
     hits = containing(
         bodies.unionByName(firsts), [*ids, "kind"], "body", asked, "pattern",
-        like=not literal, first=k, per=("kind",), counts=F.col("kind") == "text",
+        like=not literal, first=k, per=("kind",),
     )
     role, kind = F.col("role"), F.col("kind")
     score = rules.first_match(

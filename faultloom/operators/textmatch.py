@@ -3,7 +3,8 @@
 A run of characters without a blank can only occur inside one blank-separated token of a text, and
 a word with a blank on either side only as a whole token. So texts meet patterns by an equality
 join on tokens: directly for patterns of three words or more, else through the vocabulary of
-distinct tokens. Patterns with blanks or wildcards are then tested on the text itself.
+distinct tokens. Patterns with blanks or wildcards are then tested on the text itself, in the same
+pass. Patterns of blanks and wildcards only have no token; they are tested on every text.
 """
 
 from __future__ import annotations
@@ -17,11 +18,8 @@ from ..sources.tables import settle
 GRAM_SIZES = (1, 2, 3, 5)
 # characters from which a whole word is looked up without the vocabulary
 SELECTIVE = 6
-# texts from which the pass over the lowest ids pays for itself
-WORTH_AN_EARLY_END = 50_000
-# no token can equal this one: tokens hold no blanks. Every text is also filed under it, for the
-# patterns that offer nothing to look up
-ANY_TOKEN = " "
+# groups that texts are dealt to for patterns that offer nothing to look up
+SALTS = 512
 
 
 def like_test(body: Column, pattern: Column) -> Column:
@@ -91,101 +89,70 @@ def containing(
     like: bool = False,
     first: int | None = None,
     per: tuple[str, ...] = (),
-    counts: Column | None = None,
 ) -> DataFrame:
     """Distinct (id_cols, pattern) where the text contains the pattern, case-sensitively.
 
     like=True reads % and _ as wildcards. id_cols must identify a text. NULL texts and NULL
     patterns match nothing; an empty pattern matches every text.
 
-    first=k keeps the k lowest ids of each pattern (and of each value of the id columns in `per`).
-    Patterns that reach k within the lowest ids are finished there: what comes later cannot displace
-    those. Only the rarer patterns are then looked up in all texts. `counts` says which ids count
-    towards the k; for the others a finished pattern may lack later ids.
+    first=k keeps the k lowest ids of each pattern (and of each value of the id columns in `per`);
+    every task cuts what it found to that before it is shuffled.
     """
     distinct = patterns.select(F.col(pattern_col).alias("pattern")).distinct()
     known = settle(_with_anchor(distinct.filter(F.col("pattern").isNotNull()), like), "patterns")
-    if first is None:
-        return _lookup(texts, id_cols, text_col, known, like).withColumnRenamed(
-            "pattern", pattern_col
-        )
-    keep = lambda df: first_per(df, ["pattern", *per], id_cols, first)
-    low, total = _low_id(texts, id_cols[0])
-    if total < WORTH_AN_EARLY_END:
-        late = _lookup(texts, id_cols, text_col, known, like, keep)
-        return late.withColumnRenamed("pattern", pattern_col)
-    lowest = texts.filter(F.col(id_cols[0]) <= F.lit(low))
-    early = settle(_lookup(lowest, id_cols, text_col, known, like, keep), "early")
-    counted = early if counts is None else early.filter(counts)
-    ended = counted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= first)
-    rest = settle(known.join(ended, "pattern", "left_anti"), "rest")
-    late = _lookup(texts, id_cols, text_col, rest, like, keep)
-    done = early.join(rest.select("pattern"), "pattern", "left_anti")
-    return done.select(*id_cols, "pattern").unionByName(late).withColumnRenamed(
-        "pattern", pattern_col
-    )
+    present = texts.select(*id_cols, text_col).filter(F.col(text_col).isNotNull())
+    cut = lambda df, keys: df if first is None else first_per(df, keys, id_cols, first)
+    found = _by_token(present, id_cols, text_col, known, like)
+    found = found.unionByName(_by_test(present, id_cols, text_col, known, like))
+    found = cut(found, ["pattern", *per]).distinct()
+    # a pattern of nothing, or of % only, matches every text: the texts are cut before they meet it
+    all_ = known.filter(_matches_all(like)).select("pattern", F.lit(0).alias("_one"))
+    every = cut(present.select(*id_cols), list(per)).distinct().withColumn("_one", F.lit(0))
+    found = found.unionByName(every.join(all_, "_one").select(*id_cols, "pattern"))
+    return found.withColumnRenamed("pattern", pattern_col)
 
 
-def _low_id(texts: DataFrame, id_col: str, groups: int = 64) -> tuple:
-    """(id, number of texts). At least `groups` ids, and typically a few hundred, are at or below
-    the id: it is the largest of the minima of `groups` hash groups. Tasks exchange one row per
-    group."""
-    group = F.pmod(F.xxhash64(id_col), F.lit(groups)).alias("g")
-    minima = texts.groupBy(group).agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("n"))
-    row = minima.agg(F.max("low").alias("low"), F.sum("n").alias("n")).first()
-    return row["low"], row["n"] or 0
+def _matches_all(like: bool) -> Column:
+    pattern = F.col("pattern")
+    return (F.replace(pattern, F.lit("%"), F.lit("")) if like else pattern) == ""
 
 
-def _lookup(
-    texts: DataFrame, id_cols: list[str], text_col: str, known: DataFrame, like: bool, cut=None
-) -> DataFrame:
-    """`containing` for settled rows of _with_anchor; `cut` drops rows before the last shuffle.
+def _test(text_col: str, like: bool) -> Column:
+    body, pattern = F.col(text_col), F.col("pattern")
+    return like_test(body, pattern) if like else body.contains(pattern)
+
 
-    Reads the texts once for the lookup, before that once for the vocabulary if some pattern goes
-    by a part of a token, and after that once more if some pattern needs the test on the text. The
-    lookup table and what was found are settled, so Spark broadcasts them exactly when they measured
-    small and joins by shuffle otherwise.
+def _by_token(texts: DataFrame, id_cols: list[str], text_col: str, known: DataFrame, like: bool) -> DataFrame:
+    """Matches of the patterns that have something to look up.
+
+    Texts are read once for the vocabulary and once for the lookup. The lookup table is settled, so
+    Spark broadcasts it exactly when it measured small and joins by shuffle otherwise.
     """
-    needs = known.agg(
-        F.sort_array(F.collect_set("gram_size")).alias("sizes"),
-        F.coalesce(F.bool_or(F.col("part") == ""), F.lit(False)).alias("anywhere"),
-        F.coalesce(F.bool_or("open"), F.lit(False)).alias("open"),
-    ).first()
-    body = F.col(text_col)
-    tokens = F.array_distinct(F.split(body, " "))
-    present = texts.filter(body.isNotNull())
+    tokens = F.array_distinct(F.split(F.col(text_col), " "))
     entry = lambda df, token: df.select(token.alias("token"), "pattern", "open")
-    hits = entry(known.filter(F.col("whole").isNotNull()), F.col("whole")).unionByName(
-        entry(known.filter(F.col("part") == ""), F.lit(ANY_TOKEN))
-    )
-    if needs["sizes"]:
-        vocabulary = present.select(F.explode(tokens).alias("token")).distinct()
-        filed = vocabulary.select(
-            "token", F.explode(_grams(F.col("token"), needs["sizes"])).alias("gram")
-        )
-        parts = known.filter(F.col("gram_size").isNotNull()).withColumn("gram", _key_gram())
-        held = filed.join(parts, "gram").filter(F.contains("token", "part"))
-        hits = settle(hits.unionByName(entry(held, F.col("token"))), "lookup")
-    if needs["anywhere"]:
-        tokens = F.array_append(tokens, F.lit(ANY_TOKEN))
-    found = (
-        present.select(*id_cols, F.explode(tokens).alias("token"))
-        .join(hits, "token").select(*id_cols, "pattern", "open")
-    )
-    keep = lambda df: (cut(df) if cut else df).distinct()
-    if not needs["open"]:
-        return keep(found.drop("open"))
-    found = settle(found.distinct(), "found")
-    test = like_test(body, F.col("pattern")) if like else body.contains(F.col("pattern"))
-    to_test = found.filter("open").drop("open")
-    proven = texts.select(*id_cols, text_col).join(to_test, id_cols).filter(test)
-    sure = found.filter(~F.col("open")).drop("open")
-    return keep(sure.unionByName(proven.select(*id_cols, "pattern")))
+    whole = entry(known.filter(F.col("whole").isNotNull()), F.col("whole"))
+    vocabulary = texts.select(F.explode(tokens).alias("token")).distinct()
+    filed = vocabulary.select("token", F.explode(_grams(F.col("token"), list(GRAM_SIZES))).alias("gram"))
+    parts = known.filter(F.col("gram_size").isNotNull()).withColumn("gram", _key_gram())
+    held = filed.join(parts, "gram").filter(F.contains("token", "part"))
+    hits = settle(whole.unionByName(entry(held, F.col("token"))), "lookup")
+    met = texts.select(*id_cols, text_col, F.explode(tokens).alias("token")).join(hits, "token")
+    return met.filter(~F.col("open") | _test(text_col, like)).select(*id_cols, "pattern")
+
+
+def _by_test(texts: DataFrame, id_cols: list[str], text_col: str, known: DataFrame, like: bool) -> DataFrame:
+    """Matches of the patterns without a token, by testing every text. The patterns go to every
+    group of texts, so no group holds more than its share of them."""
+    group = F.pmod(F.xxhash64(*id_cols), F.lit(SALTS)).cast("int").alias("_group")
+    odd = known.filter((F.col("part") == "") & ~_matches_all(like))
+    spread = odd.select("pattern", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_group"))
+    met = texts.select(*id_cols, text_col, group).join(spread, "_group")
+    return met.filter(_test(text_col, like)).select(*id_cols, "pattern")
 
 
 def first_per(df: DataFrame, key: str | list[str], order: list, k: int) -> DataFrame:
     """The rows with the first k distinct order values per key. Tasks cut their rows to that before
     they shuffle, so a key that most rows share arrives already short."""
-    keys = [key] if isinstance(key, str) else key
+    keys = [key] if isinstance(key, str) else (key or [F.lit(1)])
     rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")

@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import work_dir
-
-# queries held by a task at a time; 16384 x 64 doubles are 8 MB
-QUERIES_PER_PASS = 16384
+# size of a block of vectors as Spark estimates it; two blocks meet in a task
+BLOCK_BYTES = 16 << 20
+# query and corpus vectors that are multiplied at once: 4 MB of scores
+TILE_QUERIES, TILE_VECTORS = 256, 2048
 
 
 def _unit(rows) -> np.ndarray:
@@ -19,35 +19,44 @@ def _unit(rows) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _pass(queries: pd.DataFrame, corpus: DataFrame, k: int, skip_same: bool) -> DataFrame:
-    """Each task multiplies its vectors with the queries and keeps k per query."""
-    matrix, query_ids = _unit(queries["vector"]), queries["query_id"].to_numpy()
+def _meet(k: int, skip_same: bool):
+    """The k best of one corpus block for every query of one query block, tile by tile."""
+
+    def meet(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(queries) and len(corpus):
+            vectors, vec_ids = _unit(corpus["vector"]), corpus["vec_id"].to_numpy()
+            for a in range(0, len(queries), TILE_QUERIES):
+                part = queries.iloc[a : a + TILE_QUERIES]
+                matrix, query_ids = _unit(part["vector"]), part["query_id"].to_numpy()
+                ids = np.empty((len(part), 0), dtype=np.int64)
+                scores = np.empty((len(part), 0))
+                for b in range(0, len(vectors), TILE_VECTORS):
+                    new_ids = vec_ids[b : b + TILE_VECTORS]
+                    # rounded so that the order of additions cannot decide a tie
+                    new = np.round(matrix @ vectors[b : b + TILE_VECTORS].T, 9)
+                    if skip_same:
+                        new[query_ids[:, None] == new_ids[None, :]] = -np.inf
+                    ids = np.hstack([ids, np.broadcast_to(new_ids, new.shape)])
+                    scores = np.hstack([scores, new])
+                    best = np.lexsort((ids, -scores), axis=1)[:, :k]
+                    ids = np.take_along_axis(ids, best, axis=1)
+                    scores = np.take_along_axis(scores, best, axis=1)
+                out.append(pd.DataFrame({
+                    "query_id": np.repeat(query_ids, ids.shape[1]),
+                    "vec_id": ids.ravel(),
+                    "similarity": scores.ravel(),
+                }))
+        found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
+        return found[np.isfinite(found["similarity"].astype(float))]
+
+    return meet
 
-    def scan(batches):
-        ids = np.empty((len(query_ids), 0), dtype=np.int64)
-        scores = np.empty((len(query_ids), 0))
-        for batch in batches:
-            if batch.empty:
-                continue
-            new_ids = batch["vec_id"].to_numpy()
-            # rounded so that the order of additions cannot decide a tie
-            new = np.round(matrix @ _unit(batch["vector"]).T, 9)
-            if skip_same:
-                new[query_ids[:, None] == new_ids[None, :]] = -np.inf
-            ids = np.hstack([ids, np.broadcast_to(new_ids, new.shape)])
-            scores = np.hstack([scores, new])
-            best = np.lexsort((ids, -scores), axis=1)[:, :k]
-            ids = np.take_along_axis(ids, best, axis=1)
-            scores = np.take_along_axis(scores, best, axis=1)
-        if ids.size:
-            out = pd.DataFrame({
-                "query_id": np.repeat(query_ids, ids.shape[1]),
-                "vec_id": ids.ravel(),
-                "similarity": scores.ravel(),
-            })
-            yield out[np.isfinite(out["similarity"])]
 
-    return corpus.mapInPandas(scan, "query_id long, vec_id long, similarity double")
+def _blocks(df: DataFrame, block_bytes: int) -> int:
+    """Blocks of about that size, by the optimizer's estimate; runs no job."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, -(-size // block_bytes))
 
 
 def vector_topk(
@@ -57,29 +66,24 @@ def vector_topk(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     skip_same: bool = False,
-    per_pass: int = QUERIES_PER_PASS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The k most similar corpus vectors (cosine) of every query: query_id, rank, vec_id, similarity.
 
-    Exact. Queries go to the tasks in passes of bounded size, split by a hash of their id; the
-    corpus stays where it is and each task returns k rows per query. Passes after the first add
-    their finished rows to one table.
+    Exact. Both sides are dealt to blocks by a hash of their id; every pair of blocks meets in a
+    task of its own, which holds these two blocks, and k rows per query and corpus block remain.
     """
     shape = lambda df, name: df.select(
         F.col(id_col).cast("long").alias(name), F.col(vector_col).alias("vector")
     ).filter(F.col("vector").isNotNull())
     asked, stored = shape(queries, "query_id"), shape(corpus, "vec_id")
-    passes = max(1, -(-asked.count() // per_pass))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(passes))
+    rows, columns = _blocks(asked, block_bytes), _blocks(stored, block_bytes)
+    own = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("_row", own("query_id", rows)).withColumn("_column", every(columns))
+    right = stored.withColumn("_column", own("vec_id", columns)).withColumn("_row", every(rows))
+    found = left.groupBy("_row", "_column").cogroup(right.groupBy("_row", "_column")).applyInPandas(
+        _meet(k, skip_same), "query_id long, vec_id long, similarity double"
+    )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-
-    def run(i: int) -> DataFrame:
-        held = asked.filter(part == i).toPandas()
-        return _pass(held, stored, k, skip_same).withColumn("rank", rank).filter(F.col("rank") <= k)
-
-    if passes == 1:
-        return run(0)
-    path = work_dir(queries.sparkSession, "vectors")
-    for i in range(passes):
-        run(i).write.mode("append").parquet(path)
-    return queries.sparkSession.read.parquet(path)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -62,7 +62,7 @@ def build_corpus(
     metadata = _store(metadata, f"{root}/metadata")
     chunks = _store(ch.chunk_table(documents), f"{root}/chunks")
     index = _store(search.index_documents(documents, metadata), f"{root}/index")
-    searchable = ch.searchable_chunks(chunks, metadata, files)
+    searchable = ch.searchable_documents(documents, metadata, files)
     return {
         "files": files, "metadata": metadata, "chunks": chunks, "index": index,
         "searchable": searchable,

@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import rules, text
+from ..functions import rules, sql, text
 from ..operators import chunks as ch
 from ..operators import faults as fl
 from ..operators import merge, metrics, procedures, quality, search, vectors
 from ..session import tune, work_dir
-from ..sources import files, generate
+from ..sources import files, tables
 from ..sources.tables import settle
 from ..streaming import chunk_refresh, ingest
 from . import batch, derive
@@ -64,17 +64,28 @@ def dashboard(spark, sf):
 
 
 def index(spark, sf, **options):
-    return search.search_index(derive.sop_chunks(spark, sf), derive.sop_metadata(spark, sf), **options)
+    """The index, cut from the documents as it is read; no chunk moves."""
+    return search.index_documents(derive.sop_documents(spark, sf), derive.sop_metadata(spark, sf), **options)
+
+
+_stored: dict[tuple, DataFrame] = {}
+
+
+def _once(spark, sf, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that is written once per application and table folder."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _stored:
+        _stored[key] = settle(make(), name, keep=True)
+    return _stored[key]
 
 
 def stored_index(spark, sf):
     """The index as a written table, for searches that read it more than once."""
-    made = search.index_documents(derive.sop_documents(spark, sf), derive.sop_metadata(spark, sf))
-    return settle(made, "index")
+    return _once(spark, sf, "index", lambda: index(spark, sf))
 
 
 def stored_procedures(spark, sf):
-    return settle(derive.sop_procedures(spark, sf), "procedures")
+    return _once(spark, sf, "procedures", lambda: derive.sop_procedures(spark, sf))
 
 
 # --- fault projections and rules ----------------------------------------------
@@ -263,8 +274,7 @@ def technician_metrics(spark, sf):
 
 @query
 def equipment_reliability(spark, sf):
-    df = metrics.equipment_reliability(enhanced(spark, sf), AS_OF)
-    return df.drop("installation_date", "last_maintenance_date", "predicted_failure_risk")
+    return flat(metrics.equipment_reliability(enhanced(spark, sf), AS_OF))
 
 
 @query
@@ -335,8 +345,8 @@ def chunk_documents(spark, sf):
 
 @query
 def searchable_chunks(spark, sf):
-    return flat(ch.searchable_chunks(
-        derive.sop_chunks(spark, sf), derive.sop_metadata(spark, sf), derive.sop_files(spark, sf)
+    return flat(ch.searchable_documents(
+        derive.sop_documents(spark, sf), derive.sop_metadata(spark, sf), derive.sop_files(spark, sf)
     ))
 
 
@@ -347,8 +357,8 @@ def chunk_stats(spark, sf):
 
 @query
 def searchable_summary(spark, sf):
-    return metrics.searchable_summary(ch.searchable_chunks(
-        derive.sop_chunks(spark, sf), derive.sop_metadata(spark, sf), derive.sop_files(spark, sf)
+    return metrics.searchable_summary(ch.searchable_documents(
+        derive.sop_documents(spark, sf), derive.sop_metadata(spark, sf), derive.sop_files(spark, sf)
     ))
 
 
@@ -454,18 +464,18 @@ def excerpts(spark, sf):
 
 @query
 def fault_context(spark, sf):
-    df = search.fault_context(derive.faults(spark, sf), index(spark, sf))
-    return df.withColumn(
-        "context", F.array_join(F.transform("context", lambda x: x["chunk_id"]), "|")
-    )
+    df = search.fault_context(derive.faults(spark, sf), stored_index(spark, sf))
+    shown = lambda x: F.concat_ws("/", x["position"].cast("string"), x["chunk_id"], x["document_id"], x["chunk_type"])
+    return df.withColumn("context", F.array_join(F.transform("context", shown), "|"))
 
 
 @query
 def ask_questions(spark, sf):
     df = search.ask_questions(stored_index(spark, sf), derive.fault_questions(spark, sf))
-    return df.withColumn(
-        "source_chunks", F.array_join(F.transform("source_chunks", lambda x: x["chunk_id"]), "|")
+    shown = lambda x: F.concat_ws(
+        "/", x["rank"].cast("string"), x["chunk_id"], x["document_id"], F.format_string("%.2f", x["relevance_score"])
     )
+    return df.withColumn("source_chunks", F.array_join(F.transform("source_chunks", shown), "|"))
 
 
 @query
@@ -479,6 +489,81 @@ def vector_topk(spark, sf):
     return flat(vectors.vector_topk(vectors_, vectors_, skip_same=True))
 
 
+@query
+def hybrid_search(spark, sf):
+    """Documents near vector 0 and documents that hold a text, blended; vec_id is the number of a document."""
+    all_ = derive.load(spark, sf, "embeddings")
+    near = vectors.vector_topk(all_.filter("vec_id = 0"), all_, k=50).select(
+        derive._document_id(F.col("vec_id")).alias("document_id"), "similarity"
+    )
+    said = search.search_documents(derive.sop_documents(spark, sf), "diagnostic steps", k=50)
+    return flat(search.hybrid(near, said.select("document_id", "relevance_score"), ["document_id"]))
+
+
+@query
+def search_in_document(spark, sf):
+    return search.search_chunks(index(spark, sf), "the", document_id="SOP-000001", k=10)
+
+
+# --- the SQL surface ----------------------------------------------------------------
+
+def _sql(spark, sf, statement: str) -> DataFrame:
+    """A statement over the library's SQL functions and views of the derived tables."""
+    sql.create_views(
+        spark, AS_OF, faults=derive.faults(spark, sf), chunks=derive.sop_chunks(spark, sf),
+        metadata=derive.sop_metadata(spark, sf), files=derive.sop_files(spark, sf),
+    )
+    sql.register_functions(spark)
+    return spark.sql(statement)
+
+
+@query
+def sql_classify(spark, sf):
+    return _sql(spark, sf, """
+        select fault_id, fault_code, fault_category, classify_fault(fault_code, network_type, equipment_type, location,
+          customers_affected, service_calls_generated, hour(fault_timestamp), dayofweek(fault_timestamp), true)
+          as predicted_category from network_faults""")
+
+
+@query
+def sql_scores(spark, sf):
+    return _sql(spark, sf, """
+        select fault_id, round(calculate_priority_score(fault_category, customers_affected, service_calls_generated,
+          business_hours_fault, equipment_type), 6) as calculated_priority_score
+        from vw_network_faults_enhanced""")
+
+
+@query
+def sql_technician(spark, sf):
+    return flat(_sql(spark, sf, """
+        select fault_id, t.* from (select fault_id, recommend_technician(actual_category, equipment_type, location,
+          original_priority_score) as t from vw_fault_analysis)"""))
+
+
+@query
+def sql_chunks(spark, sf):
+    derive.sop_documents(spark, sf).createOrReplaceTempView("sop_documents")
+    return _sql(spark, sf, """
+        select d.document_id, c.chunk_sequence, c.chunk_text, c.chunk_type, c.section_name, c.char_start as char_start_position,
+          c.char_end as char_end_position
+        from sop_documents d, lateral create_meaningful_chunks(d.content, d.document_id, d.file_path) c""")
+
+
+@query
+def sql_context(spark, sf):
+    return _sql(spark, sf, "select * from get_contextual_chunks('SOP-000001-C002', 2)")
+
+
+@query
+def sql_search(spark, sf):
+    return _sql(spark, sf, "select * from search_sop_chunks('safety requirements', result_limit => 10)")
+
+
+@query
+def sql_similar(spark, sf):
+    return flat(_sql(spark, sf, "select * from find_similar_faults('cable fault', 0.3, 20)"))
+
+
 # --- repair procedures ------------------------------------------------------------
 
 @query
@@ -542,8 +627,80 @@ def dq_report(spark, sf):
     )
 
 
+@query
+def schema_report(spark, sf):
+    """Required columns that loads lack, with the rows of these loads."""
+    loads = {
+        "network_faults": (derive.faults(spark, sf).drop("location"), quality.REQUIRED_FAULT_COLUMNS),
+        "sop_documents": (derive.sop_documents(spark, sf).drop("title", "content"), quality.REQUIRED_DOCUMENT_COLUMNS),
+    }
+    rows = [
+        df.agg(F.count(F.lit(1)).alias("record_count")).select(
+            F.lit(name).alias("table_name"), F.lit(",".join(quality.missing_columns(df, required))).alias("missing"), "record_count"
+        )
+        for name, (df, required) in loads.items()
+    ]
+    return rows[0].unionByName(rows[1])
+
+
+@query
+def count_report(spark, sf):
+    made = metrics.load_summary({"Network Faults": derive.faults(spark, sf), "PDF Files": derive.sop_files(spark, sf)})
+    return quality.record_counts(made, {"Network Faults": 1000, "PDF Files": 1000})
+
+
 # --- sources, batch jobs and streams ------------------------------------------------
 
+@query
+def normalized_faults(spark, sf):
+    """Faults as another system names them: upper case, another time column, no score."""
+    raw = derive.faults(spark, sf).select("fault_id", F.col("fault_timestamp").alias("created_at"), "fault_code", "location")
+    made = fl.normalize_schema(raw.toDF(*[c.upper() for c in raw.columns]))
+    return made.select("fault_id", "fault_timestamp", "resolution_timestamp", "fault_code", "location", "fault_category", "priority_score")
+
+
+@query
+def appended_training(spark, sf):
+    """Training rows appended in two loads."""
+    path = work_dir(spark, "training")
+    rows = fl.training_features(derive.faults(spark, sf))
+    for part in (0, 1):
+        tables.write_append(rows.filter(rules.hash_bucket("fault_id", 2) == part), path)
+    return tables.read_table(spark, path).withColumn("features", F.to_json("features"))
+
+
+@query
+def filled_defaults(spark, sf):
+    """Metadata that gives no version, author or dates, filled at ingest."""
+    raw = derive.sop_metadata(spark, sf).drop("document_version", "last_reviewed").withColumn(
+        "is_active", F.when(F.col("is_active"), True)
+    )
+    made = files.metadata_defaults(raw, AS_OF)
+    return made.select("document_id", "document_version", "author", "creation_date", "last_reviewed", "is_active",
+                       "created_timestamp", "updated_timestamp")
+
+
+@query
+def json_documents(spark, sf):
+    """Documents written as JSON lines and read back."""
+    path = work_dir(spark, "json")
+    named = ("document_id", "title", "category", "equipment_types", "fault_codes", "content")
+    files.export_json(derive.sop_documents(spark, sf).select(*named), path)
+    return flat(files.read_sop_json(spark, path, one_per_file=False).withColumn("content", F.md5("content")))
+
+
+@query
+def rejected_rows(spark, sf):
+    """What the CSV load rejects: every thirteenth fault has a count that is no number."""
+    path = work_dir(spark, "faults-csv")
+    shown = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("null"))
+    spoilt = F.substring("fault_id", 2, 12).cast("long") % 13 == 0
+    rows = derive.faults(spark, sf).withColumns({c: shown(c) for c in ("fault_timestamp", "resolution_timestamp")})
+    files.export_csv(rows.withColumn("customers_affected", F.when(spoilt, "many").otherwise(F.col("customers_affected").cast("string"))), path)
+    _, bad = files.read_faults_csv(spark, path)
+    return bad.select(F.get_json_object("raw", "$.fault_id").alias("fault_id"), F.col("_reason").alias("reason"))
+
+
 def _faults_as_csv(spark, sf):
     """The derived faults as CSV files, with a null token in place of an unknown resolution."""
     path = work_dir(spark, "faults-csv")
@@ -593,14 +750,15 @@ def streamed_faults(spark, sf):
 
 @query
 def streamed_chunks(spark, sf):
-    """Documents that arrive in two versions, through the refresh stream. The first version of a
-    document holds its title only; the current chunks come from the second."""
+    """Documents that arrive in two versions, through the refresh stream, every other one with the
+    newer version first. The older version holds the title only and must not replace the newer."""
     root = work_dir(spark, "refresh")
     documents = derive.sop_documents(spark, sf).select("document_id", "file_path", "title", "content")
-    for stamp, text_col in (("2024-01-30", "title"), (AS_OF, "content")):
+    late = F.substring("document_id", -1, 1).cast("int") % 2 == 1
+    for newer in (late, ~late):
         documents.select(
-            "document_id", "file_path", F.col(text_col).alias("content"),
-            F.lit(stamp).cast("timestamp_ntz").alias("updated_timestamp"),
+            "document_id", "file_path", F.when(newer, F.col("content")).otherwise(F.col("title")).alias("content"),
+            F.when(newer, AS_OF).otherwise("2024-01-30").cast("timestamp_ntz").alias("updated_timestamp"),
         ).write.mode("append").parquet(f"{root}/documents")
         chunk_refresh.stream_chunks(
             spark, f"{root}/documents", f"{root}/log", f"{root}/checkpoint", interval=None
@@ -608,8 +766,3 @@ def streamed_chunks(spark, sf):
     return chunk_refresh.current_chunks(spark, f"{root}/log").drop("page_number", "is_meaningful")
 
 
-@query
-def generated_faults(spark, sf):
-    """One synthetic fault per event key: the mix that comes out. Drawn values, so rows only."""
-    ids = derive.load(spark, sf, "events").select(F.col("event_id").alias("id"))
-    return flat(metrics.fault_profile(generate.generate_faults(ids, 42, AS_OF)))

@@ -474,10 +474,24 @@ select technician_type_required || '_' || location || '_' || fault_category || '
  cast(date_trunc('month', max(fault_timestamp)) as timestamp) as period_end
 from enhanced where is_resolved group by technician_type_required, location, fault_category""")
 
+def _draw(seed: int) -> str:
+    key = "concat_ws('|', '%d', equipment_type, location, network_type)" % seed
+    return f"(cast('0x' || substr(md5({key}), 1, 10) as bigint) / {float(1 << 40)}::double)"
+
+
+def _drawn_day(seed: int, days: tuple[int, int]) -> str:
+    lo, hi = days
+    return f"cast({NOW} as date) - cast(floor({_draw(seed)} * {hi - lo + 1}) + {lo} as int)"
+
+
 SQL["equipment_reliability"] = with_("enhanced", f"""
 select equipment_type || '_' || location || '_' || cast(row_number() over
   (partition by equipment_type, location order by n desc, network_type) as varchar) as equipment_id,
  equipment_type, location, network_type, fault_count_30_days, fault_count_90_days,
+ {_drawn_day(0, fixed.INSTALL_DAYS)} as installation_date,
+ {_drawn_day(1, fixed.MAINTENANCE_DAYS)} as last_maintenance_date,
+ round(case {" ".join(f"when n > {b} then {_draw(2)} * ({hi} - {lo}) + {lo}" for b, _, (lo, hi) in fixed.RELIABILITY_BANDS)}
+  else {_draw(2)} * {fixed.RELIABILITY_DEFAULT[1][1]} end, 6) as predicted_failure_risk,
  case when n > 10 then 'High' when n > 5 then 'Medium' else 'Low' end as maintenance_priority
 from (select equipment_type, location, network_type, count(*) as n,
   count(*) filter (where fault_timestamp >= {NOW} - interval 30 day) as fault_count_30_days,
@@ -686,10 +700,10 @@ select document_id, {excerpt("content", "'check code'")} as excerpt from procs""
 _place = " ".join(f"when '{t}' then {i}" for i, t in enumerate(fixed.CONTEXT_TYPE_ORDER, 1))
 SQL["fault_context"] = with_("idx faults", f"""
 , ranked as (
- select code, chunk_id, row_number() over (partition by code
+ select code, chunk_id, document_id, chunk_type, row_number() over (partition by code
    order by case chunk_type {_place} else 5 end, document_id, chunk_sequence) as place
  from (select *, unnest(fault_codes) as code from idx) qualify place <= 5),
-lists as (select code, cast(count(*) as int) as n, string_agg(chunk_id, '|' order by place) as ids
+lists as (select code, cast(count(*) as int) as n, string_agg(concat_ws('/', cast(place as varchar), chunk_id, document_id, chunk_type), '|' order by place) as ids
  from ranked group by code)
 select fault_id, fault_code, coalesce(n, 0) as context_size, ids as context
 from faults left join lists on code = fault_code""")
@@ -699,7 +713,8 @@ SQL["ask_questions"] = with_("idx questions", f"""
  from questions),
 hits as ({ranked("composed", 5)}),
 lists as (select query_text, cast(count(*) as int) as n,
- string_agg(chunk_id, '|' order by "rank") as ids from hits group by query_text)
+ string_agg(concat_ws('/', cast("rank" as varchar), chunk_id, document_id, printf('%.2f', relevance_score)), '|' order by "rank") as ids
+ from hits group by query_text)
 select question, equipment_type, fault_code, query_text, coalesce(n, 0) > 0 as answer_found,
  'Sources found for: ' || question as answer_text, coalesce(n, 0) as chunks_used, ids as source_chunks
 from composed left join lists using (query_text)""")
@@ -831,3 +846,52 @@ union all select 'Chunks ' || chunk_type, count(*) from chunks group by chunk_ty
 union all select 'Index', count(*) from idx""")
 
 SQL["streamed_chunks"] = with_("chunks", "select * from chunks")
+
+# --- the SQL surface and operators that other queries do not show -----------------
+
+SQL["sql_classify"] = SQL["classify_faults"]
+SQL["sql_scores"] = with_("analysis", "select fault_id, round(calculated_priority_score, 6) as calculated_priority_score from analysis")
+SQL["sql_technician"] = SQL["technician_recommendation"]
+SQL["sql_chunks"] = with_("chunks", """
+select document_id, chunk_sequence, chunk_text, chunk_type, section_name, char_start_position, char_end_position from chunks""")
+SQL["sql_context"] = with_("chunks", """
+select c.chunk_id, c.document_id, c.chunk_sequence, c.chunk_text, c.chunk_type, c.chunk_id = t.chunk_id as is_target_chunk,
+ abs(c.chunk_sequence - t.chunk_sequence) as distance_from_target
+from chunks t join chunks c on c.document_id = t.document_id
+ and c.chunk_sequence between t.chunk_sequence - 2 and t.chunk_sequence + 2 where t.chunk_id = 'SOP-000001-C002'""")
+SQL["sql_search"] = SQL["search_chunks"]
+SQL["sql_similar"] = SQL["find_similar"]
+
+SQL["search_in_document"] = with_("idx", one_search("the", "document_id = 'SOP-000001'", 10))
+
+SQL["hybrid_search"] = with_("sops", f"""
+, v as (select vec_id, cast(embedding as double[]) as x from embeddings),
+near as (select 'SOP-' || lpad(cast(vec_id as varchar), 6, '0') as document_id, s as similarity from (
+  select b.vec_id, round(list_cosine_similarity(a.x, b.x), 9) as s from v a, v b where a.vec_id = 0
+  order by s desc, b.vec_id limit 50) z),
+said as (select document_id, relevance_score from (
+  select *, {relevance("'diagnostic steps'", "content", "cast(null as varchar)", "title")} as relevance_score from sops where is_active)
+ where relevance_score is not null order by relevance_score desc, document_id limit 50)
+select document_id, round(similarity, 6) as similarity, round(relevance_score, 6) as relevance_score,
+ round(coalesce(similarity, 0) * 0.5 + coalesce(relevance_score, 0) * 0.5, 6) as hybrid_score
+from near full join said using (document_id)""")
+
+SQL["schema_report"] = """
+select 'network_faults' as table_name, 'location' as missing, count(*) as record_count from events
+union all select 'sop_documents', 'title,content', count(*) from documents"""
+SQL["count_report"] = """
+select table_name, record_count, cast(1000 as bigint) as expected_count, record_count = 1000 as matches from (
+ select 'Network Faults' as table_name, count(*) as record_count from events
+ union all select 'PDF Files', count(*) from documents)"""
+SQL["normalized_faults"] = with_("faults", """
+select fault_id, fault_timestamp, cast(null as timestamp) as resolution_timestamp, fault_code, location,
+ 'Unknown' as fault_category, cast(0.5 as double) as priority_score from faults""")
+SQL["appended_training"] = SQL["training_features"]
+SQL["filled_defaults"] = with_("sops", f"""
+select document_id, '1.0' as document_version, 'Engineering' as author, cast({NOW} as date) as creation_date,
+ cast({NOW} as date) as last_reviewed, true as is_active, {NOW} as created_timestamp, {NOW} as updated_timestamp from sops""")
+SQL["json_documents"] = with_("sops", """
+select document_id, title, category, array_to_string(equipment_types, '|') as equipment_types,
+ array_to_string(fault_codes, '|') as fault_codes, md5(content) as content from sops""")
+SQL["rejected_rows"] = with_("faults", """
+select fault_id, 'customers_affected' as reason from faults where cast(substr(fault_id, 2) as bigint) % 13 = 0""")

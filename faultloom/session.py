@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -49,18 +53,43 @@ def local_session(cpus: int | str = "*", app: str = "faultloom", **extra: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir as the cluster names it.
 
-    Where the setting is absent (local runs and tests) a temporary folder takes its place and is
-    recorded in the session, so later calls agree.
+    Where the setting is absent (local runs and tests) a temporary folder takes its place, is
+    recorded in the session, so later calls agree, and goes when Python ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="faultloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_open_scopes: list[list[str]] = []
+
+
+def work_dir(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh path under the shared folder; it goes with the innermost `steps` unless kept."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open_scopes and not keep:
+        _open_scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[None]:
+    """A scope for intermediate tables: what work_dir and settle make in it is deleted at its end.
+
+    Results that are still to be read must be written elsewhere before the scope ends.
+    """
+    made: list[str] = []
+    _open_scopes.append(made)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(made)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in made:
+            at = hadoop(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

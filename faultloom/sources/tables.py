@@ -17,34 +17,13 @@ def write_append(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def settle(df: DataFrame, name: str = "step") -> DataFrame:
+def settle(df: DataFrame, name: str = "step", keep: bool = False) -> DataFrame:
     """Run df now, write it under the shared folder and read it back.
 
     The result has a measured size, so Spark decides from facts whether to broadcast it, and a
-    short lineage that survives lost executors. Meant for results much smaller than their inputs.
+    short lineage that survives lost executors. Tables that are read many times are settled once
+    and kept; the others go with the scope they were made in (session.steps).
     """
-    path = work_dir(df.sparkSession, name)
+    path = work_dir(df.sparkSession, name, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def publish(df: DataFrame, root: str, pointer: str = "CURRENT") -> str:
-    """Write df as a new version below root and switch readers to it.
-
-    Readers follow the pointer table; the version they read is never overwritten.
-    """
-    import uuid
-
-    spark = df.sparkSession
-    version = f"{root}/version={uuid.uuid4().hex}"
-    df.write.parquet(version)
-    spark.createDataFrame([(version,)], "path string").coalesce(1).write.mode("overwrite").json(
-        f"{root}/{pointer}"
-    )
-    return version
-
-
-def current(spark: SparkSession, root: str, pointer: str = "CURRENT") -> DataFrame:
-    """The version of a published table that the pointer names."""
-    path = spark.read.schema("path string").json(f"{root}/{pointer}").first()["path"]
-    return spark.read.parquet(path)

@@ -1,8 +1,8 @@
 """Incremental chunk refresh: documents change, their chunks follow.
 
 The chunk log is append-only. Each batch writes its chunks and the list of documents it touched to
-partitions of its own; the current chunks of a document are those of the last batch that touched
-it. Nothing is rewritten in place, a replay overwrites its own partition, and readers never see a
+partitions of its own, with their versions; the current chunks of a document are those of the
+newest version that came, of equal versions the last. Nothing is rewritten in place, a replay overwrites its own partition, and readers never see a
 document without its chunks, because the list is written after them.
 """
 
@@ -39,8 +39,8 @@ def stream_chunks(
     """Follow a folder of parquet document versions (document_id, file_path, content,
     updated_timestamp) and keep the chunk log below root up to date.
 
-    Batches are taken in order of arrival: a document is replaced by its newest version within the
-    batch. interval=None processes what is there and stops.
+    Of a batch each document's newest version counts; a late old version is logged and never
+    becomes current. interval=None processes what is there and stops.
     """
     schema = "document_id string, file_path string, content string, updated_timestamp timestamp_ntz"
     stream = (
@@ -50,21 +50,27 @@ def stream_chunks(
     def write(batch: DataFrame, batch_id: int) -> None:
         latest = newest(batch)
         _write_batch(chunk_table(latest), f"{root}/chunks", batch_id)
-        _write_batch(batch.select("document_id").distinct(), f"{root}/touched", batch_id)
+        touched = batch.groupBy("document_id").agg(F.max("updated_timestamp").alias("version"))
+        _write_batch(touched, f"{root}/touched", batch_id)
 
     return _start(stream, write, checkpoint, interval)
 
 
 def current_chunks(spark: SparkSession, root: str) -> DataFrame:
-    """Chunks of every document as of the last finished batch."""
-    touched = spark.read.parquet(f"{root}/touched")
-    last = touched.groupBy("document_id").agg(F.max(MARK).alias(MARK))
+    """Chunks of every document's newest version among the finished batches."""
+    last = _last(spark, root).select("document_id", MARK)
     return spark.read.parquet(f"{root}/chunks").join(last, ["document_id", MARK], "left_semi").drop(MARK)
 
 
+def _last(spark: SparkSession, root: str) -> DataFrame:
+    """document_id, version, batch of the newest version; a null version is older than any other."""
+    touched = spark.read.parquet(f"{root}/touched")
+    newest_ = F.max(F.struct(F.col("version"), F.col(MARK))).alias("m")
+    return touched.groupBy("document_id").agg(newest_).select("document_id", "m.version", F.col(f"m.{MARK}").alias(MARK))
+
+
 def compact(spark: SparkSession, root: str, new_root: str) -> None:
     """Write the current chunks to a new root as batch -1; later batches can be appended there."""
     chunks = current_chunks(spark, root)
     _write_batch(chunks, f"{new_root}/chunks", -1)
-    documents = spark.read.parquet(f"{root}/touched").select("document_id").distinct()
-    _write_batch(documents, f"{new_root}/touched", -1)
+    _write_batch(_last(spark, root).drop(MARK), f"{new_root}/touched", -1)

@@ -214,11 +214,7 @@ PATTERNS = sorted(set(phrases(60, 2, 5)) | {"", " ", "%", "_", "__", "% _", "a_c
 
 
 @pytest.mark.parametrize("wild", [False, True])
-@pytest.mark.parametrize("early", [0, 10**9])
-def test_patterns_in_texts(spark, wild, early, monkeypatch):
-    from faultloom.operators import textmatch
-
-    monkeypatch.setattr(textmatch, "WORTH_AN_EARLY_END", early)
+def test_patterns_in_texts(spark, wild):
     bodies = [(i, b) for i, b in enumerate(phrases(200, 1, 12))] + [(900, None), (901, "")]
     texts = spark.createDataFrame(bodies, "id int, body string")
     patterns = spark.createDataFrame([(p,) for p in PATTERNS] + [(None,)], "pattern string")
@@ -233,12 +229,17 @@ def test_patterns_in_texts(spark, wild, early, monkeypatch):
     assert sorted((r.id, r.pattern) for r in short) == sorted((i, p) for p, ids in lowest.items() for i in ids)
 
 
-@pytest.mark.parametrize("early", [0, 10**9])
-@pytest.mark.parametrize("literal", [False, True])
-def test_batch_search_equals_single_searches(spark, literal, early, monkeypatch):
-    from faultloom.operators import textmatch
+@pytest.mark.parametrize("copies", [20, 20_000])
+def test_rare_kind_is_found_at_any_size(spark, copies):
+    texts = spark.range(copies).selectExpr("cast(id as int) as id", "'text' as kind", "'HOLDS BETA' as body")
+    title = spark.createDataFrame([(10**6, "title", "BETA")], "id int, kind string, body string")
+    asked = spark.createDataFrame([("BETA",)], "pattern string")
+    found = containing(texts.union(title), ["id", "kind"], "body", asked, "pattern", first=3, per=("kind",))
+    assert sorted((r.id, r.kind) for r in found.collect()) == [(0, "text"), (1, "text"), (2, "text"), (10**6, "title")]
 
-    monkeypatch.setattr(textmatch, "WORTH_AN_EARLY_END", early)
+
+@pytest.mark.parametrize("literal", [False, True])
+def test_batch_search_equals_single_searches(spark, literal):
     rng = random.Random(3)
     rows = [
         (f"D{d:02d}-C{s:03d}", t, f"D{d:02d}", rng.choice(["Cable guide", "The fault", None]), "Major",
@@ -314,8 +315,8 @@ def test_vectors(spark):
     norm = np.linalg.norm(data, axis=1, keepdims=True)
     unit = np.divide(data, norm, out=np.zeros_like(data), where=norm > 0)
     sims = np.round(unit @ unit.T, 9)
-    for per_pass in (16384, 7):
-        got = vector_topk(df, df.repartition(3), 4, skip_same=True, per_pass=per_pass).collect()
+    for block_bytes in (1 << 30, 1000):
+        got = vector_topk(df, df.repartition(3), 4, skip_same=True, block_bytes=block_bytes).collect()
         for q in range(50):
             order = sorted((i for i in range(50) if i != q), key=lambda i: (-sims[q, i], i))[:4]
             mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])

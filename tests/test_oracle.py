@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from faultloom.plans import catalog, oracle
 from oracle_check import differences, duck
 
 SF = "/root/testdata/sf0.001"
@@ -13,14 +14,15 @@ def con():
     return duck(SF)
 
 
-def test_every_query_has_sql_but_the_drawn_one():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"generated_faults"}
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(oracle.SQL)
+    assert set(catalog.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.oracle_sql()))
+@pytest.mark.parametrize("name", list(oracle.SQL))
 def test_same_as_sql(spark, con, name):
-    problems = differences(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name])
+    problems = differences(catalog.QUERIES[name](spark, SF), con, oracle.SQL[name])
     assert [p for p in problems if p != "no rows"] == []
 
 

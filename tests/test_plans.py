@@ -3,12 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from faultloom.operators import chunks as ch
 from faultloom.operators import faults as fl
 from faultloom.operators import metrics
 from faultloom.operators.textmatch import first_per
-from faultloom.plans import derive
+from faultloom.plans import catalog, derive
 from faultloom.schemas import FAULTS
 
 SF = "/root/testdata/sf0.001"
@@ -23,9 +22,9 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_no_nested_loops_and_no_row_python(spark, name):
-    shown = plan(entry.queries()[name](spark, SF))
+    shown = plan(catalog.QUERIES[name](spark, SF))
     for word in ("CartesianProduct", "NestedLoop", "BatchEvalPython", "ArrowEvalPython"):
         assert word not in shown
     if name in MAP_ONLY:

@@ -166,15 +166,15 @@ def test_insert_missing_and_defaults(spark):
     assert "created_timestamp" in fl.enhance(stamped, AS_OF).columns
 
 
-def test_published_versions(spark, tmp_path):
-    root = f"{tmp_path}/t"
-    tables.publish(spark.range(3).toDF("id"), root)
-    old = tables.current(spark, root)
-    tables.publish(old.filter("id > 0"), root)
-    assert (old.count(), tables.current(spark, root).count()) == (3, 2)
-    tables.write_append(spark.range(2).toDF("id"), f"{root}-log")
-    tables.write_append(spark.range(2).toDF("id"), f"{root}-log")
-    assert tables.read_table(spark, f"{root}-log").count() == 4
+def test_steps_go_with_their_scope(spark):
+    from faultloom.session import steps
+
+    with steps(spark):
+        gone, stays = tables.settle(spark.range(3)), tables.settle(spark.range(2), keep=True)
+        assert gone.count() == 3
+    assert stays.count() == 2
+    with pytest.raises(Exception):
+        spark.read.parquet(gone.inputFiles()[0]).count()
 
 
 def test_quality_jobs(spark):
