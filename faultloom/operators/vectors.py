@@ -54,8 +54,11 @@ def _meet(k: int, skip_same: bool):
 
 
 def _blocks(df: DataFrame, block_bytes: int) -> int:
-    """Blocks of about that size, by the optimizer's estimate; runs no job."""
+    """Blocks of about that size, by the optimizer's estimate; runs no job. Spark has no estimate for
+    rows made by code and then names a huge size; these go to as many blocks as a shuffle makes."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 60:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(1, -(-size // block_bytes))
 
 
