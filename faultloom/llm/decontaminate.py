@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import Block, blocks, byte_table, sequence_hashes
-from .steps import keyed, settle, small_batches
+from .steps import by_id, fresh, keyed, settle, small_batches
 
 WINDOW = 10
 MAX_WINDOWS = 1_000_000
@@ -228,21 +228,22 @@ def contaminated_ids(hits: DataFrame) -> DataFrame:
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The documents without any hit, all columns; rows with a null id are judged by their own text.
-
-    Needs unique ids, as pipeline inputs have; a repeated id goes when one of its rows has hits.
-    """
+    """The documents without any hit, all columns; rows with equal, or null, ids go together."""
     hits = settle(contaminated_ids(find_hits(docs, benchmark, id_col, text_col, **kw)), "hits")
-    return docs.join(hits, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    return by_id(docs, hits.distinct(), id_col, "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """All documents, hit spans cut out of the text by byte bounds (they lie between characters)."""
+    """All documents, hit spans cut out of the text by byte bounds (they lie between characters).
+
+    Ids must be unique; of rows with equal ids only those with the first one's text are cut right.
+    """
     hits = find_hits(docs, benchmark, id_col, text_col, **kw).where(F.size("spans") > 0).select("_id", "spans")
-    hits = settle(hits.dropDuplicates(["_id"]), "hits")
+    name = fresh(docs, "_spans")
+    hits = settle(hits.dropDuplicates(["_id"]).withColumnRenamed("spans", name), "hits")
     raw = F.encode(F.col(text_col), "UTF-8")
     kept = F.aggregate(
-        "spans",
+        name,
         F.struct(F.lit(1).alias("at"), F.lit("").cast("string").alias("out")),
         lambda s, x: F.struct(
             (x["end"] + 1).alias("at"),
@@ -250,8 +251,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         ),
         lambda s: F.concat(s["out"], F.decode(raw.substr(s["at"], F.octet_length(raw)), "UTF-8")),
     )
-    joined = docs.join(hits, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(kept)).drop("_id", "spans")
+    joined = by_id(docs, hits, id_col, "left").withColumn(text_col, F.when(F.col(name).isNull(), F.col(text_col)).otherwise(kept))
+    return joined.select(*docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

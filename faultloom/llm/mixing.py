@@ -111,11 +111,11 @@ def mix(
     """A row per document and epoch it is read in: all columns, domain, epoch, tokens, take_tokens."""
     named = lambda c: F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit(UNKNOWN))
     domain = domain_of(F.col("source")) if domain is None else domain
-    order = F.md5(F.concat_ws(":", F.lit(targets.seed), F.col("_full"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    order = F.md5(F.concat_ws(":", F.lit(targets.seed), F.col("_full"), F.col("_key")))
     own = ["domain", "epoch", "tokens", "take_tokens"]
-    rest = [c for c in docs.columns if c not in own]
+    rest = [c for c in docs.columns if c.lower() not in own]
     rows = docs.select(
-        *rest, named(domain).alias("_domain"), named(F.col("lang")).alias("_lang"), named(F.col("source")).alias("_source"),
+        F.struct(*rest).alias("_row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_key"), named(domain).alias("_domain"), named(F.col("lang")).alias("_lang"), named(F.col("source")).alias("_source"),
         token_count(F.col(text_col)).alias("_tokens"),
     )
     path = ["_domain", "_lang", "_source"]
@@ -147,7 +147,7 @@ def mix(
     whole = rows.join(plan.where("_full > 0"), path).withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_full") - 1)))
 
     def out(df: DataFrame, epoch: str, take: str) -> DataFrame:
-        return df.select(*rest, F.col("_domain").alias("domain"), F.col(epoch).alias("epoch"),
+        return df.select("_row.*", F.col("_domain").alias("domain"), F.col(epoch).alias("epoch"),
                          F.col("_tokens").alias("tokens"), F.col(take).alias("take_tokens"))
 
     return (

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import Block, blocks, byte_table, mix, sequence_hashes
 from .graph import components
-from .steps import keyed, settle, small_batches
+from .steps import by_id, keyed, settle, small_batches
 
 #: every byte but blank and \\t \\n \\v \\f \\r
 WORD_BYTES = byte_table(set(range(256)) - {0x20, *range(0x09, 0x0E)})
@@ -237,7 +237,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     """Of every component the document with the smallest id, all columns; null ids stay."""
     found = classes(docs, id_col, text_col, how)
     gone = settle(found.where(F.col("_id") != F.col("component_id")).select("_id").distinct(), "gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_id"), "left_anti")
+    return by_id(docs, gone, id_col, "left_anti")
 
 
 #: what the contract of op5 fixes

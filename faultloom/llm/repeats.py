@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .bwtmerge import repeated
 from .bytewords import Block, blocks, buffers, mix, range_hashes
-from .steps import keyed, settle, small_batches
+from .steps import by_id, fresh, keyed, settle, small_batches
 
 LENGTH = 100
 ANCHOR = 32
@@ -354,12 +354,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = keyed(docs, id_col, text_col)
     ids = F.broadcast(spans.select("_id")) if spans.count() <= BROADCAST_IDS else spans.select("_id")
     changed = source.join(ids, "_id", "left_semi").dropDuplicates(["_id"]).join(spans, "_id")
-    texts = changed.mapInArrow(_cutter(True), _CUT).select("_id", F.decode("kept", "UTF-8").alias("_kept"))
-    same = F.col(id_col).cast("long") == F.col("_id")
-    touched = docs.join(ids, same, "left_semi").join(texts, same).withColumn(text_col, F.col("_kept"))
+    name = fresh(docs, "_kept")
+    texts = changed.mapInArrow(_cutter(True), _CUT).select("_id", F.decode("kept", "UTF-8").alias(name))
+    touched = by_id(by_id(docs, ids, id_col, "left_semi"), texts, id_col, "inner").withColumn(text_col, F.col(name))
     if size_col in docs.columns:
-        touched = touched.withColumn(size_col, F.length("_kept").cast(docs.schema[size_col].dataType))
-    return docs.join(ids, same, "left_anti").unionByName(touched.select(*docs.columns))
+        touched = touched.withColumn(size_col, F.length(name).cast(docs.schema[size_col].dataType))
+    return by_id(docs, ids, id_col, "left_anti").unionByName(touched.select(*docs.columns))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import Block, blocks, byte_table, mix
-from .steps import keyed, small_batches
+from .steps import fresh, keyed, small_batches
 
 TRAIN_ROWS = 6000
 THRESHOLD = 0.3
@@ -231,9 +231,7 @@ def score(docs: DataFrame, weights: Weights, text_col: str = "text", out_col: st
 
 def keep_civil(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score stays below the threshold, all columns."""
-    name = "_score"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs, "_score")
     scored = score(docs, train(docs, labels, id_col, text_col), text_col, name)
     return scored.where(F.col(name) < threshold).drop(name)
 
