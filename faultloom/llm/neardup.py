@@ -11,12 +11,13 @@ once in 45,000; every pair that shares a table is decided exactly:
 2. In each table entry every class is compared with the entry's smallest, its head, never all with
    all. The comparison also says how many shingles a class shares with the head, and which it has
    besides.
-3. Two classes x, y of one head that are not in one component yet can share no more than what the
-   smaller of their shares with the head has, and what both have besides it. So they are compared
-   only if they have a shingle besides the head's in common (an equality join on shingles), or if
-   their sizes alone leave room (an equality join on sizes). All other pairs are proven unlinked.
-   Within a group of near copies almost every class is one edit away from the head, so this takes
-   comparisons in proportion to the group.
+3. Classes of one head that are not in one component yet are told apart by how each differs from
+   the core of the head's group, the shingles that most of the group has: what a class lacks of the
+   core and what it has besides give the exact overlap of any two. Differences alone that are small
+   enough link a class to the one nearest to the core. All other links need so many differences in
+   common that two classes meet in the first few of them (a prefix join, by equality on shingles);
+   the links found are confirmed on full sets. All other pairs are proven unlinked, so groups of
+   near copies need comparisons in proportion to their size.
 
 Defined cases: null, empty or wordless texts have no shingles, n_shingles 0, and are linked with
 nothing. Texts with fewer words than a shingle have their whole word sequence as their one shingle.
@@ -130,23 +131,28 @@ def _verifier(how: Tables):
                 shared = left[at] == s if len(left) else np.zeros(len(s), dtype=bool)
                 both = int(shared.sum())
                 linked = 100 * both >= how.percent * (len(left) + len(s) - both)
-                rows.append((a[i], b[i], linked, both, len(s), s[~shared].view(np.int64) if more[i] else None))
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                besides = lacks = None
+                if more[i]:
+                    kept = np.ones(len(left), dtype=bool)
+                    kept[at[shared]] = False
+                    besides, lacks = s[~shared].view(np.int64), left[kept].view(np.int64)
+                rows.append((a[i], b[i], linked, both, len(s), besides, lacks))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             columns = list(zip(*rows)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "b", "linked", "shared", "n", "besides"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "b", "linked", "shared", "n", "besides", "lacks"]
             )
 
     return verify
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, how: Tables) -> DataFrame:
-    """a, b, linked, shared, n (of b), besides (shingles b has and a has not, where more is true)."""
+    """a, b, linked, n (of b), besides (shingles b has and a has not), lacks, shared; these where more is true."""
     full = pairs.join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("tb")), "b").join(
         texts.select(F.col("_id").alias("a"), F.col("_text").alias("ta")), "a"
     )
     made = full.select("a", "b", "more", "ta", "tb").mapInArrow(
-        _verifier(how), "a long, b long, linked boolean, shared long, n long, besides array<long>"
+        _verifier(how), "a long, b long, linked boolean, shared long, n long, besides array<long>, lacks array<long>"
     )
     return settle(made, "compared")
 
@@ -182,12 +188,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how
     compared = _compare(pairs.join(several, "a"), texts, how)
     links = compared.where("linked").select("a", "b")
     labels = components(links)
-    open_ = settle(_open_pairs(compared, labels, how), "pairs").join(compared.select("a", "b"), ["a", "b"], "left_anti")
-    left, right = sizes.select(F.col("_id").alias("a"), F.col("n").alias("na")), sizes.select(F.col("_id").alias("b"), F.col("n").alias("nb"))
-    fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * how.percent
-    open_ = settle(open_.join(left, "a").join(right, "b").where(fit).select("a", "b", F.lit(False).alias("more")), "pairs")
-    if not open_.isEmpty():
-        links = links.unionByName(_compare(open_, texts, how).where("linked").select("a", "b"))
+    near, alike = _by_differences(compared, labels, how)
+    near = settle(near, "near")
+    alike = settle(alike.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    if not (near.isEmpty() and alike.isEmpty()):
+        links = links.unionByName(near).unionByName(_compare(alike, texts, how).where("linked").select("a", "b"))
         labels = components(links)
     return (
         signed.join(first.select("digest", F.col("_id").alias("node")), "digest", "left")
@@ -200,37 +205,75 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how
     )
 
 
-def _open_pairs(compared: DataFrame, labels: DataFrame, how: Tables) -> DataFrame:
-    """Pairs (a, b) of different components under one head that may be linked for all that is known."""
+def _by_differences(compared: DataFrame, labels: DataFrame, how: Tables) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) by size of differences alone, and pairs (a, b, more) that their differences link.
+
+    With the core C of a head's group, l the shingles of C a class lacks and e all its differences
+    (those, and what it has besides C), |x & y| = |C| - l_x - l_y + |e_x & e_y|. A link needs it to
+    be p / (100 + p) of |x| + |y|, so |e_x & e_y| has to reach
+    need = p / (100 + p) * (|x| + |y|) - |C| + l_x + l_y = w_x + w_y - |C|, w = l + p / (100 + p) * n.
+    Where need <= 0 for a pair, it is so for each of the two with the class of the smallest w.
+    """
+    p = how.percent
     named = (
         compared.where(F.col("besides").isNotNull())
         .join(labels.select(F.col("node").alias("b"), "label"), "b", "left")
         .withColumn("label", F.coalesce("label", "b"))
     )
     mixed = (
-        named.groupBy("a", "label").agg(F.count("*").alias("k"))
-        .groupBy("a").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels"))
-        .where("labels > 1").select("a", "main")
+        named.groupBy("a", "label").agg(F.count("*").alias("k"), F.max(F.col("shared") + F.size("lacks")).alias("head_size"))
+        .groupBy("a").agg(
+            F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels"), F.sum("k").alias("members"),
+            F.max("head_size").alias("head_size"),
+        )
+        .where("labels > 1").drop("labels")
     )
     members = settle(named.join(mixed, "a"), "members")
-    pair = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    # of two components one is not the largest
-    mine = members.where("label <> main").select("a", F.col("b").alias("x"), F.col("label").alias("lx"), F.explode("besides").alias("s"))
-    yours = members.select("a", F.col("b").alias("y"), F.col("label").alias("ly"), F.explode("besides").alias("s"))
-    alike = mine.join(yours, ["a", "s"]).where("lx <> ly").select(*pair).distinct()
-    # nothing in common besides the head: |x| + |y| <= shared * (100 + percent) / percent for both; a
-    # class that is linked to the head is in its component, so one of the two is not
-    p = how.percent
-    room = F.floor(F.col("shared") * (100 + p) / p).cast("long") - F.col("n")
-    least = F.ceil(F.col("n") * p / 100).cast("long")
-    tight = (
-        members.withColumns({"room": room, "least": least})
-        .where(~F.col("linked") & (F.col("room") >= F.col("least")))
-        .select("a", F.col("b").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.explode(F.sequence("least", "room")).alias("size"))
-    )
-    others = members.select("a", F.col("b").alias("y"), F.col("label").alias("ly"), F.col("n").alias("size"), room.alias("room_y"))
-    sized = tight.join(others, ["a", "size"]).where("lx <> ly and room_y >= nx").select(*pair).distinct()
-    return alike.unionByName(sized).distinct()
+
+    def common(column: str, name: str) -> DataFrame:
+        """By head, the shingles in this column of at least half of its group."""
+        held = members.select("a", "members", F.explode(column).alias("s")).groupBy("a", "s").agg(F.count("*").alias("k"), F.max("members").alias("m"))
+        return held.where("2 * k >= m").groupBy("a").agg(F.collect_list("s").alias(name))
+
+    none = F.array().cast("array<bigint>")
+    cores = settle(
+        mixed.select("a").join(common("besides", "plus"), "a", "left").join(common("lacks", "minus"), "a", "left")
+        .select("a", F.coalesce("plus", none).alias("plus"), F.coalesce("minus", none).alias("minus")),
+        "cores",
+    )
+    lacking = F.concat(F.array_except("lacks", "minus"), F.array_except("plus", "besides"))
+    extra = F.concat(F.array_except("besides", "plus"), F.array_except("minus", "lacks"))
+    known = settle(
+        members.join(cores, "a").select(
+            "a", "b", "label", "main", (F.col("head_size") - F.size("minus") + F.size("plus")).alias("core"),
+            # (100 + p) * w, a whole number
+            (F.size(lacking) * (100 + p) + F.col("n") * p).alias("w"), F.array_sort(F.concat(lacking, extra)).alias("e"),
+        ),
+        "differences",
+    )
+    nearest = known.groupBy("a").agg(F.min(F.struct("w", "b")).alias("best")).select("a", F.col("best.b").alias("x"), F.col("best.w").alias("wx"))
+    near = (
+        known.join(nearest, "a").where((F.col("w") + F.col("wx") <= F.col("core") * (100 + p)) & (F.col("b") != F.col("x")))
+        .select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
+    )
+
+    def prefixed(who: str) -> DataFrame:
+        at = F.posexplode("e").alias(f"at_{who}", "s")
+        return known.select("a", F.col("b").alias(who), F.col("label").alias(f"l{who}"), F.col("w").alias(f"w{who}"),
+                            F.size("e").alias(f"n{who}"), *(["core"] if who == "x" else []), "main", at)
+
+    need = F.ceil((F.col("wx") + F.col("wy") - F.col("core") * (100 + p)) / (100 + p))
+    met = (
+        # of two components one is not the largest
+        prefixed("x").where("lx <> main").drop("main").join(prefixed("y").drop("main"), ["a", "s"])
+        .where((F.col("lx") != F.col("ly")) & (need >= 1) & (F.col("at_x") <= F.col("nx") - need) & (F.col("at_y") <= F.col("ny") - need))
+        .select("a", "x", "y", need.alias("need")).distinct()
+    )
+    ex = known.select("a", F.col("b").alias("x"), F.col("e").alias("ex"))
+    ey = known.select("a", F.col("b").alias("y"), F.col("e").alias("ey"))
+    linked = met.join(ex, ["a", "x"]).join(ey, ["a", "y"]).where(F.size(F.array_intersect("ex", "ey")) >= F.col("need"))
+    pairs = linked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("more")).distinct()
+    return near, pairs
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Tables = Tables()) -> DataFrame:
