@@ -313,7 +313,7 @@ def test_repeats(spark, docs, texts, none, frequent, monkeypatch):
 
 
 def test_repeat_gaps(spark):
-    long = "".join(random.Random(1).choice("abcdefgh") for _ in range(300))
+    long = "".join(random.Random(1).choices("abcdefgh", k=300))
     df = spark.createDataFrame([(None, long), (1, long), (1, long), (2, long)], "doc_id long, text string")
     got = sorted((r._id or -1, r.n_removed) for r in repeats.measure(df).collect())
     # the same start in both rows of id 1 is one occurrence
