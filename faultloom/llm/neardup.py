@@ -247,7 +247,8 @@ def _by_differences(compared: DataFrame, labels: DataFrame, how: Tables) -> tupl
         members.join(cores, "a").select(
             "a", "b", "label", "main", (F.col("head_size") - F.size("minus") + F.size("plus")).alias("core"),
             # (100 + p) * w, a whole number
-            (F.size(lacking) * (100 + p) + F.col("n") * p).alias("w"), F.array_sort(F.concat(lacking, extra)).alias("e"),
+            (F.size(lacking) * (100 + p) + F.col("n") * p).alias("w"), # what hardly any other class has comes first, so prefixes rarely meet by chance
+            F.concat(F.array_sort(extra), F.array_sort(lacking)).alias("e"),
         ),
         "differences",
     )
@@ -267,7 +268,8 @@ def _by_differences(compared: DataFrame, labels: DataFrame, how: Tables) -> tupl
         # of two components one is not the largest
         prefixed("x").where("lx <> main").drop("main").join(prefixed("y").drop("main"), ["a", "s"])
         .where((F.col("lx") != F.col("ly")) & (need >= 1) & (F.col("at_x") <= F.col("nx") - need) & (F.col("at_y") <= F.col("ny") - need))
-        .select("a", "x", "y", need.alias("need")).distinct()
+        # a pair that has several heads is settled under one of them
+        .groupBy("x", "y").agg(F.min(F.struct("a", need.alias("need"))).alias("m")).select("m.a", "x", "y", "m.need")
     )
     ex = known.select("a", F.col("b").alias("x"), F.col("e").alias("ex"))
     ey = known.select("a", F.col("b").alias("y"), F.col("e").alias("ey"))
