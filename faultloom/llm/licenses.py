@@ -1,12 +1,15 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences (at line ends, and at sentence marks before a blank), each normalised to
-lower-case letters, digits and single blanks. Sentences that SENTENCES knows become identifiers; a
-rule is an ordered list of identifiers. A rule matches where its identifiers follow one another with
-at most MAX_GAP unknown sentences between two of them. Rules are tried from the longest to the
-shortest and use up the sentences they match, so the notice inside a full licence text is not
-reported again. All of it is one projection: no shuffle, nothing but the two small tables of rules
-travels.
+A text is cut into pieces (at line ends, and at sentence marks before a blank), each normalised to
+lower-case letters, digits and single blanks. A sentence that SENTENCES knows becomes an identifier
+wherever its words follow one another from the start of a piece to the end of the same or a later
+one: line ends, comment marks and sentence marks inside it don't matter, so that hard-wrapped texts
+are read like running ones. It counts as one sentence however many lines it takes; every other piece
+is an unknown sentence. A rule is an ordered list of identifiers. A rule matches where its
+identifiers follow one another with at most MAX_GAP unknown sentences between two of them. Rules are
+tried from the longest to the shortest and use up the sentences they match, so the notice inside a
+full licence text is not reported again. All of it is one projection: no shuffle, nothing but the
+two small tables of rules travels.
 
 Defined cases: a null or empty text has no sentences and no licences. Repeated notices count each.
 Rows with null or equal ids keep their own results. Other columns are ignored.
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 
 MAX_GAP = 3
 SENTENCE_END = r"\n+|[.;:!?]+[ \t]+"
+COMMENT = "(?:dnl |rem )"  # opens a comment line with letters; other marks fall to the normalising
+WRAPPED = rf"\n{COMMENT}?"  # a line end inside a sentence
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: fixed values: sentences of public licence texts and notices, by identifier
@@ -77,6 +82,54 @@ SENTENCES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies."
     ),
+    "isc-grant-and": (
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "0bsd-grant": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."
+    ),
+    "gpl2-terms": (
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
+        "Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
+    "gpl2-only-terms": (
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by "
+        "the Free Software Foundation."
+    ),
+    "gpl-fitness": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "gpl-see": "See the GNU General Public License for more details.",
+    "lgpl-free-software": "This library is free software;",
+    "lgpl21-terms": (
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "lgpl3-terms": (
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "agpl3-terms": (
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "mpl2-terms": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "unlicense-domain": "This is free and unencumbered software released into the public domain.",
+    "unlicense-grant": (
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or "
+        "as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "boost-grant": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        'accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, '
+        "and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the "
+        "Software is furnished to do so, all subject to the following:"
+    ),
+    "boost-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "zlib-grant": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it "
+        "and redistribute it freely, subject to the following restrictions:"
+    ),
+    "zlib-origin": "The origin of this software must not be misrepresented;",
 }
 
 #: licence, identifiers in order
@@ -98,6 +151,21 @@ RULES = [
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("ISC", ["isc-grant"]),
+    ("ISC", ["isc-grant-and"]),
+    ("0BSD", ["0bsd-grant"]),
+    ("GPL-3.0-or-later", ["gpl-free-software", "gpl3-terms", "gpl-hope", "gpl-fitness", "gpl-see", "gpl-received"]),
+    ("GPL-2.0-or-later", ["gpl-free-software", "gpl2-terms"]),
+    ("GPL-2.0-only", ["gpl-free-software", "gpl2-only-terms"]),
+    ("LGPL-2.1-or-later", ["lgpl-free-software", "lgpl21-terms"]),
+    ("LGPL-2.1-or-later", ["gpl-free-software", "lgpl21-terms"]),
+    ("LGPL-3.0-or-later", ["lgpl-free-software", "lgpl3-terms"]),
+    ("LGPL-3.0-or-later", ["gpl-free-software", "lgpl3-terms"]),
+    ("AGPL-3.0-or-later", ["gpl-free-software", "agpl3-terms"]),
+    ("MPL-2.0", ["mpl2-terms"]),
+    ("Unlicense", ["unlicense-domain", "unlicense-grant"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("BSL-1.0", ["boost-notice"]),
+    ("Zlib", ["zlib-grant", "zlib-origin"]),
 ]
 
 
@@ -121,12 +189,40 @@ def split_sentences(text: Column) -> Column:
     return F.filter(pieces, lambda s: s != "")
 
 
+def whole_sentences(sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
+    """Identifier by all words of the sentence, with single blanks between."""
+    return {normalised(text): name for name, text in sentences.items()}
+
+
+def known_pattern(known: dict[str, str]) -> str:
+    """A known sentence from the start of a piece to the end of one, the longest first.
+
+    Pieces follow a line end each. The number of a list and the words that open comments in some
+    languages may stand before it.
+    """
+    texts = [t.replace(" ", f"(?: |{WRAPPED})") for t in sorted(known, key=lambda t: (-len(t), t))]
+    return rf"\n(?:{COMMENT}|[0-9]{{1,2}} )?({'|'.join(texts)})(?![^\n])"
+
+
 def sequence(sentences: Column, known: dict[str, str]) -> Column:
-    """Known sentences as <id>, ? for a gap that a rule may span as nothing, | for longer ones."""
+    """Known sentences as <id>, unknown ones as ?, in order."""
     table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    marks = F.transform(sentences, lambda s: F.coalesce(F.concat(F.lit("<"), F.try_element_at(table, s), F.lit(">")), F.lit("?")))
-    joined = F.array_join(marks, "")
-    return F.replace(F.regexp_replace(joined, r"\?{%d,}" % (MAX_GAP + 1), "|"), F.lit("?"), F.lit(""))
+    lines = F.array_join(F.transform(sentences, lambda s: F.concat(F.lit("\n"), s)), "")
+    parts = F.split(F.regexp_replace(lines, known_pattern(known), "\u0002$1\u0003"), "\u0002")
+
+    def marks(part):
+        unknown = F.substring_index(part, "\u0003", -1)
+        words = F.regexp_replace(F.substring_index(part, "\u0003", 1), WRAPPED, " ")
+        name = F.when(F.contains(part, F.lit("\u0003")), F.concat(F.lit("<"), F.try_element_at(table, words), F.lit(">")))
+        gap = F.length(unknown) - F.length(F.replace(unknown, F.lit("\n"), F.lit("")))
+        return F.concat(F.coalesce(name, F.lit("")), F.repeat(F.lit("?"), gap))
+
+    return F.array_join(F.transform(parts, marks), "")
+
+
+def closed(seq: Column) -> Column:
+    """Gaps that a rule may span as nothing, longer ones as |."""
+    return F.replace(F.regexp_replace(seq, r"\?{%d,}" % (MAX_GAP + 1), "|"), F.lit("?"), F.lit(""))
 
 
 def ordered_rules(rules=RULES) -> list[tuple[str, str]]:
@@ -149,11 +245,11 @@ def matches(seq: Column, rules=RULES) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
     """Per row: _id, n_sentences, n_known, licenses (sorted, distinct), n_matches."""
-    known = known_sentences(sentences)
     cut = docs.select(F.col(id_col).alias("_id"), split_sentences(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("s"))
-    read = cut.select("_id", F.size("s").alias("n"), sequence(F.col("s"), known).alias("seq"))
-    found = read.select("_id", "n", (F.length("seq") - F.length(F.replace("seq", F.lit("<"), F.lit("")))).alias("k"),
-                        F.when(F.contains("seq", F.lit("<")), matches(F.col("seq"), rules)).otherwise(F.array().cast("array<string>")).alias("m"))
+    read = cut.select("_id", sequence(F.col("s"), whole_sentences(sentences)).alias("seq"))
+    times = lambda c: F.length("seq") - F.length(F.replace("seq", F.lit(c), F.lit("")))
+    found = read.select("_id", (times("<") + times("?")).alias("n"), times("<").alias("k"),
+                        F.when(F.contains("seq", F.lit("<")), matches(closed(F.col("seq")), rules)).otherwise(F.array().cast("array<string>")).alias("m"))
     return found.select(
         "_id", F.col("n").cast("long").alias("n_sentences"), F.col("k").cast("long").alias("n_known"),
         F.array_join(F.array_sort(F.array_distinct("m")), ",").alias("licenses"), F.size("m").cast("long").alias("n_matches"),

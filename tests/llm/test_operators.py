@@ -336,6 +336,97 @@ def test_licences(spark, none):
     assert licenses.report(none).count() == 0
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2021 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_FILE = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ISC_FILE = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+APACHE_HEADER = """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+GPL_NOTICE = """dnl This program is free software: you can redistribute it and/or modify
+dnl it under the terms of the GNU General Public License as published by
+dnl the Free Software Foundation, either version 3 of the License, or
+dnl (at your option) any later version.
+dnl
+dnl This program is distributed in the hope that it will be useful,
+dnl but WITHOUT ANY WARRANTY; without even the implied warranty of
+dnl MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+dnl GNU General Public License for more details.
+dnl
+dnl You should have received a copy of the GNU General Public License
+dnl along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+LGPL_NOTICE = """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+"""
+MPL_HEADER = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+
+
+def test_wrapped_licences(spark):
+    rows = [
+        MIT_FILE, MIT_FILE.replace("\n", "\r\n"), BSD_FILE, BSD_FILE + BSD_THIRD, ISC_FILE, APACHE_HEADER, GPL_NOTICE, LGPL_NOTICE, MPL_HEADER,
+        "Prose\n" + BSD_FILE + "\nmore prose\nwrapped\nover\nlines\n" + MIT_FILE, MIT_FILE.replace("without restriction", "with restriction"),
+        'Licensed under the Apache License, Version 2.0\n(the "License"); you may not use this\nfile except in compliance with the License.',
+        "See: Released under\nthe MIT License.\nOr not released under\nthe MIT License.",
+    ]
+    got = {r.doc_id: r for r in licenses.report(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [(got[i].licenses, got[i].n_matches) for i in range(len(rows))] == [
+        ("MIT", 1), ("MIT", 1), ("BSD-2-Clause", 1), ("BSD-3-Clause", 1), ("ISC", 1), ("Apache-2.0", 1), ("GPL-3.0-or-later", 1),
+        ("LGPL-2.1-or-later", 1), ("MPL-2.0", 1), ("BSD-2-Clause,MIT", 2), ("", 0), ("Apache-2.0", 1), ("MIT", 1)]
+    # a wrapped sentence counts once: title, grant, condition and warranty; copyright line, four lines of the disclaimer and a rest
+    assert (got[0].n_known, got[0].n_sentences) == (4, 10)
+    assert (got[5].n_known, got[6].n_known) == (4, 6)
+
+
 # --- chat ---------------------------------------------------------------------------------------------
 
 def test_chat_round_trip(spark):
