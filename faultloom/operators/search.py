@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed, rules, text
 from ..sources.tables import settle
 from .chunks import chunk_table
-from .textmatch import containing, first_per
+from .textmatch import containing, first_per, like_test
+from .vectors import blended_topk
 
 INDEX_COLUMNS = (
     "chunk_id", "chunk_text", "document_id", "document_title", "category", "chunk_type",
@@ -27,6 +28,8 @@ RESULT_COLUMNS = (
     "section_name", "page_number", "chunk_sequence",
 )
 ORDER = ("document_id", "chunk_sequence")
+# search texts that are tested on a document in one row
+TEXTS_AT_ONCE = 256
 
 
 def search_index(
@@ -281,3 +284,48 @@ def hybrid(vector_hits: DataFrame, keyword_hits: DataFrame, key: list[str], weig
         "hybrid_score",
         part(F.col("similarity")) * weight + part(F.col("relevance_score")) * (1 - weight),
     )
+
+
+def document_scores(documents: DataFrame, queries: DataFrame, literal: bool = False) -> DataFrame:
+    """The scores of search_documents without a cut, for a whole table of queries (column
+    query_text): query_text, document_id, relevance_score of every active document that scores.
+
+    Every distinct text is tested on every document, TEXTS_AT_ONCE in a row, where the document is
+    read: most documents can score, and a lookup by token would move each of them once per token.
+    """
+    texts = settle(queries.select("query_text").filter(F.col("query_text").isNotNull()).distinct(), "queries")
+    groups = max(1, -(-texts.count() // TEXTS_AT_ONCE))
+    group = F.pmod(F.xxhash64("query_text"), F.lit(groups)).alias("_group")
+    asked = settle(texts.groupBy(group).agg(F.collect_list("query_text").alias("asked")).select("asked"), "texts")
+    bodies = documents.filter("is_active").select(
+        "document_id", F.upper("content").alias("content"), F.upper("title").alias("title")
+    )
+    test = (lambda c, q: F.col(c).contains(F.upper(q))) if literal else (lambda c, q: like_test(F.col(c), F.upper(q)))
+
+    def score(q):
+        return (
+            F.when(test("content", q), fixed.SCORE_TEXT)
+            .when(test("content", text.first_word(q)), fixed.SCORE_FIRST_WORD)
+            .when(test("title", q), fixed.SCORE_TITLE)
+        )
+
+    scores = F.transform("asked", lambda q: F.struct(q.alias("query_text"), score(q).alias("relevance_score")))
+    # the join keeps the upper-case texts from being made again for every query
+    return (
+        bodies.crossJoin(asked).select("document_id", F.inline(scores))
+        .filter(F.col("relevance_score").isNotNull())
+        .groupBy("query_text", "document_id").agg(F.max("relevance_score").alias("relevance_score"))
+    )
+
+
+def hybrid_many(
+    queries: DataFrame, stored: DataFrame, documents: DataFrame, k: int = 10, weight: float = 0.5,
+    literal: bool = False,
+) -> DataFrame:
+    """The k documents with the best blend of similarity and relevance for every query.
+
+    queries: query_id, query_text, vector; stored: document_id, vector. Every document that scores
+    in either way is blended, a score it does not have counts as 0; the cut to k comes after that.
+    Gives query_id, rank, document_id, similarity, relevance_score, hybrid_score.
+    """
+    return blended_topk(queries, stored, document_scores(documents, queries, literal), k, weight)

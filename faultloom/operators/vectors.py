@@ -7,10 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import settle
+
 # size of a block of vectors as Spark estimates it; two blocks meet in a task
 BLOCK_BYTES = 16 << 20
 # query and corpus vectors that are multiplied at once: 4 MB of scores
 TILE_QUERIES, TILE_VECTORS = 256, 2048
+# queries and documents of a block of blended scores; a task holds the text scores of such a pair
+BLEND_QUERIES, BLEND_DOCUMENTS = 1024, 2048
 
 
 def _unit(rows) -> np.ndarray:
@@ -90,3 +94,100 @@ def vector_topk(
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _blend(k: int, weight: float):
+    """The k best blends of one block of documents for every query of one block of queries.
+
+    Rows are queries (text, vector), documents (vector) and text scores (text, document_id, score).
+    """
+
+    def similarities(part: pd.DataFrame, vectors: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        out = np.full((len(part), n), np.nan)
+        has = part["vector"].notna().to_numpy()
+        if has.any() and len(at):
+            # rounded so that the order of additions cannot decide a tie
+            found = np.round(_unit(part["vector"][has]) @ vectors.T, 9)
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            out[np.ix_(has, at[first])] = np.maximum.reduceat(found, first, axis=1)
+        return out
+
+    def blend(rows: pd.DataFrame) -> pd.DataFrame:
+        columns = ("query_id", "document_id", "similarity", "relevance_score", "hybrid_score")
+        queries = rows[rows["kind"] == 0]
+        stored = rows[rows["kind"] == 1].sort_values("document_id", kind="stable")
+        said = rows[rows["kind"] == 2].sort_values("query_text", kind="stable")
+        # in the order of their ids, which decides ties
+        names = np.unique(np.r_[stored["document_id"].to_numpy(object), said["document_id"].to_numpy(object)])
+        out = []
+        if len(queries) and len(names):
+            vectors = _unit(stored["vector"]) if len(stored) else np.empty((0, 0))
+            at = np.searchsorted(names, stored["document_id"].to_numpy(object))
+            said_at = np.searchsorted(names, said["document_id"].to_numpy(object))
+            said_text, said_score = said["query_text"].to_numpy(object), said["score"].to_numpy(float)
+            for a in range(0, len(queries), TILE_QUERIES):
+                part = queries.iloc[a : a + TILE_QUERIES]
+                near = similarities(part, vectors, at, len(names))
+                told = np.full(near.shape, np.nan)
+                for i, text in enumerate(part["query_text"]):
+                    if not pd.isna(text):
+                        own = slice(*(np.searchsorted(said_text, text, side) for side in ("left", "right")))
+                        told[i, said_at[own]] = said_score[own]
+                score = np.round(np.nan_to_num(near) * weight + np.nan_to_num(told) * (1 - weight), 9)
+                score[np.isnan(near) & np.isnan(told)] = -np.inf
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                take = lambda m: np.take_along_axis(m, best, axis=1).ravel()  # noqa: B023
+                ids = np.repeat(part["query_id"].to_numpy(), best.shape[1])
+                out.append(pd.DataFrame(dict(zip(
+                    columns, (ids, names[best.ravel()], take(near), take(told), take(score)), strict=True))))
+        found = pd.concat(out) if out else pd.DataFrame({c: [] for c in columns})
+        return found[np.isfinite(found["hybrid_score"].astype(float))]
+
+    return blend
+
+
+def blended_topk(
+    queries: DataFrame, stored: DataFrame, said: DataFrame, k: int = 10, weight: float = 0.5
+) -> DataFrame:
+    """The k best blends of similarity and text score of every query.
+
+    queries: query_id, query_text, vector; stored: document_id, vector; said: query_text,
+    document_id, relevance_score. Exact: queries and documents are dealt to blocks by a hash of
+    their id, every pair of blocks meets in a task of its own with all its text scores, and k rows
+    per query and block of documents remain. A document's best vector counts.
+    """
+    stored = stored.filter(F.col("vector").isNotNull())
+    rows = max(1, -(-queries.count() // BLEND_QUERIES))
+    texts = settle(said, "text scores")
+    documents = stored.select("document_id").union(texts.select("document_id")).distinct().count()
+    columns = max(1, -(-documents // BLEND_DOCUMENTS))
+    own = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    row, column = own("query_id", rows), own("document_id", columns)
+    none = lambda kind: F.lit(None).cast(kind)
+    shape = lambda df, kind, **given: df.select(F.lit(kind).alias("kind"), *[
+        given.get(name, none(type_)).alias(name) for name, type_ in (
+            ("_row", "int"), ("_column", "int"), ("query_id", "long"), ("query_text", "string"),
+            ("document_id", "string"), ("vector", "array<double>"), ("score", "double"))])
+    c = F.col
+    vector = c("vector").cast("array<double>")
+    asked = queries.withColumns({"_row": row, "_column": every(columns)})
+    placed = stored.withColumns({"_column": column, "_row": every(rows)})
+    wanted = queries.select("query_text", row.alias("_row")).distinct()
+    told = texts.join(wanted, "query_text").withColumn("_column", column)
+    all_ = (
+        shape(asked, 0, _row=c("_row"), _column=c("_column"), query_id=c("query_id").cast("long"),
+              query_text=c("query_text"), vector=vector)
+        .unionByName(shape(placed, 1, _row=c("_row"), _column=c("_column"), document_id=c("document_id"), vector=vector))
+        .unionByName(shape(told, 2, _row=c("_row"), _column=c("_column"), query_text=c("query_text"),
+                           document_id=c("document_id"), score=c("relevance_score")))
+    )
+    found = all_.groupBy("_row", "_column").applyInPandas(
+        _blend(k, weight),
+        "query_id long, document_id string, similarity double, relevance_score double, hybrid_score double",
+    )
+    absent = lambda name: F.when(~F.isnan(name), c(name)).alias(name)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hybrid_score"), "document_id"))
+    return found.withColumn("rank", rank).filter(c("rank") <= k).select(
+        "query_id", "rank", "document_id", absent("similarity"), absent("relevance_score"), "hybrid_score"
+    )

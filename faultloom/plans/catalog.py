@@ -491,13 +491,11 @@ def vector_topk(spark, sf):
 
 @query
 def hybrid_search(spark, sf):
-    """Documents near vector 0 and documents that hold a text, blended; vec_id is the number of a document."""
-    all_ = derive.load(spark, sf, "embeddings")
-    near = vectors.vector_topk(all_.filter("vec_id = 0"), all_, k=50).select(
-        derive._document_id(F.col("vec_id")).alias("document_id"), "similarity"
-    )
-    said = search.search_documents(derive.sop_documents(spark, sf), "diagnostic steps", k=50)
-    return flat(search.hybrid(near, said.select("document_id", "relevance_score"), ["document_id"]))
+    """For every vector whose number 20 divides, the best documents by similarity and text, blended."""
+    return flat(search.hybrid_many(
+        derive.hybrid_queries(spark, sf), derive.document_vectors(spark, sf),
+        derive.sop_documents(spark, sf), k=50,
+    ))
 
 
 @query

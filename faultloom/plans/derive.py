@@ -187,6 +187,26 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hybrid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose number 20 divides, with a search text by number."""
+    asked = (
+        "diagnostic steps", "safety requirements", "repair procedure", "verification", "cable fault",
+        "signal level", "equipment repair notes", "service degradation", "network security",
+    )
+    v = F.col("vec_id")
+    return load(spark, sf_dir, "embeddings").filter(v % 20 == 0).select(
+        v.alias("query_id"), _pick(asked, F.floor(v / 20) % len(asked)).alias("query_text"),
+        F.col("embedding").alias("vector"),
+    )
+
+
+def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors by document; vec_id is the number of a document."""
+    return load(spark, sf_dir, "embeddings").select(
+        _document_id(F.col("vec_id")).alias("document_id"), F.col("embedding").alias("vector")
+    )
+
+
 def fault_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct question a fault gives rise to."""
     return faults(spark, sf_dir).select(

@@ -347,3 +347,64 @@ def test_index_from_texts_or_from_chunks(spark, sf_dir):
         a = se.search_index(derive.sop_chunks(spark, sf_dir), meta, min_len)
         b = se.index_documents(derive.sop_documents(spark, sf_dir), meta, min_len)
         assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def _hybrid_brute(queries, vectors, documents, k, weight):
+    def score(q, content, title):
+        has = lambda t, w: t is not None and w.upper() in t.upper()
+        if q is None:
+            return None
+        return 0.9 if has(content, q) else 0.7 if has(content, q.split(" ")[0]) else 0.5 if has(title, q) else None
+
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    near = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / (norm(a) * norm(b)), 9) if norm(a) * norm(b) else 0.0
+    out = []
+    for q, said, v in queries:
+        blended = {}
+        for d in {x[0] for x in vectors} | {x[0] for x in documents}:
+            s = max((near(v, x) for i, x in vectors if i == d and x is not None), default=None) if v is not None else None
+            r = next((score(said, c, t) for i, t, c, active in documents if i == d and active), None)
+            if s is not None or r is not None:
+                blended[d] = (round((s or 0) * weight + (r or 0) * (1 - weight), 9), s, r)
+        best = sorted(blended, key=lambda d: (-blended[d][0], d))[:k]
+        out += [(q, n + 1, d, blended[d][1], blended[d][2], blended[d][0]) for n, d in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_hybrid_blends_before_it_cuts(spark, monkeypatch, block):
+    from faultloom.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLEND_DOCUMENTS", block)
+    monkeypatch.setattr(vectors, "BLEND_QUERIES", block)
+    rng = random.Random(3)
+    point = lambda: [rng.choice([-2.0, -1.0, 0.0, 1.0, 2.0]) for _ in range(4)]
+    bodies = ["Check cable fault now", "the cable is cut", "nothing", None]
+    # most documents tie at the top text score: a cut before blending would keep the lowest ids only
+    documents = [(f"D{i:03}", "Cable Fault Guide" if i % 4 else "Notes", bodies[0] if i % 3 else bodies[i // 3 % 4], i % 11 != 0) for i in range(90)]
+    stored = [(f"D{i:03}", point() if i % 13 else None) for i in range(20, 120)] + [("D050", point())]
+    asked = [(0, "cable fault", point()), (20, "guide", point()), (40, None, point()), (60, "cable cut", None), (80, "zzz", [0.0] * 4)]
+    asked += [(100 + 20 * i, "CABLE fault", point()) for i in range(20)]
+    got = se.hybrid_many(
+        spark.createDataFrame(asked, "query_id long, query_text string, vector array<float>").repartition(3),
+        spark.createDataFrame(stored, "document_id string, vector array<float>"),
+        spark.createDataFrame(documents, "document_id string, title string, content string, is_active boolean"), 5, 0.4,
+    ).collect()
+    want = _hybrid_brute(asked, stored, documents, 5, 0.4)
+    assert sorted((r.query_id, r["rank"], r.document_id) for r in got) == [x[:3] for x in want]
+    for mine, other in zip(sorted(map(tuple, got)), want, strict=True):
+        assert mine[3:] == pytest.approx(other[3:], abs=1e-8)
+    assert max(x[2] for x in want if x[0] == 0) > "D050"
+
+
+def test_hybrid_query_takes_every_twentieth_vector(spark, sf_dir):
+    from faultloom.plans import catalog, derive
+
+    got = catalog.QUERIES["hybrid_search"](spark, sf_dir).collect()
+    asked = [tuple(r) for r in derive.hybrid_queries(spark, sf_dir).collect()]
+    assert {r.query_id for r in got} == {q[0] for q in asked} == set(range(0, 500, 20))
+    vectors = [tuple(r) for r in derive.document_vectors(spark, sf_dir).collect()]
+    documents = [tuple(r) for r in derive.sop_documents(spark, sf_dir).select("document_id", "title", "content", "is_active").collect()]
+    want = _hybrid_brute(asked[:4], vectors, documents, 50, 0.5)
+    mine = {(r.query_id, r.document_id): r.hybrid_score for r in got}
+    assert all(abs(mine[x[0], x[2]] - x[5]) < 2e-6 for x in want)
