@@ -88,11 +88,14 @@ def _deal(children: DataFrame, parent: list[str]) -> DataFrame:
 
 
 def leaf_budgets(leaves: DataFrame, targets: Targets) -> DataFrame:
-    """domain, lang, source, tokens, budget from the tokens of every leaf. One row per leaf throughout."""
+    """domain, lang, source, tokens, budget from the tokens of every leaf that no weight of 0 leaves out.
+    One row per leaf throughout."""
     capacity = (F.col("tokens") * targets.max_epochs).alias("capacity")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     given = (targets.domain, targets.lang, targets.source)
-    dealt = leaves.select(*LEVELS, "tokens", capacity, F.lit(total * targets.budget_percent // 100).cast("long").alias("budget"))
+    # a node's capacity is what may be read below it
+    readable = F.least(*(_weight(F.col(name), w) for name, w in zip(LEVELS, given, strict=True))) > 0
+    dealt = leaves.where(readable).select(*LEVELS, "tokens", capacity, F.lit(total * targets.budget_percent // 100).cast("long").alias("budget"))
     for depth, name in enumerate(LEVELS):
         path, parent = list(LEVELS[: depth + 1]), list(LEVELS[:depth])
         nodes = dealt.groupBy(*path).agg(F.sum("capacity").alias("capacity"), F.first("budget").alias("parent_budget"))

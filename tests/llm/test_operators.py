@@ -515,6 +515,19 @@ def test_budgets_go_to_siblings_first(spark):
     assert abs(got["c"] - web // 2) <= 1 and abs(got["b"] - (web // 2 - 100)) <= 1
 
 
+def test_mix_gives_no_budget_to_what_a_weight_leaves_out_below(spark):
+    leaves = [("web", "en", "src1", 100), ("web", "en", "src3", 900), ("web", "de", "src1", 500), ("forum", "en", "src7", 800), ("forum", "en", "src8", 0)]
+    df = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
+    even = dict(domain={}, lang={}, max_epochs=1)
+    left_out = mixing.Targets(**even, source={"src3": 0}, budget_percent=50)
+    # 1,150 tokens: web can only read 600 of them, 575 is its share; en has 100 and de the rest of it
+    got = {(r.domain, r.lang, r.source): r.budget for r in mixing.leaf_budgets(df, left_out).collect() if r.budget}
+    assert got == {("web", "en", "src1"): 100, ("web", "de", "src1"): 475, ("forum", "en", "src7"): 575}
+    whole = mixing.Targets(**even, source={"src3": 0}, budget_percent=60)
+    got = {(r.domain, r.lang, r.source): r.budget for r in mixing.leaf_budgets(df, whole).collect() if r.budget}
+    assert got == {("web", "en", "src1"): 100, ("web", "de", "src1"): 500, ("forum", "en", "src7"): 780}
+
+
 def test_mix_takes_exact_prefixes(spark, docs, none):
     how = mixing.Targets(budget_percent=130, max_epochs=3)
     rows = mixing.mix(docs, how).collect()
