@@ -18,13 +18,15 @@ Equal rows are combined before any shuffle and travel as one row with their numb
 
 Defined cases: a null role or text is one blank. Turns are in order of turn (null first), then role, then
 text. A null conversation id is a conversation. A role whose first letter is not s, u or a (or none) can't be
-kept. Conversations without rows (number 0) have one row without an edit. Other columns are ignored. The
+kept. Where no turn stands (number 0) in a conversation, or in a task's segment of it,
+there is one row without an edit. Other columns are ignored. The
 digest of a conversation is one hash over all its turns, which stream through one task in order.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -158,13 +160,12 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         convs, counts, kinds = (batch.column(c).to_pylist() for c in ("conv_id", "n", "code"))
         opens = [i for i in range(len(convs)) if (convs[i] != convs[i - 1] if i else seg < 0 or convs[0] != conv)]
-        for a, b in zip([0, *opens], [*opens, len(convs)]):
+        bounds = [*([] if 0 in opens else [0]), *opens, len(convs)]
+        for a, b in itertools.pairwise(bounds):
             if a in opens:
                 if seg >= 0:
                     yield closed(seg == 0)
                 seg, at, conv, codes = seg + 1, 0, convs[a], bytearray()
-            if a == b:
-                continue
             for n, code in zip(counts[a:b], kinds[a:b]):
                 # all but the first of equal turns are repeats
                 codes += bytes([code]) + bytes(n - 1) if n else b""
@@ -281,7 +282,7 @@ def repair(turns: DataFrame) -> DataFrame:
     """All edits of all conversations, in order of (conv_id, part, step).
 
     turns: conv_id, turn, role, text, and n, how often the row stands (0: not at all). Gives edit (K R D I;
-    null in the one row of a conversation without turns), the turn's fault (blank, duplicate, truncated or
+    null in the row of a segment without turns), the turn's fault (blank, duplicate, truncated or
     null), its old role, and the role and text that stay (null for D).
     """
     small_batches(turns.sparkSession)
