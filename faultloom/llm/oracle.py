@@ -162,6 +162,24 @@ from h join f using (digest)
 """
 
 
+SQL["op13_hard_negatives"] = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x : floor(256 * cast(x as double))) as x
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x : x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label as own, b.vec_id, b.label, cast(list_dot_product(a.x, b.x) as bigint) as score
+      from v a join v b on a.vec_id % 100 = 0),
+p as (select anchor_id, own, vec_id as positive_id, score as positive_score from s where label = own and vec_id <> anchor_id
+      qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select p.anchor_id, positive_id, positive_score, s.vec_id as negative_id, s.score as negative_score,
+             cast(row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as integer) as rank
+      from p join s on s.anchor_id = p.anchor_id and s.label <> p.own
+        and 80 * positive_score <= 100 * s.score and s.score <= positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""
+
+
 def _license_sql() -> str:
     from . import licenses as li
 

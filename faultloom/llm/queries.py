@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, fingerprints, langid, licenses, mixing, neardup, repair, repeats, toxicity, warc
+from . import bpe, chat, decontaminate, fingerprints, langid, licenses, mixing, neardup, repair, repeats, rtree, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,11 +62,15 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(_table(spark, sf_dir, "conversations"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rtree.report(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc_revisits, op2_toxicity, op3_language_id, op4_document_fingerprints, op5_minhash_near_dedup,
         op6_license_scan, op7_suffix_array_dedup, op8_chat_formatting, op9_benchmark_decontamination, op10_mixing,
-        op11_byte_bpe, op12_conversation_repair,
+        op11_byte_bpe, op12_conversation_repair, op13_hard_negatives,
     )
 }
