@@ -21,7 +21,6 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +42,6 @@ PROPOSED, COUNTED = 1 << 16, 1 << 21
 BLOCK_BYTES = 1 << 21
 #: bytes that are cut at once
 PIECE_BYTES = 1 << 19
-#: ids that are decoded at once
-DECODED_IDS = 1 << 20
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
 
@@ -463,36 +460,17 @@ def encode(
 
 # --- decoding -------------------------------------------------------------------
 
-def _decode(table):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = pa.array(table.value, pa.binary())
-        for batch in batches:
-            sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False)
-            group = (np.cumsum(sizes) - sizes) // DECODED_IDS
-            for a, b in itertools.pairwise([*np.flatnonzero(np.diff(group, prepend=-1)), len(sizes)]):
-                part = batch.slice(a, b - a)
-                lists = part.column("ids")
-                values = pc.list_flatten(lists)
-                known = pc.and_(pc.greater_equal(values, 0), pc.less(values, len(tokens)))
-                pieces = pc.fill_null(tokens.take(pc.if_else(known, values, None)), b"")
-                data, bounds = buffers(pieces)
-                offsets = bounds[np.concatenate([[0], np.cumsum(sizes[a:b])])].astype(np.int32)
-                text = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, text], ["doc_id", "ids", "decoded"])
-
-    return run
-
-
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """encoded with the bytes its ids stand for, as column decoded.
 
-    The token-byte table, one row per id of the vocabulary, is broadcast and joined by id.
+    The token-byte table, one entry per id of the vocabulary, is a constant and joined by id in the row.
     """
-    table: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    tokens = [""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
-        table[rank] = token
-    shared = encoded.sparkSession.sparkContext.broadcast(table)
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(shared), "doc_id long, ids array<int>, decoded binary")
+        tokens[rank] = token.hex()
+    table = F.split(F.lit(",".join(tokens)), ",")
+    found = F.transform("ids", lambda i: F.get(table, i))
+    return encoded.withColumn("decoded", F.coalesce(F.unhex(F.array_join(found, "")), F.lit(b"")))
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:
