@@ -37,7 +37,7 @@ from .steps import keyed, settle, small_batches
 
 HOT_WORDS, HOT_BYTES = 1 << 19, 64
 #: words a task proposes as frequent, and words it counts before it drops the rarest
-PROPOSED, COUNTED = 1 << 16, 1 << 21
+PROPOSED, COUNTED = 1 << 17, 1 << 20
 #: bytes of text in a block; a longer text is a block of its own
 BLOCK_BYTES = 1 << 21
 #: bytes that are cut at once
