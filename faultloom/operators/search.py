@@ -1,20 +1,22 @@
 """Search over procedure chunks and documents.
 
 All searches read an index: the chunks already joined with their document's attributes
-(`search_index`). Build it once and store it; a search is then a scan with a bounded top-k, and
-never moves chunk text between executors.
+(`search_index`). Store it once with `store_index`: a search of one text is then a scan with a bounded
+top-k, and searches of many texts read only the postings of their words. Neither moves chunk text.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, rules, text
 from ..sources.tables import settle
 from .chunks import chunk_table
+from .postings import Postings, in_parts, matching, open_postings, write_postings
 from .textmatch import containing, first_per, like_test
 from .vectors import blended_topk
 
@@ -70,6 +72,36 @@ def index_documents(
     return chunks.select(*INDEX_COLUMNS)
 
 
+@dataclass(frozen=True)
+class SearchIndex:
+    """A stored index: the chunks with their attributes, and where every word of theirs stands."""
+
+    chunks: DataFrame
+    postings: Postings
+
+
+def store_index(index: DataFrame, root: str) -> SearchIndex:
+    """Write an index below root: chunks and the postings of their texts."""
+    laid = in_parts(settle(index, "index"), ORDER)
+    laid.write.parquet(f"{root}/chunks")
+    chunks = index.sparkSession.read.schema(laid.schema).parquet(f"{root}/chunks")
+    write_postings(_bodies(chunks), ORDER, "body", f"{root}/postings")
+    return open_index(index.sparkSession, root)
+
+
+def open_index(spark: SparkSession, root: str) -> SearchIndex:
+    """An index that store_index wrote."""
+    return SearchIndex(spark.read.parquet(f"{root}/chunks"), open_postings(spark, f"{root}/postings", ORDER))
+
+
+def _bodies(chunks: DataFrame) -> DataFrame:
+    return chunks.select(*ORDER, "part", F.upper("chunk_text").alias("body"))
+
+
+def _chunks(index: DataFrame | SearchIndex) -> DataFrame:
+    return index.chunks if isinstance(index, SearchIndex) else index
+
+
 def _covers(array: str, value: str) -> Column:
     """The array holds the value; NULL arrays and elements do not count."""
     return F.coalesce(F.array_contains(array, value), F.lit(False))
@@ -98,7 +130,7 @@ def _scored(df: DataFrame, query: str, literal: bool) -> DataFrame:
 
 
 def search_chunks(
-    index: DataFrame,
+    index: DataFrame | SearchIndex,
     query: str,
     chunk_type: str | None = None,
     category: str | None = None,
@@ -108,7 +140,7 @@ def search_chunks(
     literal: bool = False,
 ) -> DataFrame:
     """The k best chunks for one query. % and _ in the query are wildcards unless literal."""
-    kept = _restrict(index, chunk_type, category, equipment, document_id)
+    kept = _restrict(_chunks(index), chunk_type, category, equipment, document_id)
     return (
         _scored(kept, query, literal)
         .orderBy(F.desc("relevance_score"), *ORDER).limit(k)
@@ -117,15 +149,22 @@ def search_chunks(
 
 
 def find_similar(
-    index: DataFrame, description: str, threshold: float = 0.3, k: int = 5, literal: bool = False
+    index: DataFrame | SearchIndex, description: str, threshold: float = 0.3, k: int = 5, literal: bool = False
 ) -> DataFrame:
     """The k best distinct (document, text) hits at or above a threshold.
 
     Use an index with min_len=None. Scores are 0.9, 0.7, 0.6 or 0.5: thresholds up to 0.5 filter
-    nothing.
+    nothing. With a stored index, only chunks of the first k documents of each kind of hit are read.
     """
+    chunks = _chunks(index)
+    if isinstance(index, SearchIndex):
+        asked = chunks.sparkSession.createDataFrame([(description,)], "query_text string")
+        found = _best_hits(index, asked, k, literal, ["document_id"])
+        scored = chunks.join(settle(found.drop("query_text"), "hits"), list(ORDER))
+    else:
+        scored = _scored(chunks, description, literal)
     return (
-        _scored(index, description, literal)
+        scored
         .filter(F.col("relevance_score") >= threshold)
         .select(
             "document_id", "document_title", "category",
@@ -137,16 +176,16 @@ def find_similar(
     )
 
 
-def search_many(index: DataFrame, queries: DataFrame, k: int = 10, literal: bool = False) -> DataFrame:
-    """search_chunks without filters, for a whole table of queries (column query_text).
+def _best_hits(
+    index: DataFrame | SearchIndex, queries: DataFrame, k: int, literal: bool, order: list[str]
+) -> DataFrame:
+    """query_text, ids and best score of all chunks that can be among the first k of a query.
 
-    Every kind of hit has one fixed score and ties go by (document, sequence), so of each kind the
-    first k chunks per pattern, section or title are all that can reach a top k. Texts and labels
-    are looked up together, the best score of a chunk counts, and text is fetched for the winners
-    only.
+    Every kind of hit has one fixed score and ties go by `order`, so of each kind the chunks with the
+    first k values of it per pattern, section or title are all that can reach a top k.
     """
     upper = lambda c: F.upper(F.col(c))
-    ids = list(ORDER)
+    ids, chunks = list(ORDER), _chunks(index)
     texts = queries.select("query_text").filter(F.col("query_text").isNotNull()).distinct()
     roles = F.array(
         F.struct(upper("query_text").alias("pattern"), F.lit("full").alias("role")),
@@ -156,13 +195,19 @@ def search_many(index: DataFrame, queries: DataFrame, k: int = 10, literal: bool
 
     named = lambda kind, c: F.struct(F.lit(kind).alias("kind"), upper(c).alias("body"))
     labels = F.array(named("section", "section_name"), named("title", "document_title"))
-    labelled = index.select(*ids, F.inline(labels)).filter(F.col("body").isNotNull())
-    firsts = settle(first_per(labelled, ["kind", "body"], ids, k), "labels")
-    bodies = index.select(*ids, F.lit("text").alias("kind"), upper("chunk_text").alias("body"))
-    hits = containing(
-        bodies.unionByName(firsts), [*ids, "kind"], "body", asked, "pattern",
-        like=not literal, first=k, per=("kind",),
-    )
+    labelled = chunks.select(*ids, F.inline(labels)).filter(F.col("body").isNotNull())
+    firsts = settle(first_per(labelled, ["kind", "body"], order, k), "labels")
+    options = dict(like=not literal, per=("kind",), first=k if order == ids else None)
+    if isinstance(index, SearchIndex):
+        full = asked.filter("role = 'full'")
+        hits = containing(firsts, [*ids, "kind"], "body", full, "pattern", **options)
+        found = matching(index.postings, _bodies(chunks), "body", asked, "pattern", not literal, options["first"])
+        hits = hits.unionByName(found.withColumn("kind", F.lit("text")))
+    else:
+        bodies = chunks.select(*ids, F.lit("text").alias("kind"), upper("chunk_text").alias("body"))
+        hits = containing(bodies.unionByName(firsts), [*ids, "kind"], "body", asked, "pattern", **options)
+    if order != ids:
+        hits = first_per(hits, ["pattern", "kind"], order, k)
     role, kind = F.col("role"), F.col("kind")
     score = rules.first_match(
         [
@@ -173,16 +218,28 @@ def search_many(index: DataFrame, queries: DataFrame, k: int = 10, literal: bool
         ],
         F.lit(None).cast("double"),
     )
-    best = (
+    return (
         hits.join(asked, "pattern").withColumn("relevance_score", score)
         .filter(F.col("relevance_score").isNotNull())
         .groupBy("query_text", *ids).agg(F.max("relevance_score").alias("relevance_score"))
     )
+
+
+def search_many(
+    index: DataFrame | SearchIndex, queries: DataFrame, k: int = 10, literal: bool = False
+) -> DataFrame:
+    """search_chunks without filters, for a whole table of queries (column query_text).
+
+    With a stored index only the postings of the queries' words are read; text is fetched for the
+    winners only.
+    """
+    ids = list(ORDER)
     rank = Window.partitionBy("query_text").orderBy(F.desc("relevance_score"), *ids)
+    best = _best_hits(index, queries, k, literal, ids)
     winners = settle(
         best.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k), "winners"
     )
-    return index.select(*RESULT_COLUMNS).join(winners, ids).select(
+    return _chunks(index).select(*RESULT_COLUMNS).join(winners, ids).select(
         "query_text", "rank", *RESULT_COLUMNS, "relevance_score"
     )
 
@@ -205,7 +262,7 @@ def search_documents(
     )
 
 
-def fault_context(faults: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:
+def fault_context(faults: DataFrame, index: DataFrame | SearchIndex, k: int = 5) -> DataFrame:
     """For every fault, the first k chunks of documents that list its code, in working order.
 
     Safety comes first, then diagnostic, procedure, verification, and last everything else. A code's
@@ -218,7 +275,7 @@ def fault_context(faults: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:
     place = F.array_position(rules.strings(fixed.CONTEXT_TYPE_ORDER), F.col("chunk_type"))
     last = F.lit(len(fixed.CONTEXT_TYPE_ORDER) + 1)
     per_code = (
-        index.select(
+        _chunks(index).select(
             "chunk_id", "document_id", "chunk_sequence", "chunk_type",
             F.when(place > 0, place).otherwise(last).alias("place"),
             F.explode(F.array_distinct("fault_codes")).alias("fault_code"),
@@ -240,7 +297,7 @@ def fault_context(faults: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def ask_questions(index: DataFrame, questions: DataFrame, max_chunks: int = 5) -> DataFrame:
+def ask_questions(index: DataFrame | SearchIndex, questions: DataFrame, max_chunks: int = 5) -> DataFrame:
     """The answer envelope of each (question, equipment_type, fault_code), with its sources.
 
     The composed text is searched for all questions at once. No text is generated: the answer
@@ -263,7 +320,7 @@ def ask_questions(index: DataFrame, questions: DataFrame, max_chunks: int = 5) -
     )
 
 
-def chat_answers(index: DataFrame, questions: DataFrame) -> DataFrame:
+def chat_answers(index: DataFrame | SearchIndex, questions: DataFrame) -> DataFrame:
     """Formatted answer per query_text from its best chunk, or the not-found text."""
     best = search_many(index, questions, 1).select(
         "query_text", "document_id", "document_title", "category", "relevance_score",

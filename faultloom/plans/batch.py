@@ -54,6 +54,8 @@ def build_corpus(
 ) -> dict[str, DataFrame]:
     """Documents to files, metadata, chunks and the search index below root, with the reports.
 
+    search.open_index(spark, root + "/index") gives the index to the searches.
+
     Metadata that is already known is kept as it is; only missing rows are added.
     """
     if known_metadata is not None:
@@ -61,10 +63,10 @@ def build_corpus(
     files = _store(files, f"{root}/files")
     metadata = _store(metadata, f"{root}/metadata")
     chunks = _store(ch.chunk_table(documents), f"{root}/chunks")
-    index = _store(search.index_documents(documents, metadata), f"{root}/index")
+    index = search.store_index(search.index_documents(documents, metadata), f"{root}/index")
     searchable = ch.searchable_documents(documents, metadata, files)
     return {
-        "files": files, "metadata": metadata, "chunks": chunks, "index": index,
+        "files": files, "metadata": metadata, "chunks": chunks, "index": index.chunks,
         "searchable": searchable,
         "summary": metrics.load_summary({
             "PDF Files": files, "Document Metadata": metadata, "Document Chunks (200 chars)": chunks,

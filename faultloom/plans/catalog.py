@@ -68,24 +68,14 @@ def index(spark, sf, **options):
     return search.index_documents(derive.sop_documents(spark, sf), derive.sop_metadata(spark, sf), **options)
 
 
-_stored: dict[tuple, DataFrame] = {}
+def cut_index(spark, sf):
+    """The index written once, for searches that read it more than once."""
+    return settle(index(spark, sf), "index")
 
 
-def _once(spark, sf, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table that is written once per application and table folder."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _stored:
-        _stored[key] = settle(make(), name, keep=True)
-    return _stored[key]
-
-
-def stored_index(spark, sf):
-    """The index as a written table, for searches that read it more than once."""
-    return _once(spark, sf, "index", lambda: index(spark, sf))
-
-
-def stored_procedures(spark, sf):
-    return _once(spark, sf, "procedures", lambda: derive.sop_procedures(spark, sf))
+def stored_index(spark, sf, **options):
+    """The index written as build_corpus writes it: chunks and postings."""
+    return search.store_index(index(spark, sf, **options), work_dir(spark, "index"))
 
 
 # --- fault projections and rules ----------------------------------------------
@@ -442,7 +432,7 @@ def search_chunks_wildcard(spark, sf):
 
 @query
 def search_many(spark, sf):
-    return search.search_many(stored_index(spark, sf), derive.benchmark_queries(spark, sf))
+    return search.search_many(cut_index(spark, sf), derive.benchmark_queries(spark, sf))
 
 
 @query
@@ -450,6 +440,12 @@ def find_similar(spark, sf):
     return flat(search.find_similar(index(spark, sf, min_len=None), "cable fault", k=20))
 
 
+@query
+def indexed_similar(spark, sf):
+    """find_similar by the postings of a stored index."""
+    return flat(search.find_similar(stored_index(spark, sf, min_len=None), "cable fault", k=20))
+
+
 @query
 def search_documents(spark, sf):
     return search.search_documents(derive.sop_procedures(spark, sf), "check code 812", k=20)
@@ -464,14 +460,23 @@ def excerpts(spark, sf):
 
 @query
 def fault_context(spark, sf):
-    df = search.fault_context(derive.faults(spark, sf), stored_index(spark, sf))
+    df = search.fault_context(derive.faults(spark, sf), index(spark, sf))
     shown = lambda x: F.concat_ws("/", x["position"].cast("string"), x["chunk_id"], x["document_id"], x["chunk_type"])
     return df.withColumn("context", F.array_join(F.transform("context", shown), "|"))
 
 
 @query
 def ask_questions(spark, sf):
-    df = search.ask_questions(stored_index(spark, sf), derive.fault_questions(spark, sf))
+    return _asked(search.ask_questions(cut_index(spark, sf), derive.fault_questions(spark, sf)))
+
+
+@query
+def indexed_questions(spark, sf):
+    """ask_questions by the postings of a stored index."""
+    return _asked(search.ask_questions(stored_index(spark, sf), derive.fault_questions(spark, sf)))
+
+
+def _asked(df):
     shown = lambda x: F.concat_ws(
         "/", x["rank"].cast("string"), x["chunk_id"], x["document_id"], F.format_string("%.2f", x["relevance_score"])
     )
@@ -480,7 +485,7 @@ def ask_questions(spark, sf):
 
 @query
 def chat_answers(spark, sf):
-    return search.chat_answers(stored_index(spark, sf), derive.benchmark_queries(spark, sf))
+    return search.chat_answers(cut_index(spark, sf), derive.benchmark_queries(spark, sf))
 
 
 @query
@@ -566,7 +571,7 @@ def sql_similar(spark, sf):
 
 @query
 def best_sop(spark, sf):
-    return flat(procedures.best_sop(derive.faults(spark, sf), stored_procedures(spark, sf)))
+    return flat(procedures.best_sop(derive.faults(spark, sf), settle(derive.sop_procedures(spark, sf), "procedures")))
 
 
 @query
@@ -576,7 +581,7 @@ def repair_steps(spark, sf):
 
 @query
 def repair_procedures(spark, sf):
-    df = procedures.repair_procedures(derive.faults(spark, sf), stored_procedures(spark, sf))
+    df = procedures.repair_procedures(derive.faults(spark, sf), settle(derive.sop_procedures(spark, sf), "procedures"))
     return flat(df.withColumn("full_content", F.md5("full_content")))
 
 

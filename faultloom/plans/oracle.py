@@ -876,6 +876,9 @@ select document_id, round(similarity, 6) as similarity, round(relevance_score, 6
  round(coalesce(similarity, 0) * 0.5 + coalesce(relevance_score, 0) * 0.5, 6) as hybrid_score
 from near full join said using (document_id)""")
 
+SQL["indexed_similar"] = SQL["find_similar"]
+SQL["indexed_questions"] = SQL["ask_questions"]
+
 SQL["schema_report"] = """
 select 'network_faults' as table_name, 'location' as missing, count(*) as record_count from events
 union all select 'sop_documents', 'title,content', count(*) from documents"""

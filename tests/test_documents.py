@@ -10,6 +10,7 @@ from faultloom.functions import fixed
 from faultloom.operators import chunks as ch
 from faultloom.operators import procedures as pr
 from faultloom.operators import search as se
+from faultloom.operators import postings
 from faultloom.operators.textmatch import containing
 
 
@@ -229,6 +230,24 @@ def test_patterns_in_texts(spark, wild):
     assert sorted((r.id, r.pattern) for r in short) == sorted((i, p) for p, ids in lowest.items() for i in ids)
 
 
+@pytest.mark.parametrize("wild", [False, True])
+def test_stored_index_finds_the_same(spark, wild, tmp_path):
+    bodies = [(i, b) for i, b in enumerate(phrases(200, 1, 12))] + [(900, None), (901, ""), (902, " "), (903, "a  b "), (904, " ab c")]
+    bodies += [(i, "the cable") for i in range(1000, 1400)]
+    texts = spark.createDataFrame(bodies, "id int, body string")
+    asked = [*PATTERNS, " ", "  ", "a  b", "a  b ", " ab", "b ", "the cable", "cable cut the", "e c", "zzz cable", "h_ c", "% b "]
+    patterns = spark.createDataFrame([(p,) for p in asked] + [(None,)], "pattern string")
+    laid = postings.in_parts(texts, ("id",)).persist()
+    index = postings.write_postings(laid, ("id",), "body", str(tmp_path), buckets=7)
+    assert len(index.steps) == len(postings.SHARES)
+    want = {(i, p) for i, b in bodies if b is not None for p in asked if (like(b, p) if wild else p in b)}
+    got = [(r.id, r.pattern) for r in postings.matching(index, texts, "body", patterns, "pattern", like=wild).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    short = postings.matching(index, texts, "body", patterns, "pattern", like=wild, first=3).collect()
+    lowest = {p: sorted(i for i, q in want if q == p)[:3] for p in asked}
+    assert sorted((r.id, r.pattern) for r in short) == sorted((i, p) for p, ids in lowest.items() for i in ids)
+
+
 @pytest.mark.parametrize("copies", [20, 20_000])
 def test_rare_kind_is_found_at_any_size(spark, copies):
     texts = spark.range(copies).selectExpr("cast(id as int) as id", "'text' as kind", "'HOLDS BETA' as body")
@@ -238,8 +257,8 @@ def test_rare_kind_is_found_at_any_size(spark, copies):
     assert sorted((r.id, r.kind) for r in found.collect()) == [(0, "text"), (1, "text"), (2, "text"), (10**6, "title")]
 
 
-@pytest.mark.parametrize("literal", [False, True])
-def test_batch_search_equals_single_searches(spark, literal):
+@pytest.mark.parametrize("literal, stored", [(False, False), (True, False), (False, True), (True, True)])
+def test_batch_search_equals_single_searches(spark, literal, stored, tmp_path):
     rng = random.Random(3)
     rows = [
         (f"D{d:02d}-C{s:03d}", t, f"D{d:02d}", rng.choice(["Cable guide", "The fault", None]), "Major",
@@ -257,7 +276,13 @@ def test_batch_search_equals_single_searches(spark, literal):
         "general", "x_y", "10%", "able cut", "CABLE GUIDE", "the fault",
     ]
     queries = spark.createDataFrame([(q,) for q in asked] + [(None,)], "query_text string")
-    many = se.search_many(index, queries, 7, literal).collect()
+    kept = se.store_index(index, str(tmp_path)) if stored else index
+    many = se.search_many(kept, queries, 7, literal).collect()
+    if stored:
+        for q in ("the fault", "safety requirements", "a_c"):
+            for k in (4,):
+                pair = [se.find_similar(i, q, k=k, literal=literal).collect() for i in (kept, index)]
+                assert pair[0] == pair[1], q
     for q in asked:
         one = se.search_chunks(index, q, k=7, literal=literal).collect()
         got = sorted((r for r in many if r.query_text == q), key=lambda r: r["rank"])
