@@ -17,7 +17,7 @@ from ..functions import fixed, rules, text
 from ..sources.tables import settle
 from .chunks import chunk_table
 from .postings import Postings, in_parts, matching, open_postings, write_postings
-from .textmatch import containing, first_per, like_test
+from .textmatch import containing, first_per
 from .vectors import blended_topk
 
 INDEX_COLUMNS = (
@@ -30,8 +30,6 @@ RESULT_COLUMNS = (
     "section_name", "page_number", "chunk_sequence",
 )
 ORDER = ("document_id", "chunk_sequence")
-# search texts that are tested on a document in one row
-TEXTS_AT_ONCE = 256
 
 
 def search_index(
@@ -334,44 +332,33 @@ def chat_answers(index: DataFrame | SearchIndex, questions: DataFrame) -> DataFr
     )
 
 
-def hybrid(vector_hits: DataFrame, keyword_hits: DataFrame, key: list[str], weight: float = 0.5) -> DataFrame:
-    """Blend similarity and relevance_score of two hit lists; a missing score counts as 0."""
-    part = lambda c: F.coalesce(c, F.lit(0.0))
-    return vector_hits.join(keyword_hits, key, "full").withColumn(
-        "hybrid_score",
-        part(F.col("similarity")) * weight + part(F.col("relevance_score")) * (1 - weight),
-    )
-
-
 def document_scores(documents: DataFrame, queries: DataFrame, literal: bool = False) -> DataFrame:
     """The scores of search_documents without a cut, for a whole table of queries (column
     query_text): query_text, document_id, relevance_score of every active document that scores.
 
-    Every distinct text is tested on every document, TEXTS_AT_ONCE in a row, where the document is
-    read: most documents can score, and a lookup by token would move each of them once per token.
+    Texts are looked up by their words where the document is read; titles once per distinct title.
     """
-    texts = settle(queries.select("query_text").filter(F.col("query_text").isNotNull()).distinct(), "queries")
-    groups = max(1, -(-texts.count() // TEXTS_AT_ONCE))
-    group = F.pmod(F.xxhash64("query_text"), F.lit(groups)).alias("_group")
-    asked = settle(texts.groupBy(group).agg(F.collect_list("query_text").alias("asked")).select("asked"), "texts")
-    bodies = documents.filter("is_active").select(
-        "document_id", F.upper("content").alias("content"), F.upper("title").alias("title")
+    texts = queries.select("query_text").filter(F.col("query_text").isNotNull()).distinct()
+    roles = F.array(
+        F.struct(F.upper("query_text").alias("pattern"), F.lit("full").alias("role")),
+        F.struct(F.upper(text.first_word("query_text")).alias("pattern"), F.lit("first").alias("role")),
     )
-    test = (lambda c, q: F.col(c).contains(F.upper(q))) if literal else (lambda c, q: like_test(F.col(c), F.upper(q)))
-
-    def score(q):
-        return (
-            F.when(test("content", q), fixed.SCORE_TEXT)
-            .when(test("content", text.first_word(q)), fixed.SCORE_FIRST_WORD)
-            .when(test("title", q), fixed.SCORE_TITLE)
-        )
-
-    scores = F.transform("asked", lambda q: F.struct(q.alias("query_text"), score(q).alias("relevance_score")))
-    # the join keeps the upper-case texts from being made again for every query
-    return (
-        bodies.crossJoin(asked).select("document_id", F.inline(scores))
-        .filter(F.col("relevance_score").isNotNull())
-        .groupBy("query_text", "document_id").agg(F.max("relevance_score").alias("relevance_score"))
+    asked = settle(texts.select("query_text", F.inline(roles)), "queries")
+    active = documents.filter("is_active")
+    bodies = active.select("document_id", F.upper("content").alias("body"))
+    titled = active.select("document_id", F.upper("title").alias("title"))
+    content = containing(bodies, ["document_id"], "body", asked, "pattern", like=not literal)
+    full = asked.filter("role = 'full'")
+    titles = containing(titled.select("title").distinct(), ["title"], "title", full, "pattern", like=not literal)
+    by_text = content.join(asked, "pattern").select(
+        "query_text", "document_id",
+        F.when(F.col("role") == "full", fixed.SCORE_TEXT).otherwise(fixed.SCORE_FIRST_WORD).alias("relevance_score"),
+    )
+    by_title = titles.join(full, "pattern").join(titled, "title").select(
+        "query_text", "document_id", F.lit(fixed.SCORE_TITLE).alias("relevance_score")
+    )
+    return by_text.unionByName(by_title).groupBy("query_text", "document_id").agg(
+        F.max("relevance_score").alias("relevance_score")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,8 +15,10 @@ from ..sources.tables import settle
 BLOCK_BYTES = 16 << 20
 # query and corpus vectors that are multiplied at once: 4 MB of scores
 TILE_QUERIES, TILE_VECTORS = 256, 2048
-# queries and documents of a block of blended scores; a task holds the text scores of such a pair
+# queries and documents of a block of blended scores; a task holds such a pair
 BLEND_QUERIES, BLEND_DOCUMENTS = 1024, 2048
+# most bands that text scores are cut into
+BANDS = 8
 
 
 def _unit(rows) -> np.ndarray:
@@ -96,98 +100,116 @@ def vector_topk(
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+_DOCUMENTS = "query_id long, document_id string, similarity double, relevance_score double, hybrid_score double"
+
+
 def _blend(k: int, weight: float):
-    """The k best blends of one block of documents for every query of one block of queries.
+    """The k best blends of one block of documents for every query of one block of queries."""
+
+    def meet(row) -> pd.DataFrame:
+        names, at = np.unique(np.array(row.names, dtype=object), return_inverse=True)
+        told = np.zeros(len(names))
+        told[at] = [np.nan if x is None else x for x in row.scores]
+        queries, known = np.asarray(row.asked, dtype=bool), np.asarray(row.held, dtype=bool)
+        near = np.full((len(queries), len(names)), np.nan)
+        if queries.any() and known.any():
+            matrix = _unit(np.asarray(row.query_values, dtype=np.float64).reshape(queries.sum(), -1))
+            stored = _unit(np.asarray(row.values, dtype=np.float64).reshape(known.sum(), -1))
+            order = np.argsort(at[known], kind="stable")
+            of = at[known][order]
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            # rounded so that the order of additions cannot decide a tie; a document's best vector counts
+            found = np.maximum.reduceat(np.round(matrix @ stored[order].T, 9), first, axis=1)
+            near[np.ix_(queries, of[first])] = found
+        score = np.round(np.nan_to_num(near) * weight + np.nan_to_num(told) * (1 - weight), 9)
+        score[np.isnan(near) & np.isnan(told)[None, :]] = -np.inf
+        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        take = lambda m: np.take_along_axis(np.broadcast_to(m, score.shape), best, axis=1).ravel()
+        out = pd.DataFrame({
+            "query_id": np.repeat(np.asarray(row.query_ids), best.shape[1]), "document_id": names[best.ravel()],
+            "similarity": take(near), "relevance_score": take(told), "hybrid_score": take(score),
+        })
+        return out[np.isfinite(out["hybrid_score"])]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                yield meet(row)
+
+    return run
+
+
+def _packed(df: DataFrame, size: int, own: str, ids: str, values: str, has: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (text, id, vector) in blocks of about `size` by a hash of the id: one row per text and block."""
+    c = F.col
+    counts = df.groupBy("text").agg(F.countDistinct(own).alias("_n"))
+    blocks = F.ceil(c("_n") / F.lit(size)).cast("int")
+    dealt = df.join(counts, "text").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(own), c("blocks")).cast("int"))
+    rows = dealt.groupBy("text", "block", "blocks").agg(
+        F.array_sort(F.collect_list(F.struct(own, *extra, c("vector").isNotNull().alias("has"), "vector"))).alias("_rows")
+    )
+    return rows.select(
+        "text", "block", "blocks", c(f"_rows.{own}").alias(ids), c("_rows.has").alias(has),
+        *[c(f"_rows.{x}").alias(f"{x}s") for x in extra],
+        F.flatten(F.array_compact(c("_rows.vector"))).alias(values),
+    )
 
-    Rows are queries (text, vector), documents (vector) and text scores (text, document_id, score).
-    """
 
-    def similarities(part: pd.DataFrame, vectors: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-        out = np.full((len(part), n), np.nan)
-        has = part["vector"].notna().to_numpy()
-        if has.any() and len(at):
-            # rounded so that the order of additions cannot decide a tie
-            found = np.round(_unit(part["vector"][has]) @ vectors.T, 9)
-            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            out[np.ix_(has, at[first])] = np.maximum.reduceat(found, first, axis=1)
-        return out
-
-    def blend(rows: pd.DataFrame) -> pd.DataFrame:
-        columns = ("query_id", "document_id", "similarity", "relevance_score", "hybrid_score")
-        queries = rows[rows["kind"] == 0]
-        stored = rows[rows["kind"] == 1].sort_values("document_id", kind="stable")
-        said = rows[rows["kind"] == 2].sort_values("query_text", kind="stable")
-        # in the order of their ids, which decides ties
-        names = np.unique(np.r_[stored["document_id"].to_numpy(object), said["document_id"].to_numpy(object)])
-        out = []
-        if len(queries) and len(names):
-            vectors = _unit(stored["vector"]) if len(stored) else np.empty((0, 0))
-            at = np.searchsorted(names, stored["document_id"].to_numpy(object))
-            said_at = np.searchsorted(names, said["document_id"].to_numpy(object))
-            said_text, said_score = said["query_text"].to_numpy(object), said["score"].to_numpy(float)
-            for a in range(0, len(queries), TILE_QUERIES):
-                part = queries.iloc[a : a + TILE_QUERIES]
-                near = similarities(part, vectors, at, len(names))
-                told = np.full(near.shape, np.nan)
-                for i, text in enumerate(part["query_text"]):
-                    if not pd.isna(text):
-                        own = slice(*(np.searchsorted(said_text, text, side) for side in ("left", "right")))
-                        told[i, said_at[own]] = said_score[own]
-                score = np.round(np.nan_to_num(near) * weight + np.nan_to_num(told) * (1 - weight), 9)
-                score[np.isnan(near) & np.isnan(told)] = -np.inf
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                take = lambda m: np.take_along_axis(m, best, axis=1).ravel()  # noqa: B023
-                ids = np.repeat(part["query_id"].to_numpy(), best.shape[1])
-                out.append(pd.DataFrame(dict(zip(
-                    columns, (ids, names[best.ravel()], take(near), take(told), take(score)), strict=True))))
-        found = pd.concat(out) if out else pd.DataFrame({c: [] for c in columns})
-        return found[np.isfinite(found["hybrid_score"].astype(float))]
-
-    return blend
+def _round(queries: DataFrame, members: DataFrame, k: int, weight: float) -> DataFrame:
+    """The k best members of its text for every query, each pair of blocks in a row of its own."""
+    left = settle(_packed(queries, BLEND_QUERIES, "query_id", "query_ids", "query_values", "asked"), "queries")
+    wanted = left.select("text", F.col("blocks").alias("rows")).distinct()
+    right = settle(_packed(members.join(wanted.select("text"), "text", "left_semi"), BLEND_DOCUMENTS,
+                           "document_id", "names", "values", "held", ("score",)), "members")
+    other = right.select("text", F.col("blocks").alias("columns")).distinct()
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pairs = left.join(other, "text").withColumnRenamed("block", "row").withColumn("column", each("columns")).drop("blocks", "columns")
+    placed = right.join(wanted, "text").withColumnRenamed("block", "column").withColumn("row", each("rows")).drop("blocks", "rows")
+    met = pairs.join(placed, ["text", "row", "column"]).drop("text", "row", "column")
+    return met.mapInPandas(_blend(k, weight), _DOCUMENTS)
 
 
 def blended_topk(
     queries: DataFrame, stored: DataFrame, said: DataFrame, k: int = 10, weight: float = 0.5
 ) -> DataFrame:
-    """The k best blends of similarity and text score of every query.
-
-    queries: query_id, query_text, vector; stored: document_id, vector; said: query_text,
-    document_id, relevance_score. Exact: queries and documents are dealt to blocks by a hash of
-    their id, every pair of blocks meets in a task of its own with all its text scores, and k rows
-    per query and block of documents remain. A document's best vector counts.
+    """The k best blends of similarity and text score of every query, by a rank join.
+
+    queries: query_id, query_text, vector; stored: document_id, vector; said: query_text, document_id,
+    relevance_score. Exact. The documents that a text scores are taken in bands, highest scores first; each
+    band meets the queries that ask for the text and are still open. A query closes when its k-th blend is
+    over what a document of the next band could reach with a similarity of 1. Queries that stay open meet
+    all vectors at the end; a document already seen there keeps its full score, which is no lower.
+    A document's best vector counts.
     """
-    stored = stored.filter(F.col("vector").isNotNull())
-    rows = max(1, -(-queries.count() // BLEND_QUERIES))
-    texts = settle(said, "text scores")
-    documents = stored.select("document_id").union(texts.select("document_id")).distinct().count()
-    columns = max(1, -(-documents // BLEND_DOCUMENTS))
-    own = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    row, column = own("query_id", rows), own("document_id", columns)
-    none = lambda kind: F.lit(None).cast(kind)
-    shape = lambda df, kind, **given: df.select(F.lit(kind).alias("kind"), *[
-        given.get(name, none(type_)).alias(name) for name, type_ in (
-            ("_row", "int"), ("_column", "int"), ("query_id", "long"), ("query_text", "string"),
-            ("document_id", "string"), ("vector", "array<double>"), ("score", "double"))])
     c = F.col
-    vector = c("vector").cast("array<double>")
-    asked = queries.withColumns({"_row": row, "_column": every(columns)})
-    placed = stored.withColumns({"_column": column, "_row": every(rows)})
-    wanted = queries.select("query_text", row.alias("_row")).distinct()
-    told = texts.join(wanted, "query_text").withColumn("_column", column)
-    all_ = (
-        shape(asked, 0, _row=c("_row"), _column=c("_column"), query_id=c("query_id").cast("long"),
-              query_text=c("query_text"), vector=vector)
-        .unionByName(shape(placed, 1, _row=c("_row"), _column=c("_column"), document_id=c("document_id"), vector=vector))
-        .unionByName(shape(told, 2, _row=c("_row"), _column=c("_column"), query_text=c("query_text"),
-                           document_id=c("document_id"), score=c("relevance_score")))
-    )
-    found = all_.groupBy("_row", "_column").applyInPandas(
-        _blend(k, weight),
-        "query_id long, document_id string, similarity double, relevance_score double, hybrid_score double",
-    )
-    absent = lambda name: F.when(~F.isnan(name), c(name)).alias(name)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hybrid_score"), "document_id"))
-    return found.withColumn("rank", rank).filter(c("rank") <= k).select(
-        "query_id", "rank", "document_id", absent("similarity"), absent("relevance_score"), "hybrid_score"
+    number = lambda name: F.when(~F.isnan(name), c(name)).alias(name)
+    asked = settle(queries.select(c("query_id").cast("long").alias("query_id"), c("query_text").alias("text"),
+                                  c("vector").cast("array<double>").alias("vector")), "queries")
+    held = stored.filter(c("vector").isNotNull()).select("document_id", c("vector").cast("array<double>").alias("vector"))
+    members = settle(
+        said.select(c("query_text").alias("text"), "document_id", c("relevance_score").alias("score")).join(held, "document_id", "left"),
+        "members",
     )
+    tops = members.groupBy("score").count().agg(F.percentile_approx("score", [i / BANDS for i in range(1, BANDS + 1)], 10_000)).first()[0]
+    tops = sorted(set(tops or []), reverse=True)
+    best, open_ = None, asked
+    rank = Window.partitionBy("query_id").orderBy(F.desc("hybrid_score"), "document_id")
+
+    def merged(found: DataFrame) -> DataFrame:
+        found = found.select("query_id", "document_id", number("similarity"), number("relevance_score"), "hybrid_score")
+        full = F.max(F.struct("hybrid_score", "relevance_score", "similarity")).alias("m")
+        rows = (found if best is None else best.drop("rank").unionByName(found)).groupBy("query_id", "document_id").agg(full)
+        rows = rows.select("query_id", "document_id", "m.similarity", "m.relevance_score", "m.hybrid_score")
+        return settle(rows.withColumn("rank", F.row_number().over(rank)).filter(c("rank") <= k), "best")
+
+    for i, top in enumerate(tops):
+        below = tops[i + 1] if i + 1 < len(tops) else None
+        band = members.filter(c("score") <= top) if below is None else members.filter((c("score") <= top) & (c("score") > below))
+        best = merged(_round(open_.filter(c("text").isNotNull()), band, k, weight))
+        reach = weight + (1 - weight) * max(below or 0.0, 0.0) + 1e-8
+        closed = best.filter((c("rank") == k) & (c("hybrid_score") > reach)).select("query_id")
+        open_ = settle(open_.join(closed, "query_id", "left_anti"), "open")
+    everyone = held.withColumns({"text": F.lit(""), "score": F.lit(None).cast("double")})
+    rest = open_.filter(c("vector").isNotNull()).withColumn("text", F.lit(""))
+    best = merged(_round(rest, everyone, k, weight))
+    return best.select("query_id", "rank", "document_id", "similarity", "relevance_score", "hybrid_score")

@@ -864,17 +864,22 @@ SQL["sql_similar"] = SQL["find_similar"]
 
 SQL["search_in_document"] = with_("idx", one_search("the", "document_id = 'SOP-000001'", 10))
 
+_ASKED = ("diagnostic steps", "safety requirements", "repair procedure", "verification", "cable fault",
+          "signal level", "equipment repair notes", "service degradation", "network security")
 SQL["hybrid_search"] = with_("sops", f"""
 , v as (select vec_id, cast(embedding as double[]) as x from embeddings),
-near as (select 'SOP-' || lpad(cast(vec_id as varchar), 6, '0') as document_id, s as similarity from (
-  select b.vec_id, round(list_cosine_similarity(a.x, b.x), 9) as s from v a, v b where a.vec_id = 0
-  order by s desc, b.vec_id limit 50) z),
-said as (select document_id, relevance_score from (
-  select *, {relevance("'diagnostic steps'", "content", "cast(null as varchar)", "title")} as relevance_score from sops where is_active)
- where relevance_score is not null order by relevance_score desc, document_id limit 50)
-select document_id, round(similarity, 6) as similarity, round(relevance_score, 6) as relevance_score,
- round(coalesce(similarity, 0) * 0.5 + coalesce(relevance_score, 0) * 0.5, 6) as hybrid_score
-from near full join said using (document_id)""")
+q as (select vec_id as query_id, x, [{", ".join(f"'{t}'" for t in _ASKED)}][1 + (vec_id // 20) % {len(_ASKED)}] as query_text
+      from v where vec_id % 20 = 0),
+near as (select query_id, 'SOP-' || lpad(cast(v.vec_id as varchar), 6, '0') as document_id,
+                round(list_cosine_similarity(q.x, v.x), 9) as similarity from q, v),
+told as (select query_text, document_id, {relevance("query_text", "content", "cast(null as varchar)", "title")} as relevance_score
+         from (select distinct query_text from q) t, sops where is_active),
+said as (select query_id, document_id, relevance_score from q join told using (query_text) where relevance_score is not null),
+both_ as (select *, round(coalesce(similarity, 0) * 0.5 + coalesce(relevance_score, 0) * 0.5, 9) as score
+          from near full join said using (query_id, document_id))
+select query_id, cast(row_number() over (partition by query_id order by score desc, document_id) as int) as "rank", document_id,
+ round(similarity, 6) as similarity, round(relevance_score, 6) as relevance_score, round(score, 6) as hybrid_score
+from both_ qualify "rank" <= 50""")
 
 SQL["indexed_similar"] = SQL["find_similar"]
 SQL["indexed_questions"] = SQL["ask_questions"]

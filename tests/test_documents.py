@@ -348,13 +348,6 @@ def test_vectors(spark):
             assert [r.vec_id for r in mine] == order
 
 
-def test_hybrid_blends_both_lists(spark):
-    v = spark.createDataFrame([("q", 1, 0.8), ("q", 2, 0.4)], "query string, id int, similarity double")
-    k = spark.createDataFrame([("q", 2, 0.9), ("q", 3, 0.7)], "query string, id int, relevance_score double")
-    got = {r.id: round(r.hybrid_score, 6) for r in se.hybrid(v, k, ["query", "id"], 0.25).collect()}
-    assert got == {1: 0.2, 2: 0.775, 3: 0.525}
-
-
 def test_answers_for_questions(spark, sf_dir):
     from faultloom.plans import catalog
 
