@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions import rules, sql, text
 from ..operators import chunks as ch
 from ..operators import faults as fl
-from ..operators import merge, metrics, procedures, quality, search, vectors
+from ..operators import merge, metrics, procedures, quality, search, vector_index, vectors
 from ..session import tune, work_dir
 from ..sources import files, tables
 from ..sources.tables import settle
@@ -494,6 +494,14 @@ def vector_topk(spark, sf):
     return flat(vectors.vector_topk(vectors_, vectors_, skip_same=True))
 
 
+@query
+def vector_index_topk(spark, sf):
+    """The nearest rows of every vector whose number 20 divides, through a stored index."""
+    vectors_ = derive.load(spark, sf, "embeddings")
+    made = vector_index.write_index(vectors_, work_dir(spark, "vectors"))
+    return flat(vector_index.index_topk(made, vectors_.filter("vec_id % 20 = 0"), skip_same=True))
+
+
 @query
 def hybrid_search(spark, sf):
     """For every vector whose number 20 divides, the best documents by similarity and text, blended."""

@@ -415,6 +415,37 @@ def test_hybrid_blends_before_it_cuts(spark, monkeypatch, block):
     assert max(x[2] for x in want if x[0] == 0) > "D050"
 
 
+def test_vector_index(spark, tmp_path):
+    import numpy as np
+
+    from faultloom.operators import vector_index
+    from faultloom.operators.vectors import vector_topk
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(20, 8))
+    data = [(i, [float(x) for x in centres[i % 20 if i % 3 else 0] + rng.normal(size=8) / 4]) for i in range(1500)]
+    data += [(2000 + i, [0.0] * 8) for i in range(5)] + [(3000, None)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    index = vector_index.write_index(df, str(tmp_path / "a"))
+    assert index.rows.count() == 1505 and 1 <= index.probes < index.lists.count()
+    exact = {(r.query_id, r.vec_id): r.similarity for r in vector_topk(df, df, 5, skip_same=True).collect()}
+    found = {(r.query_id, r.vec_id): r.similarity for r in vector_index.index_topk(index, df, 5, skip_same=True).collect()}
+    assert len(found.keys() & exact.keys()) / len(exact) >= 0.9
+    assert all(found[p] == exact[p] for p in found.keys() & exact.keys())
+    every = vector_index.index_topk(index, df, 5, skip_same=True, probes=10**6).collect()
+    assert {(r.query_id, r.vec_id): r.similarity for r in every} == exact
+    none = vector_index.write_index(df.limit(0), str(tmp_path / "b"))
+    assert vector_index.index_topk(none, df).collect() == []
+
+
+def test_vector_index_query_recall(spark, sf_dir):
+    from faultloom.plans import catalog, derive
+
+    exact = {(r.query_id, r.vec_id) for r in catalog.QUERIES["vector_topk"](spark, sf_dir).collect() if r.query_id % 20 == 0}
+    found = {(r.query_id, r.vec_id) for r in catalog.QUERIES["vector_index_topk"](spark, sf_dir).collect()}
+    assert len(found) == len(exact) and len(found & exact) / len(exact) >= 0.9
+
+
 def test_hybrid_query_takes_every_twentieth_vector(spark, sf_dir):
     from faultloom.plans import catalog, derive
 
