@@ -17,7 +17,7 @@ from ..functions import fixed, rules, text
 from ..sources.tables import settle
 from .chunks import chunk_table
 from .postings import Postings, in_parts, matching, open_postings, write_postings
-from .textmatch import containing, first_per
+from .textmatch import containing, first_per, like_test
 from .vectors import blended_topk
 
 INDEX_COLUMNS = (
@@ -30,6 +30,8 @@ RESULT_COLUMNS = (
     "section_name", "page_number", "chunk_sequence",
 )
 ORDER = ("document_id", "chunk_sequence")
+# search texts that are tested on a document in one row
+TEXTS_AT_ONCE = 256
 
 
 def search_index(
@@ -336,29 +338,33 @@ def document_scores(documents: DataFrame, queries: DataFrame, literal: bool = Fa
     """The scores of search_documents without a cut, for a whole table of queries (column
     query_text): query_text, document_id, relevance_score of every active document that scores.
 
-    Texts are looked up by their words where the document is read; titles once per distinct title.
+    Texts come in groups of TEXTS_AT_ONCE, a document meets each group in one row where it is read: most
+    documents can score, and a lookup by word would need the vocabulary of all documents.
     """
     texts = queries.select("query_text").filter(F.col("query_text").isNotNull()).distinct()
-    roles = F.array(
-        F.struct(F.upper("query_text").alias("pattern"), F.lit("full").alias("role")),
-        F.struct(F.upper(text.first_word("query_text")).alias("pattern"), F.lit("first").alias("role")),
+    ranked = settle(texts.withColumn("_group", F.xxhash64("query_text")), "queries")
+    groups = max(1, -(-ranked.count() // TEXTS_AT_ONCE))
+    asked = settle(
+        ranked.groupBy(F.pmod("_group", F.lit(groups)).alias("_group")).agg(F.collect_list("query_text").alias("asked")), "texts"
     )
-    asked = settle(texts.select("query_text", F.inline(roles)), "queries")
-    active = documents.filter("is_active")
-    bodies = active.select("document_id", F.upper("content").alias("body"))
-    titled = active.select("document_id", F.upper("title").alias("title"))
-    content = containing(bodies, ["document_id"], "body", asked, "pattern", like=not literal)
-    full = asked.filter("role = 'full'")
-    titles = containing(titled.select("title").distinct(), ["title"], "title", full, "pattern", like=not literal)
-    by_text = content.join(asked, "pattern").select(
-        "query_text", "document_id",
-        F.when(F.col("role") == "full", fixed.SCORE_TEXT).otherwise(fixed.SCORE_FIRST_WORD).alias("relevance_score"),
+    bodies = documents.filter("is_active").select(
+        "document_id", F.upper("content").alias("content"), F.upper("title").alias("title"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("_group"),
     )
-    by_title = titles.join(full, "pattern").join(titled, "title").select(
-        "query_text", "document_id", F.lit(fixed.SCORE_TITLE).alias("relevance_score")
-    )
-    return by_text.unionByName(by_title).groupBy("query_text", "document_id").agg(
-        F.max("relevance_score").alias("relevance_score")
+    test = (lambda c, q: F.col(c).contains(F.upper(q))) if literal else (lambda c, q: like_test(F.col(c), F.upper(q)))
+
+    def score(q):
+        return (
+            F.when(test("content", q), fixed.SCORE_TEXT)
+            .when(test("content", text.first_word(q)), fixed.SCORE_FIRST_WORD)
+            .when(test("title", q), fixed.SCORE_TITLE)
+        )
+
+    scores = F.transform("asked", lambda q: F.struct(q.alias("query_text"), score(q).alias("relevance_score")))
+    return (
+        bodies.join(asked, "_group").select("document_id", F.inline(scores))
+        .filter(F.col("relevance_score").isNotNull())
+        .groupBy("query_text", "document_id").agg(F.max("relevance_score").alias("relevance_score"))
     )
 
 

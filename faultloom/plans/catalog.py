@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import rules, sql, text
+from ..functions import objects, rules, sql, text
 from ..operators import chunks as ch
 from ..operators import faults as fl
-from ..operators import merge, metrics, procedures, quality, search, vector_index, vectors
+from ..operators import cube, deltas, merge, metrics, procedures, quality, search, vector_index, vectors
 from ..session import tune, work_dir
 from ..sources import files, tables
 from ..sources.tables import settle
-from ..streaming import chunk_refresh, ingest
+from ..streaming import chunk_refresh, index_refresh, ingest
 from . import batch, derive
 from .derive import AS_OF
 
@@ -777,3 +777,123 @@ def streamed_chunks(spark, sf):
     return chunk_refresh.current_chunks(spark, f"{root}/log").drop("page_number", "is_meaningful")
 
 
+
+
+@query
+def streamed_index(spark, sf):
+    """The postings of documents that arrive in two versions, every other one with the newer version first."""
+    root = work_dir(spark, "index-refresh")
+    documents = derive.sop_documents(spark, sf).select("document_id", "title", "content")
+    late = F.substring("document_id", -1, 1).cast("int") % 2 == 1
+    for newer in (late, ~late):
+        documents.select(
+            "document_id", F.when(newer, F.col("content")).otherwise(F.col("title")).alias("content"),
+            F.when(newer, AS_OF).otherwise("2024-01-30").cast("timestamp_ntz").alias("updated_timestamp"),
+        ).write.mode("append").parquet(f"{root}/documents")
+        index_refresh.stream_index(
+            spark, f"{root}/documents", f"{root}/log", f"{root}/checkpoint"
+        ).awaitTermination()
+    left = index_refresh.current_index(spark, f"{root}/log")
+    return left.groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("tokens"), F.sum(F.size("places")).alias("places"),
+        F.sum(F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + x)).alias("place_sum"),
+    )
+
+
+@query
+def streamed_faults_dedup(spark, sf):
+    """Faults that arrive week by week, some of them again and some weeks late, through the stream that
+    takes each once by event time."""
+    root = work_dir(spark, "dedup")
+    faults = derive.faults(spark, sf)
+    e, day = F.substring("fault_id", 2, 9).cast("long"), F.dayofmonth("fault_timestamp")
+    held = (e % 101 == 0) & (day < 8)
+    for week, (first, last) in enumerate(((0, 8), (8, 15), (15, 22), (22, 32))):
+        own = (day >= first) & (day < last) & ~held
+        again = (e % 7 == 0) & (day >= first - 7) & (day < first) & ~held
+        rows = faults.filter(own).unionAll(faults.filter((e % 7 == 0) & own)).unionAll(faults.filter(again))
+        if week == 3:
+            rows = rows.unionAll(faults.filter(held))
+        rows.coalesce(1).write.mode("append").parquet(f"{root}/landed")
+        ingest.dedup_faults(
+            spark, f"{root}/landed", f"{root}/faults", f"{root}/checkpoint", faults.schema
+        ).awaitTermination()
+    accepted = ingest.ingested(spark, f"{root}/faults")
+    late = ingest.late_faults(spark.read.schema(faults.schema).parquet(f"{root}/landed"), accepted)
+    state = lambda df, name: df.select("fault_id", "fault_timestamp", F.lit(name).alias("state"))
+    return state(accepted, "accepted").unionByName(state(late, "late"))
+
+
+def _event_objects(spark, sf):
+    """A JSON object per event, with the event's own object inside, an array, and texts that are no JSON."""
+    e = F.col("event_id")
+    made = F.to_json(F.struct(
+        F.col("event_type").alias("technician_type"), (F.col("user_id") / 4).alias("estimated_duration_hours"),
+        F.array(e % 3, e % 5).alias("skills"), F.struct(F.from_json("props", "k int").alias("props"), F.when(e % 2 == 0, "yes").alias("flag")).alias("detail"),
+    ))
+    return derive.load(spark, sf, "events").select("event_id", F.when(e % 50 == 49, F.concat(F.lit("{broken "), made)).when(e % 51 != 50, made).alias("recommendation"))
+
+
+@query
+def object_paths(spark, sf):
+    """Typed columns of paths into raw JSON objects."""
+    return flat(objects.shred(_event_objects(spark, sf), "recommendation", {
+        "technician_type": ("technician_type", "string"), "duration": ("estimated_duration_hours", "double"),
+        "second_skill": ("skills[1]", "int"), "k": ("detail.props.k", "int"), "flag": ("detail.flag", "string"),
+        "absent": ("detail.none", "string"), "not_a_number": ("technician_type", "int"),
+    }).drop("recommendation"))
+
+
+@query
+def upsert_in_buckets(spark, sf):
+    """upsert_files as a merge in place that touches the buckets of the listing only."""
+    path, stamp = work_dir(spark, "files"), F.lit(AS_OF).cast("timestamp_ntz")
+    target = derive.sop_files(spark, sf).withColumns({
+        "file_size": F.lit(0).cast("long"), "md5": F.lit("old"),
+        "updated_timestamp": F.lit("2024-01-01").cast("timestamp_ntz"),
+    })
+    merge.write_buckets(target, path, ["file_path"], 32)
+    merge.upsert_buckets(
+        spark, path, derive.listed_pages(spark, sf), ["file_path"], 32, ["file_url", "file_size", "md5"],
+        on_update={"updated_timestamp": stamp},
+        on_insert={"file_status": F.lit("ACTIVE"), "updated_timestamp": stamp},
+    )
+    return merge.read_buckets(spark, path)
+
+
+@query
+def kpi_row_incremental(spark, sf):
+    """kpi_row kept by deltas: two thirds of the faults first, then corrections of a sixth with the rest, then
+    the sixth as it is in the end."""
+    path, keys, buckets = work_dir(spark, "faults"), ["fault_id"], 16
+    faults = derive.faults(spark, sf)
+    e = F.substring("fault_id", 2, 9).cast("long")
+    wrong = faults.withColumns({"customers_affected": F.lit(7), "resolution_timestamp": F.lit(None).cast("timestamp_ntz")})
+    first = faults.filter((e % 3 < 2) & (e % 6 != 0)).unionByName(wrong.filter((e % 3 < 2) & (e % 6 == 0)))
+    second = faults.filter(e % 3 == 2).unionByName(wrong.filter(e % 6 == 1))
+    third = faults.filter(e % 6 < 2)
+    shown = lambda rows: fl.with_predictions(fl.enhance(rows, AS_OF), AS_OF)
+    merge.write_buckets(first, path, keys, buckets)
+    state = settle(deltas.kpi_sums(shown(merge.read_buckets(spark, path))), "state")
+    for batch in (second, third):
+        old, new = merge.changed_rows(spark, path, batch, keys, buckets)
+        state = settle(deltas.apply_changes(state, shown(old), shown(new)), "state")
+        merge.upsert_buckets(spark, path, batch, keys, buckets, [c for c in faults.columns if c not in keys])
+    return flat(deltas.kpi_view(state))
+
+
+@query
+def dashboard_cube(spark, sf):
+    """The KPI rows of all combinations of location, category, risk and four date ranges, from one build."""
+    frame = dashboard(spark, sf)
+    made = settle(cube.build_cube(frame), "cube")
+    values = lambda c: F.concat(F.array(F.lit("All")), F.sort_array(F.collect_set(c)))
+    found = made.agg(*[values(c).alias(c) for c in cube.KEYS])
+    day = lambda d: F.lit(d).cast("date")
+    ranges = F.array(*[F.struct(F.lit(n).alias("range"), day(a).alias("first_day"), day(b).alias("last_day")) for n, a, b in (
+        ("all", None, None), ("week 2", "2024-01-08", "2024-01-14"), ("from 20", "2024-01-20", None), ("to 3", None, "2024-01-03"))])
+    slices = found.select(ranges.alias("r"), *cube.KEYS).select(F.inline("r"), *cube.KEYS)
+    for c in cube.KEYS:
+        slices = slices.withColumn(c, F.explode(c))
+    slices = slices.withColumn("slice_id", F.concat_ws("|", "range", *cube.KEYS))
+    return flat(cube.slice_kpis(made, slices))

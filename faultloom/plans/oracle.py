@@ -903,3 +903,36 @@ select document_id, title, category, array_to_string(equipment_types, '|') as eq
  array_to_string(fault_codes, '|') as fault_codes, md5(content) as content from sops""")
 SQL["rejected_rows"] = with_("faults", """
 select fault_id, 'customers_affected' as reason from faults where cast(substr(fault_id, 2) as bigint) % 13 = 0""")
+
+SQL["streamed_index"] = with_("sops", """
+, u as (select document_id, string_split(replace(replace(upper(content), 'ß', 'SS'), 'ẞ', 'SS'), ' ') as w from sops),
+t as (select document_id, unnest(w) as token, unnest(range(0, len(w))) as place from u)
+select document_id, count(distinct token) as tokens, count(*) as places, cast(sum(place) as bigint) as place_sum from t group by 1""")
+SQL["streamed_faults_dedup"] = with_("faults", """
+select fault_id, fault_timestamp, case when cast(substr(fault_id, 2) as bigint) % 101 = 0 and day(fault_timestamp) < 8
+ then 'late' else 'accepted' end as state from faults""")
+SQL["object_paths"] = """
+select event_id, case when ok then event_type end as technician_type, case when ok then round(user_id / 4, 6) end as duration,
+ case when ok then cast(event_id % 5 as int) end as second_skill, case when ok then cast(json_extract(props, '$.k') as int) end as k,
+ case when ok and event_id % 2 = 0 then 'yes' end as flag, cast(null as varchar) as absent, cast(null as int) as not_a_number
+from (select *, event_id % 50 <> 49 and event_id % 51 <> 50 as ok from events)"""
+SQL["upsert_in_buckets"] = SQL["upsert_files"]
+SQL["kpi_row_incremental"] = SQL["kpi_row"]
+SQL["dashboard_cube"] = with_("dash", """
+, v as (select unnest(['All'] || list(distinct location)) as location from dash),
+c as (select unnest(['All'] || list(distinct fault_category) filter (where fault_category is not null)) as fault_category from dash),
+r as (select unnest(['All'] || list(distinct risk_level)) as risk_level from dash),
+d as (select * from (values ('all', null, null), ('week 2', date '2024-01-08', date '2024-01-14'),
+ ('from 20', date '2024-01-20', null), ('to 3', null, date '2024-01-03')) t(range, a, b)),
+s as (select *, concat_ws('|', range, location, fault_category, risk_level) as slice_id from v, c, r, d)
+select slice_id, count(*) filter (where not is_resolved) as active_faults,
+ count(*) filter (where hours_since_fault < 24) as last_24h,
+ count(*) filter (where not is_resolved and dash.risk_level = 'CRITICAL') as critical_faults,
+ count(*) filter (where sla_breach_risk) as sla_risk,
+ round(avg(cast(first_time_fix as int)) filter (where is_resolved) * 100, 6) as first_time_fix_pct,
+ cast(coalesce(sum(customers_affected) filter (where not is_resolved), 0) as bigint) as customers_affected,
+ round(coalesce(sum(estimated_revenue_impact) filter (where not is_resolved), 0), 6) as revenue_at_risk
+from s left join dash on s.location in ('All', dash.location) and s.fault_category in ('All', dash.fault_category)
+ and s.risk_level in ('All', dash.risk_level) and coalesce(cast(fault_timestamp as date) >= a, true)
+ and coalesce(cast(fault_timestamp as date) <= b, true)
+group by 1""")
