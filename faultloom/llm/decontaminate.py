@@ -186,17 +186,19 @@ def find_hits(
     windows = settle(benchmark_windows(benchmark, item_col, item_text_col, window), "windows")
     passes = max(1, -(-windows.count() // max_windows))
     source = keyed(docs, id_col, text_col)
-    results = []
+    if passes == 1:
+        return source.mapInArrow(_scanner(spark.sparkContext.broadcast(_WindowSet(windows.collect()))), _HIT_SCHEMA)
+    # rows are told apart by a number, not by their ids; one part of the windows is held at a time
+    numbered = settle(source.withColumn("_row", F.monotonically_increasing_id()), "texts")
+    rows, counted = numbered.select(F.col("_row").alias("_id"), "_text"), None
     for p in range(passes):
         part = windows.where(F.pmod(F.xxhash64("hash"), F.lit(passes)) == p).collect()
-        results.append(source.mapInArrow(_scanner(spark.sparkContext.broadcast(_WindowSet(part))), _HIT_SCHEMA))
-    if passes == 1:
-        return results[0]
-    counted = results[0]
-    for more in results[1:]:
-        counted = counted.unionByName(more)
-    return (
-        counted.groupBy("_id")
+        shared = spark.sparkContext.broadcast(_WindowSet(part))
+        found = settle(rows.mapInArrow(_scanner(shared), _HIT_SCHEMA), "hits")
+        shared.destroy()
+        counted = found if counted is None else counted.unionByName(found)
+    whole = (
+        counted.withColumnRenamed("_id", "_row").groupBy("_row")
         .agg(
             F.max("n_words").alias("n_words"),
             F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
@@ -204,6 +206,7 @@ def find_hits(
         )
         .withColumn("spans", _merged(F.col("spans")))
     )
+    return numbered.select("_row", "_id").join(whole, "_row").drop("_row")
 
 
 def _merged(spans):

@@ -39,8 +39,11 @@ LENGTH = 100
 ANCHOR = 32
 #: bytes merged at once in a task, more only if one anchor has more
 MERGE_BYTES = 1 << 17
-#: an anchor is frequent from this many segments on, and from total * (LENGTH + ANCHOR) / 2 ** 20 on
-FREQUENT = 2000
+#: an anchor is frequent if over one in SHARE of all bytes under shared anchors are its segments'; a share, so
+#: that inputs of every size have as many, but never below FREQUENT segments
+SHARE, FREQUENT = 1 << 18, 64
+#: distinct strings a task counts before it hands them on
+COUNTED = 1 << 20
 #: the bit table has 2 ** BUCKET_BITS rows of 2 ** 15 bits, 16 MB
 BUCKET_BITS = 12
 BROADCAST_IDS = 1_000_000
@@ -140,7 +143,12 @@ def _segment_rows(shared):
 def _frequent_strings(shared):
     """Hash and count of all anchor strings in the segments of the given anchors."""
 
+    def combined(held: list) -> list:
+        values, owner = np.unique(np.concatenate([v for v, _ in held]), return_inverse=True)
+        return [(values, np.bincount(owner, np.concatenate([k for _, k in held]), len(values)).astype(np.int64))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for block in blocks(batch.column(1), lower=False):
                 text, first, count, h, _ = segments(block, None, False)
@@ -153,7 +161,17 @@ def _frequent_strings(shared):
                 np.add.at(covered, start + count[hit] + LENGTH - ANCHOR, -1)
                 hashes = anchor_hashes(block)
                 values, k = np.unique(hashes[np.cumsum(covered)[: len(hashes)] > 0], return_counts=True)
-                yield _rows([values.view(np.int64), k], ["h", "k"])
+                held.append((values, k))
+                size += len(values)
+                if size > 2 * COUNTED:
+                    held = combined(held)
+                    size = len(held[0][0])
+                    if size > COUNTED:
+                        yield _rows([held[0][0].view(np.int64), held[0][1]], ["h", "k"])
+                        held, size = [], 0
+        if size:
+            ((values, k),) = combined(held)
+            yield _rows([values.view(np.int64), k], ["h", "k"])
 
     return run
 
@@ -285,7 +303,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return settle(found.where("k > 1"), "anchors")
 
     anchors = shared_anchors(None)
-    limit = max(FREQUENT, ((anchors.agg(F.sum("k")).first()[0] or 0) * (LENGTH + ANCHOR)) >> 20)
+    limit = max(FREQUENT, ((anchors.agg(F.sum("k")).first()[0] or 0) * (LENGTH + ANCHOR)) // SHARE)
     frequent = [r["h"] for r in anchors.where(F.col("k") > limit).select("h").collect()]
     demoted = None
     if frequent:
