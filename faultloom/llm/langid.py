@@ -28,8 +28,8 @@ from .bytewords import Block, blocks
 from .steps import small_batches
 
 UNDETERMINED = "und"
-TRAIN_TEXTS = 4000
-WINDOWS_PER_TEXT = 3
+#: labelled texts learnt from, whole
+TRAIN_TEXTS = 2000
 WINDOW = 256
 WIDTHS = (5, 4, 3, 2)  # wide first: the first places belong to all filters, later ones to fewer
 FILTERS = 8  # of each width
@@ -77,17 +77,11 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def windows_of(block: Block, each: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows_of(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows (0 beyond the end of a text), the text of each, and how many of its bytes it starts."""
-    size = np.diff(block.bounds)
-    count = -(-size // WINDOW)
+    count = -(-np.diff(block.bounds) // WINDOW)
     text = np.repeat(np.arange(len(block)), count)
     k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    if each is not None:
-        spread = k * each // np.maximum(count[text], 1)
-        last = np.ones(len(k), dtype=bool)
-        last[:-1] = (spread[1:] != spread[:-1]) | (text[1:] != text[:-1])
-        text, k = text[last], k[last]
     start = block.bounds[text] + k * WINDOW
     place = start[:, None] + np.arange(WINDOW + REACH)
     inside = place < block.bounds[text + 1][:, None]
@@ -95,7 +89,7 @@ def windows_of(block: Block, each: int | None = None) -> tuple[np.ndarray, np.nd
     return np.where(inside, padded[np.minimum(place, len(block.data))], 0), text, np.minimum(block.bounds[text + 1] - start, WINDOW)
 
 
-def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 6, seed: int = 7) -> Network:
+def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 3, seed: int = 7) -> Network:
     """Adam on the cross entropy; windows in the given order, shuffled by the seed."""
     rng = np.random.default_rng(seed)
     net = Network.fresh(languages, rng)
@@ -139,7 +133,7 @@ def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, langs = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for block in blocks(batch.column(1), lower=False):
-            x, text, _ = windows_of(block, WINDOWS_PER_TEXT)
+            x, text, _ = windows_of(block)
             rows += [(ids[block.first + t], i, langs[block.first + t], w) for i, (t, w) in enumerate(zip(text, x))]
     if rows:
         rows.sort(key=lambda r: (r[0] * 0x9E3779B97F4A7C15 & (1 << 64) - 1, r[1]))

@@ -21,7 +21,8 @@ once in 45,000; every pair that shares a table is decided exactly:
 
 Defined cases: null, empty or wordless texts have no shingles, n_shingles 0, and are linked with
 nothing. Texts with fewer words than a shingle have their whole word sequence as their one shingle.
-Rows with equal ids are one node. Rows with a null id get a null component and are kept. Other
+Rows with equal ids are one node: texts that any of them links are
+linked. Rows with a null id get a null component and are kept. Other
 columns are ignored, whatever their names.
 """
 
@@ -168,12 +169,42 @@ def _entries(signed: DataFrame, how: Tables) -> DataFrame:
     )
 
 
+_SIGNED = "_id long, n long, digest binary, tuples array<long>"
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Tables = Tables()) -> DataFrame:
     """Per row of docs: _id, n_shingles, component_id (the smallest id that links lead to)."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     source = keyed(docs, id_col, text_col)
-    signed = settle(source.mapInArrow(_signer(how), "_id long, n long, digest binary, tuples array<long>"), "signed")
+    signed = settle(source.mapInArrow(_signer(how), _SIGNED), "signed")
+    texts = signed.where("n > 0 and _id is not null").groupBy("_id").agg((F.min("digest") != F.max("digest")).alias("several"))
+    if texts.where("several").isEmpty():
+        return _components_of(source, signed, how)
+    return _with_links_of_ids(source, how)
+
+
+def _with_links_of_ids(source: DataFrame, how: Tables) -> DataFrame:
+    """classes where an id has different texts: rows are the nodes, and the rows of an id are linked."""
+    numbered = settle(source.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.when(F.col("_id").isNotNull(), F.col("_row")).alias("_row"), "_id", "_text")
+    single = rows.select(F.col("_row").alias("_id"), "_text")
+    found = _components_of(single, settle(single.mapInArrow(_signer(how), _SIGNED), "signed"), how).where("_id is not null")
+    met = settle(found.withColumnRenamed("_id", "_row").join(numbered.select("_row", "_id"), "_row"), "rows")
+    worded = met.where("n_shingles > 0")
+    least = worded.groupBy("_id").agg(F.min("component_id").alias("a"))
+    labels = components(worded.join(least, "_id").select("a", F.col("component_id").alias("b")))
+    joined = worded.join(labels.select(F.col("node").alias("component_id"), "label"), "component_id", "left").select(
+        "_row", F.coalesce("label", "component_id").alias("label"), "_id"
+    )
+    names = joined.groupBy("label").agg(F.min("_id").alias("component"))
+    named = joined.join(names, "label").select("_row", "component")
+    whole = met.join(named, "_row", "left").select("_id", "n_shingles", F.coalesce("component", "_id").alias("component_id"))
+    nameless = rows.where("_row is null").select("_id", "_text").mapInArrow(_signer(how), _SIGNED)
+    return whole.unionByName(nameless.select("_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+
+
+def _components_of(source: DataFrame, signed: DataFrame, how: Tables) -> DataFrame:
+    """classes where an id has one text."""
     full = signed.where("n > 0 and _id is not null")
     first = settle(full.groupBy("digest").agg(F.min("_id").alias("_id")), "first")
     chosen = full.join(first, ["digest", "_id"], "left_semi").select("_id", "n", "tuples").dropDuplicates(["_id"])

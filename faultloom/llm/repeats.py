@@ -16,9 +16,10 @@ come last in the order of anchors; windows at the edge of such a passage then ha
 the edge.
 
 The order of occurrences is (id, start). Defined cases: a null or empty text has no bytes. Texts
-shorter than LENGTH never change. Rows with equal ids are read as the same text: what is found in
-one is cut in all, and the same start in two of them is one occurrence. Rows with a null id are not
-compared and stay whole. Other columns are ignored, whatever their names.
+shorter than LENGTH never change. Rows with equal ids and texts are one text: the same start in two
+of them is one occurrence, what is cut in one is cut in all. Different texts of one id are documents
+of their own, in order of their SHA-256. Rows with a null id are not compared and stay whole. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -357,10 +358,32 @@ def _with_texts(source: DataFrame, rows: DataFrame, kind: str = "inner") -> Data
 _CUT = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
+def _told_apart(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, DataFrame | None]:
+    """docs, the column that tells its documents apart, and that column by id where it is not the id.
+
+    Where an id has different texts, (id, SHA-256 of the text) are numbered in their order.
+    """
+    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
+    ids = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("h")).where("_id is not null")
+    if ids.groupBy("_id").agg((F.min("h") != F.max("h")).alias("several")).where("several").isEmpty():
+        return docs, id_col, None
+    node, name, mark = fresh(docs, "_node"), fresh(docs, "_id"), fresh(docs, "_digest")
+    rows = docs.select(F.col(id_col).cast("long").alias(name), digest.alias(mark)).where(F.col(name).isNotNull()).distinct()
+    numbers = settle(rows.orderBy(name, mark).withColumn(node, F.monotonically_increasing_id()), "numbers")
+    known = docs.withColumns({name: F.col(id_col).cast("long"), mark: digest}).join(numbers, [name, mark], "left")
+    return settle(known.drop(name, mark), "documents"), node, numbers
+
+
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per text: _id, n_bytes, n_removed, n_spans, kept_sha256."""
-    spans = repeated_spans(docs, id_col, text_col)
-    return _with_texts(keyed(docs, id_col, text_col), spans, "left").mapInArrow(_cutter(False), _CUT).drop("kept")
+    docs, node, numbers = _told_apart(docs, id_col, text_col)
+    spans = repeated_spans(docs, node, text_col)
+    found = _with_texts(keyed(docs, node, text_col), spans, "left").mapInArrow(_cutter(False), _CUT).drop("kept")
+    if numbers is None:
+        return found
+    names = numbers.select(F.col(node).alias("_node"), F.col(numbers.columns[0]).alias("_name"))
+    out = found.join(names, F.col("_id") == F.col("_node"), "left")
+    return out.select(F.col("_name").alias("_id"), *[c for c in found.columns if c != "_id"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
@@ -368,16 +391,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     size_col, if there is such a column, gets the new number of characters.
     """
-    spans = repeated_spans(docs, id_col, text_col)
-    source = keyed(docs, id_col, text_col)
+    columns = docs.columns
+    docs, node, _ = _told_apart(docs, id_col, text_col)
+    spans = repeated_spans(docs, node, text_col)
+    source = keyed(docs, node, text_col)
     ids = F.broadcast(spans.select("_id")) if spans.count() <= BROADCAST_IDS else spans.select("_id")
     changed = source.join(ids, "_id", "left_semi").dropDuplicates(["_id"]).join(spans, "_id")
     name = fresh(docs, "_kept")
     texts = changed.mapInArrow(_cutter(True), _CUT).select("_id", F.decode("kept", "UTF-8").alias(name))
-    touched = by_id(by_id(docs, ids, id_col, "left_semi"), texts, id_col, "inner").withColumn(text_col, F.col(name))
-    if size_col in docs.columns:
+    touched = by_id(by_id(docs, ids, node, "left_semi"), texts, node, "inner").withColumn(text_col, F.col(name))
+    if size_col in columns:
         touched = touched.withColumn(size_col, F.length(name).cast(docs.schema[size_col].dataType))
-    return by_id(docs, ids, id_col, "left_anti").unionByName(touched.select(*docs.columns))
+    return by_id(docs, ids, node, "left_anti").select(*columns).unionByName(touched.select(*columns))
 
 
 def report(docs: DataFrame) -> DataFrame:
