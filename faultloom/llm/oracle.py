@@ -180,6 +180,71 @@ select anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 """
 
 
+def _repair_sql() -> str:
+    """Costs and audits go forward row by row, each state's best as one string: cost in twelve digits, then edits."""
+    more = lambda k, cost, edit: f"lpad(cast(cast(left({k}, 12) as bigint) + {cost} as varchar), 12, '0') || substr({k}, 13) || '{edit}'"
+
+    def inserted(k: list[str]) -> str:
+        third = f"least({k[2]}, {more(k[0], 5, 'I')}, {more(k[1], 5, 'I')}, {more(k[3], 5, 'I')})"
+        fourth = f"least({k[3]}, {more(third, 5, 'I')})"
+        return f"{k[0]} as s0, {k[1]} as s1, {third} as s2, {fourth} as s3"
+
+    def taken(k: str, initial: str) -> str:
+        kept, other = more(k, "x", "K"), more(k, "1 + x", "R")
+        return f"case when gone then null when r = '{initial}' then {kept} else {other} end"
+
+    user = ", ".join(taken(k, "u") for k in ("s0", "s1", "s3"))
+    start = "'000000000000'"
+    return rf"""
+with recursive k as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key from conversations),
+h as (select *, xor(list_reduce(flatten(list_transform(range(1, length(key) + 1), lambda i : [ascii(substr(key, i, 1)), 0, 0, 0, 0, 0, 0, 0])),
+        lambda a, b : xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1)), 4294967295), 4294967295) % 20 as kind
+      from k),
+d as (select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+             case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+             unnest(range(0, case when kind = 0 then 0 when kind = 3 then 2 else 1 end)) as copy from h),
+u as (select *, row_number() over () as u from d),
+o as (select *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as kept,
+             row_number() over (partition by conv_id order by turn nulls first, role, text, u) as i,
+             row_number() over (partition by conv_id, role, text order by turn nulls first, u) as seen from u),
+f as (select *, left(role, 1) as r, lag(left(role, 1)) over (partition by conv_id order by i) as before,
+             case when kept = '' then 'blank' when seen > 1 then 'duplicate' when right(kept, 1) not in ('.', '!', '?') then 'truncated' end as fault
+      from o),
+t as (select *, coalesce(fault in ('blank', 'duplicate'), false) as gone, case when fault = 'truncated' then 5 else 0 end as x from f),
+c as (select distinct conv_id from conversations),
+walk as (
+  select conv_id, cast(0 as bigint) as i, {inserted([start, "cast(null as varchar)", "cast(null as varchar)", "cast(null as varchar)"])} from c
+  union all
+  select conv_id, i, {inserted(["n0", "n1", "n2", "n3"])} from (
+    select w.conv_id, t.i, {more("s0", 2, "D")} as n0,
+      least({more("s1", 2, "D")}, case when not gone and r = 's' then {more("s0", "x", "K")} end) as n1,
+      least({more("s2", 2, "D")}, {user}) as n2,
+      least({more("s3", 2, "D")}, {taken("s2", "a")}) as n3
+    from walk w join t on t.conv_id is not distinct from w.conv_id and t.i = w.i + 1) z),
+best as (select conv_id, least(s0, s3) as b from walk qualify i = max(i) over (partition by conv_id)),
+e as (select conv_id, j, substr(b, 12 + j, 1) as edit, length(replace(substr(b, 13, j), 'I', '')) as i,
+             length(replace(substr(b, 13, j), 'D', '')) as place
+      from (select conv_id, b, unnest(range(1, length(b) - 11)) as j from best) z),
+g as (select e.*, t.role, t.text, t.r from e left join t on t.conv_id is not distinct from e.conv_id and t.i = e.i and edit <> 'I'),
+p as (select *, max(case when place = 1 and edit = 'K' and r = 's' then 1 else 0 end) over (partition by conv_id) as led from g where edit <> 'D'),
+done as (select conv_id, string_agg(case when edit = 'K' then role when (place - led) % 2 = 1 then 'user' else 'assistant' end
+                || ':' || case when edit = 'I' then '' else text end, chr(10) order by j) as repaired from p group by conv_id),
+n as (select conv_id, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (fault = 'blank') as blank,
+             count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+             count(*) filter (before is not null and before || r not in ('su', 'ua', 'au')) as illegal from t group by conv_id)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(left(b, 12) as bigint) as cost, substr(b, 13) as audit,
+       sha256(coalesce(repaired, '')) as repaired_sha256
+from c join best on best.conv_id is not distinct from c.conv_id
+  left join n on n.conv_id is not distinct from c.conv_id left join done on done.conv_id is not distinct from c.conv_id
+"""
+
+
+SQL["op12_conversation_repair"] = _repair_sql()
+
+
 def _license_sql() -> str:
     from . import licenses as li
 
