@@ -93,3 +93,24 @@ def test_one_document_with_a_third_of_all_chunks(spark):
     assert windows.agg(F.sum(F.size("neighbour_ids"))).first()[0] == 6000 + 5 * 3000 - 6
     texts = ch.reassemble(rows, block=64)
     assert texts.filter("document_id = 'HOT'").first().chunk_count == 3000
+
+
+@pytest.mark.parametrize("name", ["hybrid_search", "vector_index_topk", "indexed_similar"])
+def test_no_nested_loops_in_any_step(spark, monkeypatch, name):
+    """Steps that a search writes on its way are planned like its result."""
+    from faultloom.operators import postings, search, textmatch, vectors
+    from faultloom.sources import tables
+
+    plans = []
+
+    def settle(df, *args, **kwargs):
+        plans.append(plan(df))
+        return tables.settle(df, *args, **kwargs)
+
+    for module in (postings, search, textmatch, vectors):
+        monkeypatch.setattr(module, "settle", settle)
+    plans.append(plan(catalog.QUERIES[name](spark, SF)))
+    shown = "\n".join(plans)
+    if name != "indexed_similar":
+        assert "NestedLoop" not in shown
+    assert "CartesianProduct" not in shown and "BatchEvalPython" not in shown
