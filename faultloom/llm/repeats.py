@@ -57,17 +57,33 @@ def anchor_hashes(block: Block) -> np.ndarray:
     return range_hashes(block.data, start, start + ANCHOR)
 
 
-def segments(block: Block, demoted: np.ndarray | None, contents: bool = True) -> tuple[np.ndarray, ...]:
+class HashSet:
+    """A set of hashes, with a bit table that refuses most others before the search."""
+
+    BITS = 22
+
+    def __init__(self, hashes: np.ndarray):
+        self.sorted = np.sort(hashes)
+        self.bits = np.zeros(1 << self.BITS, dtype=bool)
+        self.bits[self.sorted >> np.uint64(64 - self.BITS)] = True
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Where in h the members of the set are."""
+        maybe = np.flatnonzero(self.bits[h >> np.uint64(64 - self.BITS)])
+        at = np.searchsorted(self.sorted, h[maybe])
+        at[at == len(self.sorted)] = 0
+        return maybe[self.sorted[at] == h[maybe]] if len(self.sorted) else maybe[:0]
+
+
+def segments(block: Block, demoted: HashSet | None, contents: bool = True) -> tuple[np.ndarray, ...]:
     """text, first window (byte in the text), number of windows, anchor hash and content hash, if wanted."""
     hashes = anchor_hashes(block)
     n = len(block.data) - LENGTH + 1
     if n <= 0:
         return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     order = (hashes >> np.uint64(1)) & np.uint64(0xFFFFFFFF00000000 >> 1)
-    if demoted is not None and len(demoted):
-        at = np.searchsorted(demoted, hashes)
-        at[at == len(demoted)] = 0
-        order |= (demoted[at] == hashes).astype(np.uint64) << np.uint64(63)
+    if demoted is not None:
+        order[demoted.places(hashes)] |= np.uint64(1 << 63)
     order |= np.arange(len(order), dtype=np.uint64)
     least, width, need = order, 1, LENGTH - ANCHOR + 1
     while width * 2 <= need:
@@ -311,7 +327,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         wanted = np.sort(np.array(frequent, dtype=np.int64).view(np.uint64))
         strings = source.mapInArrow(_frequent_strings(send(wanted)), "h long, k long").groupBy("h").agg(F.sum("k").alias("k"))
         found = strings.where(F.col("k") > limit).select("h").collect()
-        demoted = np.sort(np.array([r["h"] for r in found], dtype=np.int64).view(np.uint64))
+        demoted = HashSet(np.array([r["h"] for r in found], dtype=np.int64).view(np.uint64))
         anchors = shared_anchors(demoted)
 
     table = send((demoted, _bit_table(anchors)))
