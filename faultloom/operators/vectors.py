@@ -209,7 +209,9 @@ def blended_topk(
         reach = weight + (1 - weight) * max(below or 0.0, 0.0) + 1e-8
         closed = best.filter((c("rank") == k) & (c("hybrid_score") > reach)).select("query_id")
         open_ = settle(open_.join(closed, "query_id", "left_anti"), "open")
-    everyone = held.withColumns({"text": F.lit(""), "score": F.lit(None).cast("double")})
-    rest = open_.filter(c("vector").isNotNull()).withColumn("text", F.lit(""))
+    # one text for all, made from a column: an equality of constants would be planned as a nested loop
+    same = lambda name: F.coalesce(F.substring(c(name).cast("string"), 1, 0), F.lit(""))
+    everyone = held.filter("document_id is not null").withColumns({"text": same("document_id"), "score": F.lit(None).cast("double")})
+    rest = open_.filter(c("vector").isNotNull()).withColumn("text", same("query_id"))
     best = merged(_round(rest, everyone, k, weight))
     return best.select("query_id", "rank", "document_id", "similarity", "relevance_score", "hybrid_score")
