@@ -76,7 +76,9 @@ def faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _document_id(number: Column) -> Column:
-    return F.concat(F.lit("SOP-"), F.lpad(number.cast("string"), 6, "0"))
+    """Six digits at least; lpad alone would cut longer numbers, so that several rows shared one id."""
+    digits = number.cast("string")
+    return F.concat(F.lit("SOP-"), F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0")))
 
 
 def sop_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from faultloom.functions import sql
 from faultloom.operators import faults as fl
 from faultloom.operators import merge, metrics, quality
-from faultloom.plans import batch, derive
+from faultloom.plans import batch, catalog, derive
 from faultloom.schemas import DASHBOARD_COLUMNS, FAULT_COLUMNS, FAULTS
 from faultloom.sources import files, generate, tables
 from faultloom.streaming import chunk_refresh, ingest
@@ -312,3 +312,31 @@ def test_reliability_draws_fit_their_band(spark, sf_dir):
         assert 365 <= (dt.date(2024, 1, 31) - r.installation_date).days <= 1095
         assert 30 <= (dt.date(2024, 1, 31) - r.last_maintenance_date).days <= 180
     assert sorted(rows) == sorted(metrics.equipment_reliability(enhanced, derive.AS_OF, 3).collect())
+
+
+def numbered_files(spark, root, documents, pages):
+    """Documents and pages with the given numbers, as the files that the registered queries read."""
+    spark.createDataFrame([(d, "text", "en", "web") for d in documents], "doc_id long, text string, lang string, source string").write.parquet(
+        f"{root}/documents.parquet"
+    )
+    spark.createDataFrame([(p, f"u{p}", "x" * (p % 5)) for p in pages], "page_id long, url string, html string").write.parquet(
+        f"{root}/pages.parquet"
+    )
+    return str(root)
+
+
+def check_numbered(got):
+    """Documents 7, 1000006 and 1000013 meet pages 1, 142858 and no page; numbers of 6 and 7 digits stay apart."""
+    rows = {r.file_path: r for r in got.collect()}
+    assert set(rows) == {f"SOP-{n}.pdf" for n in ("000007", "1000006", "1000013", "999999", "1000020", "1000027")}
+    assert (rows["SOP-000007.pdf"].file_url, rows["SOP-000007.pdf"].file_size) == ("u1", 1)
+    assert (rows["SOP-1000006.pdf"].file_url, rows["SOP-1000006.pdf"].file_size) == ("u142858", 3)
+    assert rows["SOP-1000013.pdf"].md5 == "old"
+    assert rows["SOP-1000020.pdf"].file_url == "u142860" and rows["SOP-1000027.pdf"].file_url == "u142861"
+
+
+NUMBERED = [7, 1000006, 1000013], [1, 142857, 142858, 142860, 142861]
+
+
+def test_upsert_files_tells_numbers_over_six_digits_apart(spark, tmp_path):
+    check_numbered(catalog.QUERIES["upsert_files"](spark, numbered_files(spark, tmp_path, *NUMBERED)))
