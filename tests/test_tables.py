@@ -340,3 +340,7 @@ NUMBERED = [7, 1000006, 1000013], [1, 142857, 142858, 142860, 142861]
 
 def test_upsert_files_tells_numbers_over_six_digits_apart(spark, tmp_path):
     check_numbered(catalog.QUERIES["upsert_files"](spark, numbered_files(spark, tmp_path, *NUMBERED)))
+
+
+def test_upsert_in_buckets_tells_numbers_over_six_digits_apart(spark, tmp_path):
+    check_numbered(catalog.QUERIES["upsert_in_buckets"](spark, numbered_files(spark, tmp_path, *NUMBERED)))
