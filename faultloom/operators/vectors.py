@@ -28,39 +28,62 @@ def _unit(rows) -> np.ndarray:
 
 
 def _meet(k: int, skip_same: bool):
-    """The k best of one corpus block for every query of one query block, tile by tile."""
+    """The k best of one corpus block for every query of one query block, tile by tile.
+
+    The corpus is taken in order of its ids, so of equal scores the one found first stays, and a tile matters
+    only where it is over the k-th best so far: few scores are left to sort.
+    """
 
     def meet(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(corpus):
+            corpus = corpus.sort_values("vec_id", kind="stable")
             vectors, vec_ids = _unit(corpus["vector"]), corpus["vec_id"].to_numpy()
             for a in range(0, len(queries), TILE_QUERIES):
                 part = queries.iloc[a : a + TILE_QUERIES]
                 matrix, query_ids = _unit(part["vector"]), part["query_id"].to_numpy()
-                ids = np.empty((len(part), 0), dtype=np.int64)
-                scores = np.empty((len(part), 0))
+                of, ids = np.empty(0, dtype=np.int64), np.empty(0, dtype=vec_ids.dtype)
+                scores, floor = np.empty(0), np.full(len(part), -np.inf)
                 for b in range(0, len(vectors), TILE_VECTORS):
                     new_ids = vec_ids[b : b + TILE_VECTORS]
-                    # rounded so that the order of additions cannot decide a tie
-                    new = np.round(matrix @ vectors[b : b + TILE_VECTORS].T, 9)
+                    new = matrix @ vectors[b : b + TILE_VECTORS].T
                     if skip_same:
-                        new[query_ids[:, None] == new_ids[None, :]] = -np.inf
-                    ids = np.hstack([ids, np.broadcast_to(new_ids, new.shape)])
-                    scores = np.hstack([scores, new])
-                    best = np.lexsort((ids, -scores), axis=1)[:, :k]
-                    ids = np.take_along_axis(ids, best, axis=1)
-                    scores = np.take_along_axis(scores, best, axis=1)
-                out.append(pd.DataFrame({
-                    "query_id": np.repeat(query_ids, ids.shape[1]),
-                    "vec_id": ids.ravel(),
-                    "similarity": scores.ravel(),
-                }))
-        found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
-        return found[np.isfinite(found["similarity"].astype(float))]
+                        ends = [np.searchsorted(new_ids, query_ids, side) for side in ("left", "right")]
+                        for i in np.flatnonzero((ends[1] > ends[0]) & (query_ids == query_ids)):
+                            new[i, ends[0][i] : ends[1][i]] = -np.inf
+                    rows, columns = _over(new, floor, k)
+                    if not len(rows):
+                        continue
+                    # rounded so that the order of additions cannot decide a tie
+                    of, ids = np.r_[of, rows], np.r_[ids, new_ids[columns]]
+                    scores = np.r_[scores, np.round(new[rows, columns], 9)]
+                    best = np.lexsort((ids, -scores, of))
+                    first = np.searchsorted(of[best], np.arange(len(part)))
+                    best = best[np.arange(len(best)) - first[of[best]] < k]
+                    of, ids, scores = of[best], ids[best], scores[best]
+                    full = np.flatnonzero(np.bincount(of, minlength=len(part)) == k)
+                    floor[full] = scores[np.searchsorted(of, full) + k - 1]
+                out.append(pd.DataFrame({"query_id": query_ids[of], "vec_id": ids, "similarity": scores}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
 
     return meet
 
 
+def _over(scores: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the scores that can be among the k best of their row, where floor is the k-th so far.
+
+    A rounded score is over the floor, itself rounded, only if the score is. Of a row with more than k such
+    scores only those that round to the k-th of them or higher count.
+    """
+    over = scores > floor[:, None]
+    many = np.flatnonzero(np.count_nonzero(over, axis=1) > k)
+    if len(many):
+        some = np.where(over[many], scores[many], -np.inf)
+        kth = np.partition(some, some.shape[1] - k, axis=1)[:, -k]
+        over[many] = some >= kth[:, None] - 2e-9
+    return np.nonzero(over)
+
+
 def _blocks(df: DataFrame, block_bytes: int) -> int:
     """Blocks of about that size, by the optimizer's estimate; runs no job. Spark has no estimate for
     rows made by code and then names a huge size; these go to as many blocks as a shuffle makes."""
@@ -93,7 +116,9 @@ def vector_topk(
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.withColumn("_row", own("query_id", rows)).withColumn("_column", every(columns))
     right = stored.withColumn("_column", own("vec_id", columns)).withColumn("_row", every(rows))
-    found = left.groupBy("_row", "_column").cogroup(right.groupBy("_row", "_column")).applyInPandas(
+    # a pair is little to read and much to multiply: pairs that are few MB together must not share a task
+    pairs = lambda df: df.repartition(2 * rows * columns, "_row", "_column").groupBy("_row", "_column")
+    found = pairs(left).cogroup(pairs(right)).applyInPandas(
         _meet(k, skip_same), "query_id long, vec_id long, similarity double"
     )
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))

@@ -457,3 +457,26 @@ def test_hybrid_query_takes_every_twentieth_vector(spark, sf_dir):
     want = _hybrid_brute(asked[:4], vectors, documents, 50, 0.5)
     mine = {(r.query_id, r.document_id): r.hybrid_score for r in got}
     assert all(abs(mine[x[0], x[2]] - x[5]) < 2e-6 for x in want)
+
+
+def test_nearest_of_a_block_sort_few_scores(monkeypatch):
+    """The whole matrix of scores was sorted for the k best; only what is over the k-th so far need be."""
+    import numpy as np
+    import pandas as pd
+
+    from faultloom.operators.vectors import _meet
+
+    rng = np.random.default_rng(3)
+    corpus = pd.DataFrame({"vec_id": rng.permutation(9000) // 2, "vector": list(rng.integers(-2, 3, (9000, 6)).astype(float))})
+    queries = pd.DataFrame({"query_id": np.arange(300), "vector": list(rng.integers(-2, 3, (300, 6)).astype(float))})
+    sorted_, plain = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys, **o: sorted_.append(np.size(keys[0])) or plain(keys, **o))
+    got = _meet(4, True)(queries, corpus)
+    assert sum(sorted_) < 0.2 * len(queries) * len(corpus)
+    unit = lambda m: np.array([v / (np.linalg.norm(v) or 1) for v in m["vector"]])
+    near = np.round(unit(queries) @ unit(corpus).T, 9)
+    ids = corpus["vec_id"].to_numpy()
+    for i, rows in got.groupby("query_id"):
+        best = sorted((-s, v) for s, v in zip(near[i], ids) if v != i)[:4]
+        assert [(-s, v) for s, v in zip(rows["similarity"], rows["vec_id"])] == best
+    assert len(got) == 1200
