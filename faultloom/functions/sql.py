@@ -154,8 +154,11 @@ def table_functions() -> dict[str, str]:
             f" {_keyword(fixed.CHUNK_TYPES, fixed.CHUNK_TYPE_DEFAULT)},"
             f" {_keyword(fixed.SECTION_NAMES, fixed.SECTION_DEFAULT)},"
             f" pos * {fixed.CHUNK_SIZE} + 1, pos * {fixed.CHUNK_SIZE} + length(piece)"
-            f" from posexplode(regexp_extract_all(full_text, '(?s).{{1,{fixed.CHUNK_SIZE}}}', 0))"
-            f" as p(pos, piece) where length(trim(piece)) > {fixed.CHUNK_MIN_LENGTH}"
+            # no WHERE: a body that only projects and unfolds is inlined into the calling plan; with a filter
+            # Spark joins the pieces back to their texts by the texts themselves
+            " from inline(filter(transform(regexp_extract_all(full_text,"
+            f" '(?s).{{1,{fixed.CHUNK_SIZE}}}', 0), (x, i) -> named_struct('pos', i, 'piece', x)),"
+            f" x -> length(trim(x.piece)) > {fixed.CHUNK_MIN_LENGTH})) as p(pos, piece)"
         ),
         "get_contextual_chunks": (
             "(target_chunk_id string, context_window int default 2) returns table (chunk_id string,"

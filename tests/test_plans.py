@@ -114,3 +114,16 @@ def test_no_nested_loops_in_any_step(spark, monkeypatch, name):
     if name != "indexed_similar":
         assert "NestedLoop" not in shown
     assert "CartesianProduct" not in shown and "BatchEvalPython" not in shown
+
+
+def test_chunks_by_sql_stay_in_the_row(spark):
+    """The pieces were joined back to their texts by the texts, twice through a shuffle."""
+    assert "Exchange" not in plan(catalog.QUERIES["sql_chunks"](spark, SF))
+    assert "Join" not in plan(catalog.QUERIES["sql_chunks"](spark, SF))
+    texts = ("a safety " * 60, "x" * 200 + " " * 200 + "Verification", "short", "", None, "a safety " * 60)
+    rows = [(f"D{i}", f"D{i}.pdf", t) for i, t in enumerate(texts)]
+    made = spark.createDataFrame(rows, "document_id string, file_path string, content string")
+    made.createOrReplaceTempView("some_texts")
+    got = spark.sql("select d.document_id, c.* from some_texts d, lateral create_meaningful_chunks(d.content, d.document_id, d.file_path) c")
+    shown = lambda df: sorted(tuple(r) for r in df.collect())
+    assert shown(got) == shown(ch.chunk_text(made).drop("file_path")) and got.count() == 8
