@@ -814,9 +814,10 @@ def streamed_faults_dedup(spark, sf):
         rows = faults.filter(own).unionAll(faults.filter((e % 7 == 0) & own)).unionAll(faults.filter(again))
         if week == 3:
             rows = rows.unionAll(faults.filter(held))
-        rows.coalesce(1).write.mode("append").parquet(f"{root}/landed")
+        rows.write.mode("append").parquet(f"{root}/landed")
+        # a week is one batch, however many files it came in: within a week nothing is late
         ingest.dedup_faults(
-            spark, f"{root}/landed", f"{root}/faults", f"{root}/checkpoint", faults.schema
+            spark, f"{root}/landed", f"{root}/faults", f"{root}/checkpoint", faults.schema, files_per_batch=2**31 - 1
         ).awaitTermination()
     accepted = ingest.ingested(spark, f"{root}/faults")
     late = ingest.late_faults(spark.read.schema(faults.schema).parquet(f"{root}/landed"), accepted)

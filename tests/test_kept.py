@@ -117,3 +117,27 @@ def test_paths_into_objects(spark):
     assert schema.malformed == 0 and "n: VARIANT" in schema.schema
     assert objects.object_schema(df, "raw").first().malformed == 2
     assert pytest.approx(1.5) == got.filter("id = 0").selectExpr("variant_get(v, '$.n', 'double')").first()[0]
+
+
+def test_no_task_lands_a_whole_week(spark, tmp_path, monkeypatch):
+    """Weeks were written by one task each; now they come in many files and are still a batch each."""
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    root = f"{tmp_path}/sf"
+    events.repartition(5).write.parquet(f"{root}/events.parquet")
+    landed, plain = [], ingest.dedup_faults
+
+    def dedup(spark, source, *args, **options):
+        landed.append(len([f for f in os.listdir(source) if f.endswith(".parquet")]))
+        return plain(spark, source, *args, **options)
+
+    monkeypatch.setattr(ingest, "dedup_faults", dedup)
+    with_cap = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = catalog.QUERIES["streamed_faults_dedup"](spark, root).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", with_cap)
+    assert len(landed) == 4 and landed[0] > 4
+    held = lambda r: int(r.fault_id[1:]) % 101 == 0 and r.fault_timestamp.day < 8
+    assert all(r.state == ("late" if held(r) else "accepted") for r in got)
+    assert sorted(r.fault_id for r in got) == sorted(f"F{r.event_id:09d}" for r in events.collect())
