@@ -23,6 +23,8 @@ from .vectors import _meet, _unit
 
 # rows that centroids are fitted on, and of these the ones whose neighbours are looked up
 SAMPLE, JUDGED = 1 << 16, 512
+# rows of the sample in a task that fits centroids
+FIT_ROWS = 1 << 12
 # most lists: their centroids go to every task
 MOST_LISTS = 4096
 # rows of a list that meet queries in one task
@@ -71,8 +73,12 @@ def write_index(
     try:
         judged = [r.vector for r in drawn.limit(min(sample, JUDGED * 8)).collect()]
         if judged and lists > 1:
-            size = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-            unit = drawn.select(array_to_vector(F.transform("vector", lambda x: F.when(size > 0, x / size).otherwise(x))).alias("features"))
+            size = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("size")
+            tasks = -(-min(sample, total) // FIT_ROWS)
+            # the first rows of all come in one partition; the length is a column, or every component would add it up
+            spread = drawn.repartition(tasks, "vec_id") if tasks > 1 else drawn
+            scaled = F.transform("vector", lambda x: F.when(F.col("size") > 0, x / F.col("size")).otherwise(x))
+            unit = spread.select("vector", size).select(array_to_vector(scaled).alias("features"))
             centroids = _unit(KMeans(k=lists, seed=7, maxIter=10).fit(unit).clusterCenters())
         else:
             centroids = _unit(judged[:1] or [[1.0]])
