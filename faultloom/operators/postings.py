@@ -8,7 +8,7 @@ patterns are tested on texts: on the few that hold all inner words in order.
 
 Two tables, written once:
 
-* `rows`: a row per token and place, by bucket of the token, sorted by token and part within it. A token
+* `rows`: a row per token and place, by bucket of the token, equal tokens together within a file. A token
   that stands in most texts is spread over as many files as its rows need. `part` goes up with the ids:
   a search for the first k ids of each pattern reads the first rows, then more for patterns that are
   still short, so a word of most texts costs its first places instead of all of them.
@@ -53,6 +53,15 @@ def _bucket(key: Column | str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def _laid(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by bucket, those of a key together.
+
+    They are not made twice to find ranges, and are sorted by numbers instead of texts. A bucket too large
+    for a task, such as that of a word of most texts, is split when its size is known."""
+    laid = rows.hint("rebalance", "bucket").withColumn("_at", F.xxhash64(key))
+    return laid.sortWithinPartitions("bucket", "_at").drop("_at")
+
+
 def in_parts(texts: DataFrame, ids: tuple[str, ...]) -> DataFrame:
     """The texts in order of their ids over all partitions, with a number that goes up with it as part."""
     return texts.repartitionByRange(*ids).sortWithinPartitions(*ids).withColumn("part", F.monotonically_increasing_id())
@@ -90,11 +99,10 @@ def write_postings(
     """Index the texts below root. ids must identify a text, part comes from in_parts; NULL texts have no rows."""
     spark = texts.sparkSession
     rows = posting_rows(texts, ids, text_col).withColumn("bucket", _bucket("token", buckets))
-    order = ("bucket", "token", "part")
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{root}/rows")
+    _laid(rows, "token").write.partitionBy("bucket").parquet(f"{root}/rows")
     counts = spark.read.schema(rows.schema).parquet(f"{root}/rows").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     words = _filed(counts).withColumn("bucket", _bucket("key", buckets))
-    words.repartition("bucket", F.pmod(F.xxhash64("token"), F.lit(8))).sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{root}/words")
+    _laid(words, "key").write.partitionBy("bucket").parquet(f"{root}/words")
     shares = F.percentile_approx("part", [1 / n for n in SHARES], 10_000)
     texts.agg(F.coalesce(shares, F.array().cast("array<long>")).alias("steps")).write.parquet(f"{root}/steps")
     return open_postings(spark, root, ids, buckets)

@@ -480,3 +480,40 @@ def test_nearest_of_a_block_sort_few_scores(monkeypatch):
         best = sorted((-s, v) for s, v in zip(near[i], ids) if v != i)[:4]
         assert [(-s, v) for s, v in zip(rows["similarity"], rows["vec_id"])] == best
     assert len(got) == 1200
+
+
+def test_postings_are_made_once_and_laid_by_token(spark, tmp_path, monkeypatch):
+    """Ranges of (bucket, token, part) were sampled from all rows, so that every row was made twice."""
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    texts = spark.createDataFrame([(i, f"a{i % 7} the b{i % 5} the c") for i in range(300)], "id long, body string")
+    laid = postings.in_parts(texts, ("id",))
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda *a: pytest.fail("ranges are sampled"))
+    made = postings.write_postings(laid, ("id",), "body", str(tmp_path / "i"))
+    assert made.rows.count() == 1500 and made.rows.filter("token = 'the'").count() == 600
+    for path in glob.glob(f"{tmp_path}/i/rows/bucket=*/*.parquet"):
+        runs = [t for t, _ in itertools.groupby(pq.ParquetFile(path).read(["token"])["token"].to_pylist())]
+        assert len(runs) == len(set(runs))
+    asked = spark.createDataFrame([("a3 the b",), ("b4",), ("none",)], "pattern string")
+    got = {(r.id, r.pattern) for r in postings.matching(made, laid, "body", asked, "pattern").collect()}
+    assert got == {(i, "a3 the b") for i in range(300) if i % 7 == 3} | {(i, "b4") for i in range(300) if i % 5 == 4}
+
+
+def test_centroids_are_fitted_by_several_tasks(spark, tmp_path, monkeypatch):
+    """The sample was scaled and fitted in one task, and its lengths added up for every component."""
+    import numpy as np
+    from faultloom.operators import vector_index
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 8)) * 9)]
+    df = spark.createDataFrame([*rows, (400, [0.0] * 8)], "vec_id long, embedding array<double>")
+    fitted, plain = [], vector_index.KMeans.fit
+    monkeypatch.setattr(vector_index, "FIT_ROWS", 100, raising=False)
+    monkeypatch.setattr(vector_index.KMeans, "fit", lambda self, data: fitted.append(data) or plain(self, data))
+    vector_index.write_index(df, str(tmp_path / "v"))
+    assert fitted[0].rdd.getNumPartitions() == 5
+    sizes = sorted(round(float(np.linalg.norm(r.features.toArray())), 9) for r in fitted[0].collect())
+    assert sizes == [0.0] + [1.0] * 400
