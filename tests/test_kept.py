@@ -141,3 +141,33 @@ def test_no_task_lands_a_whole_week(spark, tmp_path, monkeypatch):
     held = lambda r: int(r.fault_id[1:]) % 101 == 0 and r.fault_timestamp.day < 8
     assert all(r.state == ("late" if held(r) else "accepted") for r in got)
     assert sorted(r.fault_id for r in got) == sorted(f"F{r.event_id:09d}" for r in events.collect())
+
+
+def test_changed_texts_are_unfolded_many_at_once():
+    """Every document made a frame of its postings and kept them as state; now it hands on two texts."""
+    import pandas as pd
+    import pyarrow as pa
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    def arrive(state, *rows):
+        frame = pd.DataFrame(rows, columns=["updated_timestamp", "content"]).astype({"updated_timestamp": "datetime64[ns]"})
+        return [tuple(r) for f in index_refresh._changes(("D",), iter([frame]), state) for r in f[["before", "after"]].itertuples(index=False)]
+
+    state, day = State(), lambda n: dt.datetime(2024, 1, n)
+    assert arrive(state, (None, "no time")) == [] and not state.exists
+    assert arrive(state, (day(2), "a b"), (day(1), "z"), (day(2), "a a b")) == [(None, "a b")]
+    assert state.get[1] == "a b"
+    assert arrive(state, (day(1), "late")) == [] and arrive(state, (day(3), "a b")) == []
+    assert arrive(state, (day(4), "b b"), (day(4), None)) == [("a b", None)] and state.get[1] is None
+    batch = pa.RecordBatch.from_pydict({
+        "document_id": ["D", "E", "F"], "version": [day(1), day(2), day(3)], "before": [None, "a b", "x"], "after": ["a b a", "a c", None],
+    })
+    (made,) = index_refresh._unfolded(iter([batch]))
+    assert [tuple(r.values()) for r in made.to_pylist()] == [
+        ("D", day(1), "A", [0, 2], 1), ("D", day(1), "B", [1], 1), ("E", day(2), "B", [1], -1), ("E", day(2), "C", [1], 1), ("F", day(3), "X", [0], -1),
+    ]
