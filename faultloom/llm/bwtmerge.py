@@ -26,22 +26,31 @@ def transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded = np.concatenate([symbols, np.zeros(_PACKED, dtype=symbols.dtype)]).astype(np.int64)
     for j in range(_PACKED):
         key = (key << 9) | np.where(left >= j, padded[j : j + n], 0)
-    step = _PACKED
-    longest = int(left.max()) + 1
+    step, longest = _PACKED, int(left.max()) + 1
+    # a rank is one more than the row where the suffixes that are equal so far begin; only these are sorted
+    # further, by as many ranks as fit in a key, and 0 for what is behind the end of the piece
+    bits = n.bit_length()
+    order = np.argsort(key)
+    rows, key, place = at, key[order], order
+    rank = np.zeros(n + 1, dtype=np.int64)
     while True:
-        # only what is still equal at the end has to keep the order of the pieces
-        order = np.argsort(key, kind="stable" if step >= longest else "quicksort")
-        new = np.empty(n, dtype=bool)
-        new[0] = True
-        np.not_equal(key[order[1:]], key[order[:-1]], out=new[1:])
-        if step >= longest or new.all():
+        opens = np.ones(len(rows) + 1, dtype=bool)
+        np.not_equal(key[1:], key[:-1], out=opens[1:-1])
+        heads = np.flatnonzero(opens)
+        rank[place] = np.repeat(rows[heads[:-1]] + 1, np.diff(heads))
+        equal = ~(opens[:-1] & opens[1:])
+        rows, place = rows[equal], place[equal]
+        if step >= longest or not len(rows):
             break
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(new)
-        inside = left >= step
-        key = rank << 32
-        key[inside] |= rank[at[inside] + step]
-        step *= 2
+        key, behind = rank[place], left[place]
+        for j in range(1, 63 // bits):
+            key = (key << bits) | rank[np.where(behind >= j * step, place + j * step, n)]
+        by = np.argsort(key)
+        place, key = place[by], key[by]
+        order[rows] = place
+        step *= 63 // bits
+    # what is equal to the end of its piece is in order of the pieces
+    order[rows] = place[np.lexsort((place, rank[place]))]
     before = np.zeros(n, dtype=symbols.dtype)
     before[1:] = symbols[:-1]
     return order, before[order]
@@ -71,15 +80,16 @@ def repeated(data: np.ndarray, bounds: np.ndarray, length: int, shards: int = SH
         last_to_first.append(row_of[order - 1] + base)
         base += len(order)
     text_at, symbol_before, last_to_first = map(np.concatenate, (text_at, symbol_before, last_to_first))
+    last_to_first = last_to_first.astype(np.int32)
 
     # a repeated string ends at least its length behind the start of its piece
     piece = np.searchsorted(starts, text_at, side="right") - 1
-    rows = np.flatnonzero(text_at - starts[piece] >= length)
-    interval = np.zeros(len(rows), dtype=np.int64)
+    rows = np.flatnonzero(text_at - starts[piece] >= length).astype(np.int32)
+    interval = np.zeros(len(rows), dtype=np.int32)
+    # no step goes beyond the start of a piece, so the symbols before are bytes
+    before = (symbol_before - 1).astype(np.uint8)
     for _ in range(length):
-        symbol = symbol_before[rows]
-        inner = symbol > 0
-        rows, interval, symbol = rows[inner], interval[inner], symbol[inner]
+        symbol = before[rows]
         order = np.argsort(symbol, kind="stable")
         rows, interval, symbol = last_to_first[rows[order]], interval[order], symbol[order]
         first = np.ones(len(rows) + 1, dtype=bool)
@@ -87,7 +97,7 @@ def repeated(data: np.ndarray, bounds: np.ndarray, length: int, shards: int = SH
             first[1:-1] = (interval[1:] != interval[:-1]) | (symbol[1:] != symbol[:-1])
         shared = ~(first[:-1] & first[1:])  # not alone in its interval
         rows = rows[shared]
-        interval = np.cumsum(first[:-1])[shared]
+        interval = np.cumsum(first[:-1], dtype=np.int32)[shared]
         if not len(rows):
             break
     found = text_at[rows]

@@ -22,6 +22,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def keep_memory() -> None:
+    """Let this process keep the memory of freed arrays for the next ones.
+
+    The C library hands every array over a threshold back to the system, and its pages are made anew for the
+    next one, which takes longer than the arithmetic on them; the threshold grows to the largest array freed.
+    """
+    np.empty(1 << 24, dtype=np.uint8)
+
+
 def byte_table(accepted) -> np.ndarray:
     """Which byte values belong to words."""
     table = np.zeros(256, dtype=bool)
@@ -60,6 +69,22 @@ def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: i
     return mix(out ^ ((end - start).astype(np.uint64) * np.uint64(_Q)))
 
 
+def window_hashes(values: np.ndarray, length: int, base: int = _P) -> np.ndarray:
+    """range_hashes of all runs of so many neighbouring values."""
+    n = len(values)
+    if n < length:
+        return np.zeros(0, dtype=np.uint64)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    powered = values.astype(np.uint64)
+    powered += np.uint64(1)
+    powered *= _power(base, n + 1)[:n]
+    np.cumsum(powered, out=total[1:])
+    out = total[length:] - total[:-length]
+    out *= _power(pow(base, -1, 1 << 64), n + 1)[: n - length + 1]
+    out ^= np.uint64(length * _Q & _ALL)
+    return mix(out)
+
+
 def sequence_hashes(word_hash: np.ndarray, length: int) -> np.ndarray:
     """Hash of every run of so many neighbouring words, texts not regarded."""
     start = np.arange(max(0, len(word_hash) - length + 1))

@@ -4,7 +4,9 @@ Every LENGTH-byte window of every text belongs to one anchor, its smallest ANCHO
 hash (leftmost of equals). Equal windows have equal anchors, so windows that share an anchor, as one
 segment of text, meet by the anchor's hash, and no others have to:
 
-1. Anchors that occur once are set aside, by a bit table of fixed size built from those that don't.
+1. Anchors that occur once are set aside, by a bit table of fixed size built from those that don't. It is
+   built before the frequent strings (below) are known: these move a window's anchor only if one of
+   them is in the window, and so in every window equal to it, so that segments with one are kept too.
 2. Segments that are wholly equal count once: every window of a later copy starts earlier in the
    first one (combined before the shuffle).
 3. Different segments of an anchor go to one task, where shard Burrows-Wheeler transforms are merged
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwtmerge import repeated
-from .bytewords import Block, blocks, buffers, mix, range_hashes
+from .bytewords import Block, blocks, buffers, keep_memory, range_hashes, window_hashes
 from .steps import by_id, fresh, keyed, settle, small_batches
 
 LENGTH = 100
@@ -43,6 +45,8 @@ MERGE_BYTES = 1 << 17
 #: an anchor is frequent if over one in SHARE of all bytes under shared anchors are its segments'; a share, so
 #: that inputs of every size have as many, but never below FREQUENT segments
 SHARE, FREQUENT = 1 << 18, 64
+#: bytes of texts taken together: about ten arrays of 8 bytes a byte are in use at once and stay in a core's cache
+BLOCK = 1 << 16
 #: distinct strings a task counts before it hands them on
 COUNTED = 1 << 20
 #: the bit table has 2 ** BUCKET_BITS rows of 2 ** 15 bits, 16 MB
@@ -53,37 +57,39 @@ _OTHER_BASE = 0x27D4EB2F165667C5
 
 def anchor_hashes(block: Block) -> np.ndarray:
     """Hash of the ANCHOR bytes from every byte on that has so many after it in the block."""
-    start = np.arange(max(0, len(block.data) - ANCHOR + 1))
-    return range_hashes(block.data, start, start + ANCHOR)
+    return window_hashes(block.data, ANCHOR)
 
 
 class HashSet:
-    """A set of hashes, with a bit table that refuses most others before the search."""
+    """A set of hashes, with a table of 64 entries a member that refuses most others before the search."""
 
-    BITS = 22
+    MAX_BITS = 22
 
     def __init__(self, hashes: np.ndarray):
         self.sorted = np.sort(hashes)
-        self.bits = np.zeros(1 << self.BITS, dtype=bool)
-        self.bits[self.sorted >> np.uint64(64 - self.BITS)] = True
+        bits = min(self.MAX_BITS, max(1, len(hashes)).bit_length() + 6)
+        self.shift = np.uint64(64 - bits)
+        self.bits = np.zeros(1 << bits, dtype=bool)
+        self.bits[self.sorted >> self.shift] = True
 
     def places(self, h: np.ndarray) -> np.ndarray:
         """Where in h the members of the set are."""
-        maybe = np.flatnonzero(self.bits[h >> np.uint64(64 - self.BITS)])
+        maybe = np.flatnonzero(self.bits[h >> self.shift])
         at = np.searchsorted(self.sorted, h[maybe])
         at[at == len(self.sorted)] = 0
         return maybe[self.sorted[at] == h[maybe]] if len(self.sorted) else maybe[:0]
 
 
 def segments(block: Block, demoted: HashSet | None, contents: bool = True) -> tuple[np.ndarray, ...]:
-    """text, first window (byte in the text), number of windows, anchor hash and content hash, if wanted."""
+    """text, first window (byte in the text), number of windows, anchor hash, content hash, if wanted, and whether
+    demoted strings may have given windows another anchor: their own is none and one is in the segment."""
     hashes = anchor_hashes(block)
     n = len(block.data) - LENGTH + 1
     if n <= 0:
-        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
     order = (hashes >> np.uint64(1)) & np.uint64(0xFFFFFFFF00000000 >> 1)
-    if demoted is not None:
-        order[demoted.places(hashes)] |= np.uint64(1 << 63)
+    low = demoted.places(hashes) if demoted is not None else np.zeros(0, dtype=np.int64)
+    order[low] |= np.uint64(1 << 63)
     order |= np.arange(len(order), dtype=np.uint64)
     least, width, need = order, 1, LENGTH - ANCHOR + 1
     while width * 2 <= need:
@@ -101,7 +107,9 @@ def segments(block: Block, demoted: HashSet | None, contents: bool = True) -> tu
     good = inside[first]
     first, count = first[good], count[good]
     content = range_hashes(block.data, first, first + count + LENGTH - 1, _OTHER_BASE) if contents else first[:0]
-    return text[first], first - block.bounds[text[first]], count, hashes[place[first]], content
+    moved = np.searchsorted(low, first + count + LENGTH - ANCHOR) > np.searchsorted(low, first)
+    moved &= least[first] < np.uint64(1 << 63)
+    return text[first], first - block.bounds[text[first]], count, hashes[place[first]], content, moved
 
 
 class BitTable:
@@ -129,23 +137,22 @@ def _rows(columns: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
-def _anchor_rows(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch.column(1), lower=False):
-                yield _rows([segments(block, shared.value, False)[3].view(np.int64)], ["h"])
-
-    return run
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep_memory()
+    for batch in batches:
+        for block in blocks(batch.column(1), lower=False, limit=BLOCK):
+            yield _rows([segments(block, None, False)[3].view(np.int64)], ["h"])
 
 
 def _segment_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         demoted, table = shared.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for block in blocks(batch.column(1), lower=False):
-                text, first, count, h, content = segments(block, demoted)
-                keep = table.may_hold(h)
+            for block in blocks(batch.column(1), lower=False, limit=BLOCK):
+                text, first, count, h, content, moved = segments(block, demoted)
+                keep = table.may_hold(h) | moved
                 yield _rows(
                     [
                         h[keep].view(np.int64), content[keep].view(np.int64), ids[block.first + text[keep]].astype(np.int64),
@@ -165,13 +172,16 @@ def _frequent_strings(shared):
         return [(values, np.bincount(owner, np.concatenate([k for _, k in held]), len(values)).astype(np.int64))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         held, size = [], 0
         for batch in batches:
-            for block in blocks(batch.column(1), lower=False):
-                text, first, count, h, _ = segments(block, None, False)
+            for block in blocks(batch.column(1), lower=False, limit=BLOCK):
+                text, first, count, h, _, _ = segments(block, None, False)
                 at = np.searchsorted(shared.value, h)
                 at[at == len(shared.value)] = 0
                 hit = shared.value[at] == h
+                if not hit.any():
+                    continue
                 start = block.bounds[text[hit]] + first[hit]
                 covered = np.zeros(len(block.data) + 1, dtype=np.int64)
                 np.add.at(covered, start, 1)
@@ -195,6 +205,7 @@ def _frequent_strings(shared):
 
 def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted segments of each text."""
+    keep_memory()
     for batch in batches:
         data, bounds = buffers(batch.column(1))
         lists = batch.column(2)
@@ -234,6 +245,7 @@ def _merge_group(h: np.ndarray, doc: np.ndarray, first: np.ndarray, data: np.nda
 
 def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches come in order of the anchor hash; whole anchors are gathered up to MERGE_BYTES."""
+    keep_memory()
     held: list[pa.RecordBatch] = []
     size = 0
 
@@ -272,6 +284,7 @@ def _cutter(whole_characters: bool):
     """Texts without their spans; whole_characters drops what is left of a character cut in two."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         for batch in batches:
             data, bounds = buffers(batch.column(1))
             spans = batch.column(2).to_pylist()
@@ -315,11 +328,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(spark)
     source = keyed(docs, id_col, text_col).where(F.col("_id").isNotNull() & (F.octet_length("_text") >= LENGTH))
 
-    def shared_anchors(demoted):
-        found = source.mapInArrow(_anchor_rows(send(demoted)), "h long").groupBy("h").agg(F.count("*").alias("k"))
-        return settle(found.where("k > 1"), "anchors")
-
-    anchors = shared_anchors(None)
+    found = source.mapInArrow(_anchor_rows, "h long").groupBy("h").agg(F.count("*").alias("k"))
+    anchors = settle(found.where("k > 1"), "anchors")
     limit = max(FREQUENT, ((anchors.agg(F.sum("k")).first()[0] or 0) * (LENGTH + ANCHOR)) // SHARE)
     frequent = [r["h"] for r in anchors.where(F.col("k") > limit).select("h").collect()]
     demoted = None
@@ -328,7 +338,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         strings = source.mapInArrow(_frequent_strings(send(wanted)), "h long, k long").groupBy("h").agg(F.sum("k").alias("k"))
         found = strings.where(F.col("k") > limit).select("h").collect()
         demoted = HashSet(np.array([r["h"] for r in found], dtype=np.int64).view(np.uint64))
-        anchors = shared_anchors(demoted)
 
     table = send((demoted, _bit_table(anchors)))
     found = settle(source.mapInArrow(_segment_rows(table), "h long, content long, doc long, first int, n int"), "segments")

@@ -2,8 +2,12 @@
 
 import hashlib
 import itertools
+import pathlib
+import platform
 import random
 import re
+import subprocess
+import sys
 from collections import defaultdict
 
 import numpy as np
@@ -320,6 +324,70 @@ def test_repeat_gaps(spark):
     assert got == [(-1, 0), (1, 0), (1, 0), (2, 300)]
 
 
+def test_transform_is_the_order_of_suffixes():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        pieces = [bytes(rng.integers(1, 1 + rng.integers(1, 4), rng.integers(0, 90), dtype=np.uint8)) for _ in range(rng.integers(1, 9))]
+        text = b"".join(p + b"\0" for p in pieces + pieces[:2])
+        order, before = bwtmerge.transform(np.frombuffer(text, dtype=np.uint8).astype(np.uint16))
+        want = sorted(range(len(text)), key=lambda i: (text[i : text.index(b"\0", i) + 1], i))
+        assert order.tolist() == want
+        assert before.tolist() == [text[i - 1] if i else 0 for i in want]
+
+
+def test_windows_that_demotion_moves_are_marked():
+    rng = random.Random(3)
+    passage, some = ("".join(rng.choices("abcdefgh ", k=n)) for n in (180, 400))
+    raw = "".join("".join(rng.choices("abcdefgh ", k=rng.randrange(90))) + rng.choice([passage, some, some[150:]]) for _ in range(60)).encode()
+    block = bytewords.Block(0, np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw) // 3, len(raw)]))
+    hashes = repeats.anchor_hashes(block)
+    at = raw.index(passage.encode())
+    demoted = repeats.HashSet(np.unique(hashes[at : at + 180 - repeats.ANCHOR + 1]))
+    plain = repeats.segments(block, None)
+    found, k = np.unique(plain[3], return_counts=True)
+    assert not plain[5].any()
+    text, first, count, h, _, moved = repeats.segments(block, demoted)
+    kept = np.isin(h, found[k > 1]) | moved
+    assert moved.any() and not kept.all()
+    places = {}
+    for t, f, n, keep in zip(text, first, count, kept):
+        for i in range(block.bounds[t] + f, block.bounds[t] + f + n):
+            places.setdefault(raw[i : i + repeats.LENGTH], []).append(keep)
+    assert all(all(v) for v in places.values() if len(v) > 1)
+
+
+def test_anchors_are_counted_once_for_frequent_passages(spark, monkeypatch):
+    """Texts are read for anchors, frequent strings and segments; to count the anchors again was a fourth pass."""
+    monkeypatch.setattr(repeats, "FREQUENT", 3)
+    settled, settle = [], repeats.settle
+    monkeypatch.setattr(repeats, "settle", lambda df, name: settled.append(name) or settle(df, name))
+    looked, strings = [], repeats._frequent_strings
+    monkeypatch.setattr(repeats, "_frequent_strings", lambda shared: looked.append(len(shared.value)) or strings(shared))
+    rng = random.Random(4)
+    words = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = words(250)
+    texts = [(i, words(rng.randrange(200)) + passage + words(rng.randrange(200))) for i in range(40)]
+    got = {r._id: r.n_removed for r in repeats.measure(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {i: sum(mask) for i, (_, mask) in brute_repeats(texts).items()}
+    assert looked and settled.count("anchors") == 1
+
+
+def test_workers_keep_the_memory_of_freed_arrays():
+    """Most of the time of a pass over the texts went into new pages for the arrays of every block."""
+    if platform.libc_ver()[0] != "glibc":
+        pytest.skip("another allocator")
+    code = (
+        "import resource, numpy as np, pyarrow as pa\nfrom faultloom.llm import repeats\n"
+        "text = bytes(np.random.default_rng(0).integers(97, 123, 1 << 16, dtype=np.uint8)).decode()\n"
+        "found = repeats._anchor_rows(pa.RecordBatch.from_arrays([pa.array([i]), pa.array([text])], ['i', 't']) for i in range(60))\n"
+        "faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt\n"
+        "for _ in range(20): next(found)\n"
+        "before = faults()\nn = sum(1 for _ in found)\nprint((faults() - before) // n)\n"
+    )
+    root = pathlib.Path(repeats.__file__).parents[2]
+    assert int(subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout) < 100
+
+
 # --- licences ---------------------------------------------------------------------------------------
 
 def test_licences(spark, none):
