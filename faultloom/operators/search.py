@@ -197,15 +197,14 @@ def _best_hits(
     labels = F.array(named("section", "section_name"), named("title", "document_title"))
     labelled = chunks.select(*ids, F.inline(labels)).filter(F.col("body").isNotNull())
     firsts = settle(first_per(labelled, ["kind", "body"], order, k), "labels")
-    options = dict(like=not literal, per=("kind",), first=k if order == ids else None)
+    options = dict(like=not literal, first=k if order == ids else None)
+    full = asked.filter("role = 'full'")
+    hits = containing(firsts, [*ids, "kind"], "body", full, "pattern", per=("kind",), **options)
     if isinstance(index, SearchIndex):
-        full = asked.filter("role = 'full'")
-        hits = containing(firsts, [*ids, "kind"], "body", full, "pattern", **options)
-        found = matching(index.postings, _bodies(chunks), "body", asked, "pattern", not literal, options["first"])
-        hits = hits.unionByName(found.withColumn("kind", F.lit("text")))
+        found = matching(index.postings, _bodies(chunks), "body", asked, "pattern", **options)
     else:
-        bodies = chunks.select(*ids, F.lit("text").alias("kind"), upper("chunk_text").alias("body"))
-        hits = containing(bodies.unionByName(firsts), [*ids, "kind"], "body", asked, "pattern", **options)
+        found = containing(chunks.select(*ids, upper("chunk_text").alias("body")), ids, "body", asked, "pattern", **options)
+    hits = hits.unionByName(found.withColumn("kind", F.lit("text")))
     if order != ids:
         hits = first_per(hits, ["pattern", "kind"], order, k)
     role, kind = F.col("role"), F.col("kind")

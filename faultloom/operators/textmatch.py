@@ -5,10 +5,16 @@ a word with a blank on either side only as a whole token. So texts meet patterns
 join on tokens: directly for patterns of three words or more, else through the vocabulary of
 distinct tokens. Patterns with blanks or wildcards are then tested on the text itself, in the same
 pass. Patterns of blanks and wildcards only have no token; they are tested on every text.
+
+A search for the first ids tests all patterns on the lowest ids before it looks anything up: words of
+most texts are done then, and only the tokens of the others are looked up. Texts never move: lookup
+tables are dealt to pieces that every task can hold, and texts are read once per piece.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +26,13 @@ GRAM_SIZES = (1, 2, 3, 5)
 SELECTIVE = 6
 # groups that texts are dealt to for patterns that offer nothing to look up
 SALTS = 512
+# texts of the lowest ids that every pattern is tested on, the tasks that do it, and patterns they meet at once
+FIRST_TEXTS = 1 << 13
+FIRST_TASKS = 32
+PATTERNS_AT_ONCE = 256
+# characters of a lookup table that a task holds at once, with ROW for each row
+HELD = 1 << 24
+ROW = 64
 
 
 def like_test(body: Column, pattern: Column) -> Column:
@@ -42,10 +55,17 @@ def _with_anchor(patterns: DataFrame, like: bool) -> DataFrame:
             be a token of the text as it stands.
     part:   else the longest run without blanks (and wildcards), which some token must contain;
             '' if there is none.
+    side:   where that token has the part: $ at its end, ^ at its start, = it is the part, ~ anywhere.
     """
     pattern, words = F.col("pattern"), F.col("_words")
     plain = lambda w: (F.length(w) >= SELECTIVE) & (~w.rlike("[%_]") if like else F.lit(True))
     inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), plain)
+    part, loose = F.col("part"), F.size(words) == 1
+    loose = loose | pattern.rlike("[%_]") if like else loose
+    side = (
+        F.when(loose, "~").when(F.get(words, F.lit(0)) == part, "$")
+        .when(F.element_at(words, -1) == part, "^").otherwise("=")
+    )
     return (
         patterns.withColumn("_words", F.split(pattern, " "))
         .withColumn("whole", _longest(inner))
@@ -55,7 +75,7 @@ def _with_anchor(patterns: DataFrame, like: bool) -> DataFrame:
         .select(
             "pattern", "whole", "part",
             (F.col("whole").isNotNull() | (F.col("part") != pattern)).alias("open"),
-            F.when(F.col("part") != "", _gram_size(F.length("part"))).alias("gram_size"),
+            F.when(F.col("part") != "", _gram_size(F.length("part"))).alias("gram_size"), side.alias("side"),
         )
     )
 
@@ -102,14 +122,62 @@ def containing(
     known = settle(_with_anchor(distinct.filter(F.col("pattern").isNotNull()), like), "patterns")
     present = texts.select(*id_cols, text_col).filter(F.col(text_col).isNotNull())
     cut = lambda df, keys: df if first is None else first_per(df, keys, id_cols, first)
-    found = _by_token(present, id_cols, text_col, known, like)
-    found = found.unionByName(_by_test(present, id_cols, text_col, known, like))
-    found = cut(found, ["pattern", *per]).distinct()
+    keys = ["pattern", *per]
+    found, left, rest = [], known.filter(~_matches_all(like)), present
+    if first is not None and not per:
+        end = _last_of_first(present, id_cols, FIRST_TEXTS)
+        low = present if end is None else present.filter(F.struct(*id_cols) <= end)
+        found = [settle(cut(_tested(low, id_cols, text_col, left, like), keys).distinct(), "first")]
+        if end is None:
+            left = rest = None
+        else:
+            done = found[0].groupBy("pattern").count().filter(F.col("count") >= first)
+            left = settle(left.join(done, "pattern", "left_anti"), "left")
+            rest = present.filter(F.struct(*id_cols) > end)
+    if rest is not None:
+        met = [*_by_token(rest, id_cols, text_col, left, like), _by_test(rest, id_cols, text_col, left, like)]
+        # what a piece finds is cut and written before the next piece is read
+        found += [cut(df, keys) for df in met] if len(met) < 3 else [settle(cut(df, keys), "met") for df in met]
+    hits = cut(reduce(DataFrame.unionByName, found), keys).distinct()
     # a pattern of nothing, or of % only, matches every text: the texts are cut before they meet it
     all_ = known.filter(_matches_all(like)).select("pattern", F.lit(0).alias("_one"))
     every = cut(present.select(*id_cols), list(per)).distinct().withColumn("_one", F.lit(0))
-    found = found.unionByName(every.join(all_, "_one").select(*id_cols, "pattern"))
-    return found.withColumnRenamed("pattern", pattern_col)
+    hits = hits.unionByName(every.join(all_, "_one").select(*id_cols, "pattern"))
+    return hits.withColumnRenamed("pattern", pattern_col)
+
+
+def _last_of_first(texts: DataFrame, id_cols: list[str], n: int) -> Column | None:
+    """The last of the n lowest ids; None if there are no more than these."""
+    low = texts.select(*id_cols).orderBy(*id_cols).limit(n + 1)
+    rows, last = low.agg(F.count(F.lit(1)), F.max(F.struct(*id_cols))).first()
+    if rows <= n:
+        return None
+    return F.struct(*[F.lit(last[f.name]).cast(f.dataType).alias(f.name) for f in low.schema.fields])
+
+
+def _tested(texts: DataFrame, id_cols: list[str], text_col: str, known: DataFrame, like: bool) -> DataFrame:
+    """Matches by testing every pattern on every text; for few texts. They are dealt anew, since the
+    lowest ids often come in one file."""
+    dealt = settle(texts.repartition(FIRST_TASKS, *id_cols), "low")
+    groups = max(1, -(-known.count() // PATTERNS_AT_ONCE))
+    asked = known.select("pattern", F.pmod(F.xxhash64("pattern"), F.lit(groups)).cast("int").alias("_group"))
+    each = dealt.select(*id_cols, text_col, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"))
+    met = [each.join(piece, "_group").filter(_test(text_col, like)) for piece in held(asked, "asked")]
+    return reduce(DataFrame.unionByName, met).select(*id_cols, "pattern")
+
+
+def held(df: DataFrame, name: str) -> list[DataFrame]:
+    """df in pieces that every task can hold, so that what they are joined to stays where it is.
+
+    A piece has HELD characters by their mean, whatever the table's size; rows must be distinct."""
+    kept = settle(df, name)
+    texts = [F.coalesce(F.length(f.name), F.lit(0)) for f in kept.schema.fields if f.dataType.typeName() == "string"]
+    size = kept.agg(F.sum(reduce(lambda a, b: a + b, texts, F.lit(ROW)))).first()[0] or 0
+    pieces = max(1, -(-size // HELD))
+    if pieces == 1:
+        return [F.broadcast(kept)]
+    at = F.pmod(F.xxhash64(*kept.columns), F.lit(pieces))
+    return [F.broadcast(kept.filter(at == i)) for i in range(pieces)]
 
 
 def _matches_all(like: bool) -> Column:
@@ -122,22 +190,31 @@ def _test(text_col: str, like: bool) -> Column:
     return like_test(body, pattern) if like else body.contains(pattern)
 
 
-def _by_token(texts: DataFrame, id_cols: list[str], text_col: str, known: DataFrame, like: bool) -> DataFrame:
-    """Matches of the patterns that have something to look up.
+def _by_token(texts: DataFrame, id_cols: list[str], text_col: str, known: DataFrame, like: bool) -> list[DataFrame]:
+    """Matches of the patterns that have something to look up, for each piece of the lookup table.
 
-    Texts are read once for the vocabulary and once for the lookup. The lookup table is settled, so
-    Spark broadcasts it exactly when it measured small and joins by shuffle otherwise.
+    Texts are read once for the vocabulary and once per piece.
     """
     tokens = F.array_distinct(F.split(F.col(text_col), " "))
     entry = lambda df, token: df.select(token.alias("token"), "pattern", "open")
     whole = entry(known.filter(F.col("whole").isNotNull()), F.col("whole"))
-    vocabulary = texts.select(F.explode(tokens).alias("token")).distinct()
-    filed = vocabulary.select("token", F.explode(_grams(F.col("token"), list(GRAM_SIZES))).alias("gram"))
-    parts = known.filter(F.col("gram_size").isNotNull()).withColumn("gram", _key_gram())
-    held = filed.join(parts, "gram").filter(F.contains("token", "part"))
-    hits = settle(whole.unionByName(entry(held, F.col("token"))), "lookup")
-    met = texts.select(*id_cols, text_col, F.explode(tokens).alias("token")).join(hits, "token")
-    return met.filter(~F.col("open") | _test(text_col, like)).select(*id_cols, "pattern")
+    sizes = sorted(r[0] for r in known.select("gram_size").filter("gram_size is not null").distinct().collect())
+    hits = whole
+    if sizes:
+        parts = held(known.filter(F.col("gram_size").isNotNull()).withColumn("gram", _key_gram()), "parts")
+        vocabulary = texts.select(F.explode(tokens).alias("token")).distinct()
+        vocabulary = vocabulary if len(parts) == 1 else settle(vocabulary, "vocabulary")
+        filed = vocabulary.select("token", F.explode(_grams(F.col("token"), sizes)).alias("gram"))
+        token, part, side = F.col("token"), F.col("part"), F.col("side")
+        fits = (
+            F.when(side == "$", F.endswith(token, part)).when(side == "^", F.startswith(token, part))
+            .when(side == "=", token == part).otherwise(F.contains(token, part))
+        )
+        for piece in parts:
+            hits = hits.unionByName(entry(filed.join(piece, "gram").filter(fits), token))
+    each = texts.select(*id_cols, text_col, F.explode(tokens).alias("token"))
+    test = ~F.col("open") | _test(text_col, like)
+    return [each.join(piece, "token").filter(test).select(*id_cols, "pattern") for piece in held(hits, "lookup")]
 
 
 def _by_test(texts: DataFrame, id_cols: list[str], text_col: str, known: DataFrame, like: bool) -> DataFrame:

@@ -248,6 +248,27 @@ def test_stored_index_finds_the_same(spark, wild, tmp_path):
     assert sorted((r.id, r.pattern) for r in short) == sorted((i, p) for p, ids in lowest.items() for i in ids)
 
 
+@pytest.mark.parametrize("wild", [False, True])
+def test_patterns_in_texts_by_pieces(spark, wild, monkeypatch):
+    """Lookup tables of many pieces, and patterns that the lowest ids do not settle, give the same rows."""
+    from faultloom.operators import textmatch
+
+    monkeypatch.setattr(textmatch, "FIRST_TEXTS", 20, raising=False)
+    monkeypatch.setattr(textmatch, "PATTERNS_AT_ONCE", 7, raising=False)
+    monkeypatch.setattr(textmatch, "HELD", 2000, raising=False)
+    bodies = [(i // 3, str(i % 3), b) for i, b in enumerate(phrases(200, 1, 12))] + [(None, "a", "the cable cut"), (1, None, "a_c fault"), (900, "a", None), (901, "a", "")]
+    texts = spark.createDataFrame(bodies + bodies[:30], "id int, at string, body string")
+    asked = [*PATTERNS, "the ", " the", "cut a the", "x cable", "le c", "fault the"]
+    patterns = spark.createDataFrame([(p,) for p in asked] + [(None,)], "pattern string")
+    want = {(i, a, p) for i, a, b in bodies if b is not None for p in asked if (like(b, p) if wild else p in b)}
+    shown = lambda rows: sorted(((r.id, r["at"], r.pattern) for r in rows), key=repr)
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")
+    for first in (1, 3, None):
+        found = containing(texts, ["id", "at"], "body", patterns, "pattern", like=wild, first=first).collect()
+        lowest = {x for p in asked for x in sorted((x for x in want if x[2] == p), key=order)[:first]}
+        assert shown(found) == sorted(lowest, key=repr), first
+
+
 @pytest.mark.parametrize("copies", [20, 20_000])
 def test_rare_kind_is_found_at_any_size(spark, copies):
     texts = spark.range(copies).selectExpr("cast(id as int) as id", "'text' as kind", "'HOLDS BETA' as body")
