@@ -17,7 +17,7 @@ from ..functions import fixed, rules, text
 from ..sources.tables import settle
 from .chunks import chunk_table
 from .postings import Postings, in_parts, matching, open_postings, write_postings
-from .textmatch import containing, first_per, like_test
+from .textmatch import containing, first_per, held, like_test
 from .vectors import blended_topk
 
 INDEX_COLUMNS = (
@@ -238,9 +238,10 @@ def search_many(
     winners = settle(
         best.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k), "winners"
     )
-    return _chunks(index).select(*RESULT_COLUMNS).join(winners, ids).select(
-        "query_text", "rank", *RESULT_COLUMNS, "relevance_score"
-    )
+    # the winning chunks are picked where they lie: a join by shuffle would move the text of all chunks
+    picked = [_chunks(index).select(*RESULT_COLUMNS).join(p, ids, "left_semi") for p in held(winners.select(*ids).distinct(), "picked")]
+    texts = settle(reduce(DataFrame.unionByName, picked), "texts")
+    return texts.join(winners, ids).select("query_text", "rank", *RESULT_COLUMNS, "relevance_score")
 
 
 def search_documents(

@@ -269,6 +269,41 @@ def test_patterns_in_texts_by_pieces(spark, wild, monkeypatch):
         assert shown(found) == sorted(lowest, key=repr), first
 
 
+def test_batch_search_moves_no_chunk_text(spark, monkeypatch):
+    """Texts were shuffled once per token where the lookup table was not small, and again for the winners."""
+    from faultloom.operators import textmatch
+    from faultloom.sources import tables
+
+    monkeypatch.setattr(textmatch, "FIRST_TEXTS", 50, raising=False)
+    rows = [(f"D{i:05d}", 1, f"{t} {'filler' * 9}{i}", f"D{i:05d}-C001") for i, t in enumerate(phrases(2000, 8, 12))]
+    index = tables.settle(spark.createDataFrame(rows, "document_id string, chunk_sequence int, chunk_text string, chunk_id string").withColumns(
+        {c: F.lit("General") for c in ("document_title", "category", "chunk_type", "section_name")}
+    ).withColumn("page_number", F.lit(None).cast("int")), "index")
+    queries = spark.createDataFrame([("the fault",), ("cut faulty cable ab",), ("a",), ("filler1999",), ("x_y 10% in",)], "query_text string")
+    plans, plain = [], tables.settle
+
+    def settle(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, *args, **kwargs)
+
+    for module in (textmatch, se):
+        monkeypatch.setattr(module, "settle", settle)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = se.search_many(index, queries, 3)
+        plans.append(many._jdf.queryExecution().executedPlan().toString())
+        got = [tuple(r) for r in many.select("query_text", "rank", "chunk_id").orderBy("query_text", "rank").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    want = [(q, i, r.chunk_id) for q in sorted(r[0] for r in queries.collect()) for i, r in enumerate(se.search_chunks(index, q, k=3).collect(), 1)]
+    assert got == want
+    # tokens are dealt for the vocabulary only, which holds no text, and chunks meet the winners where they lie
+    dealt = [line for p in plans for line in p.split("\n") if "SortMergeJoin [token" in line or "SortMergeJoin [gram" in line]
+    assert not dealt
+    assert not [p for p in plans if "SortMergeJoin [document_id" in p and "/index-" in p]
+
+
 @pytest.mark.parametrize("copies", [20, 20_000])
 def test_rare_kind_is_found_at_any_size(spark, copies):
     texts = spark.range(copies).selectExpr("cast(id as int) as id", "'text' as kind", "'HOLDS BETA' as body")
