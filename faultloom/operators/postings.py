@@ -8,12 +8,14 @@ patterns are tested on texts: on the few that hold all inner words in order.
 
 Two tables, written once:
 
-* `rows`: a row per token and place, by bucket of the token, equal tokens together within a file. A token
-  that stands in most texts is spread over as many files as its rows need. `part` goes up with the ids:
+* `rows`: a row per token and place, by bucket of the token, equal tokens together within a file. Every task
+  lays what its own texts hold, so no posting is shuffled and a token that stands in most texts is in as many
+  files as there are tasks. `part` goes up with the ids:
   a search for the first k ids of each pattern reads the first rows, then more for patterns that are
   still short, so a word of most texts costs its first places instead of all of them.
 * `words`: how often each token stands, filed under the token itself, runs of three characters it holds,
-  and up to three that it starts or ends with, by bucket of that key.
+  and up to three that it starts or ends with, by bucket of that key. Only the counts are shuffled; the keys,
+  twenty or so per token, are laid by the task that has the token.
 
 Wildcard patterns take their longest plain run from `words` and test only the texts found.
 """
@@ -25,6 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import steps
 from ..sources.tables import settle
 from .textmatch import _by_test, _longest, _matches_all, first_per, like_test
 
@@ -53,13 +56,13 @@ def _bucket(key: Column | str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def _laid(rows: DataFrame, key: str) -> DataFrame:
-    """Rows by bucket, those of a key together.
+def _lay(rows: DataFrame, key: str, path: str) -> None:
+    """Write rows by bucket, those of a key together within a file.
 
-    They are not made twice to find ranges, and are sorted by numbers instead of texts. A bucket too large
-    for a task, such as that of a word of most texts, is split when its size is known."""
-    laid = rows.hint("rebalance", "bucket").withColumn("_at", F.xxhash64(key))
-    return laid.sortWithinPartitions("bucket", "_at").drop("_at")
+    Every task sorts and writes its own rows, by numbers instead of texts: dealing them by bucket would move
+    several times the texts through shuffle files."""
+    laid = rows.withColumn("_at", F.xxhash64(key)).sortWithinPartitions("bucket", "_at").drop("_at")
+    laid.write.option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 def in_parts(texts: DataFrame, ids: tuple[str, ...]) -> DataFrame:
@@ -99,10 +102,12 @@ def write_postings(
     """Index the texts below root. ids must identify a text, part comes from in_parts; NULL texts have no rows."""
     spark = texts.sparkSession
     rows = posting_rows(texts, ids, text_col).withColumn("bucket", _bucket("token", buckets))
-    _laid(rows, "token").write.partitionBy("bucket").parquet(f"{root}/rows")
-    counts = spark.read.schema(rows.schema).parquet(f"{root}/rows").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    words = _filed(counts).withColumn("bucket", _bucket("key", buckets))
-    _laid(words, "key").write.partitionBy("bucket").parquet(f"{root}/words")
+    _lay(rows, "token", f"{root}/rows")
+    with steps(spark):
+        stored = spark.read.schema(rows.schema).parquet(f"{root}/rows")
+        counts = settle(stored.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "counts")
+        words = _filed(counts).withColumn("bucket", _bucket("key", buckets))
+        _lay(words, "key", f"{root}/words")
     shares = F.percentile_approx("part", [1 / n for n in SHARES], 10_000)
     texts.agg(F.coalesce(shares, F.array().cast("array<long>")).alias("steps")).write.parquet(f"{root}/steps")
     return open_postings(spark, root, ids, buckets)

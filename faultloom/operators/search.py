@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, rules, text
+from ..session import steps
 from ..sources.tables import settle
 from .chunks import chunk_table
 from .postings import Postings, in_parts, matching, open_postings, write_postings
@@ -82,8 +83,9 @@ class SearchIndex:
 
 def store_index(index: DataFrame, root: str) -> SearchIndex:
     """Write an index below root: chunks and the postings of their texts."""
-    laid = in_parts(settle(index, "index"), ORDER)
-    laid.write.parquet(f"{root}/chunks")
+    with steps(index.sparkSession):  # chunks that are not in order yet go as soon as they are
+        laid = in_parts(settle(index, "index"), ORDER)
+        laid.write.parquet(f"{root}/chunks")
     chunks = index.sparkSession.read.schema(laid.schema).parquet(f"{root}/chunks")
     write_postings(_bodies(chunks), ORDER, "body", f"{root}/postings")
     return open_index(index.sparkSession, root)

@@ -558,6 +558,26 @@ def test_postings_are_made_once_and_laid_by_token(spark, tmp_path, monkeypatch):
     assert got == {(i, "a3 the b") for i in range(300) if i % 7 == 3} | {(i, "b4") for i in range(300) if i % 5 == 4}
 
 
+def test_postings_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Every posting and every key of a word went through a shuffle, six times the texts each."""
+    from pyspark.sql import DataFrameWriter
+
+    plans, plain = {}, DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **options):
+        plans[path.rpartition("/")[2].partition("-")[0]] = self._df._jdf.queryExecution().executedPlan().toString()
+        plain(self, path, *args, **options)
+
+    monkeypatch.setattr(type(spark.range(0).write), "parquet", parquet)
+    rows = [(f"D{i % 60:02d}", i // 60, f"a{i % 7} the b{i % 5} the c") for i in range(300)]
+    texts = spark.createDataFrame(rows, "document_id string, chunk_sequence int, chunk_text string")
+    made = se.store_index(texts, str(tmp_path / "i"))
+    assert "Exchange" not in plans["rows"] and "Exchange" not in plans["words"]
+    assert "Exchange" in plans["counts"]
+    assert made.postings.rows.count() == 1500 and made.chunks.count() == 300
+    assert [tuple(r) for r in made.postings.words.filter("key = '=THE'").select("token", "n").collect()] == [("THE", 600)]
+
+
 def test_centroids_are_fitted_by_several_tasks(spark, tmp_path, monkeypatch):
     """The sample was scaled and fitted in one task, and its lengths added up for every component."""
     import numpy as np
