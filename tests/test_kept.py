@@ -171,3 +171,34 @@ def test_changed_texts_are_unfolded_many_at_once():
     assert [tuple(r.values()) for r in made.to_pylist()] == [
         ("D", day(1), "A", [0, 2], 1), ("D", day(1), "B", [1], 1), ("E", day(2), "B", [1], -1), ("E", day(2), "C", [1], 1), ("F", day(3), "X", [0], -1),
     ]
+
+
+def test_documents_come_to_the_index_in_groups(spark, tmp_path, monkeypatch):
+    """Every document was a group of its own, which cost some milliseconds however short its text was."""
+    monkeypatch.setattr(index_refresh, "GROUPS", 3, raising=False)
+    groups = tmp_path / "groups"
+    groups.mkdir()
+    plain, at = index_refresh._group_changes, lambda day: dt.datetime(2024, 1, day)
+
+    def counted(key, frames, state):
+        (groups / f"{key[0]}-{state.exists}").touch()
+        yield from plain(key, frames, state)
+
+    monkeypatch.setattr(index_refresh, "_group_changes", counted)
+
+    def land(rows):
+        spark.createDataFrame(rows, "document_id string, content string, updated_timestamp timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        index_refresh.stream_index(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+        left = index_refresh.current_index(spark, f"{tmp_path}/out").collect()
+        return sorted((r.document_id, r.token, list(r.places)) for r in left)
+
+    first = [(f"D{i}", f"t{i} same", at(2)) for i in range(40)]
+    want = {(f"D{i}", t, p) for i in range(40) for t, p in ((f"T{i}", 0), ("SAME", 1))}
+    assert land(first) == sorted((d, t, [p]) for d, t, p in want)
+    # one is older, one comes twice, one goes, one is new; the others of their groups stay
+    second = [("D1", "old", at(1)), ("D2", "mid", at(3)), ("D2", "same", at(4)), ("D3", None, at(3)), ("E", "x", at(1))]
+    want = {w for w in want if w[0] not in ("D2", "D3")} | {("D2", "SAME", 0), ("E", "X", 0)}
+    assert land(second) == sorted((d, t, [p]) for d, t, p in want)
+    log = spark.read.parquet(f"{tmp_path}/out/postings").filter("batch_id = 1")
+    assert {r.document_id for r in log.collect()} == {"D2", "D3", "E"}
+    assert 3 <= len(list(groups.iterdir())) <= 6
